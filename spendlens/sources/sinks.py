@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
-from ..schema import FACT_COLUMNS
+from ..schema import FACT_COLUMNS, FACT_SCHEMA
 
 
 def write_fact(df: DataFrame, path: str, mode: str = "append",
@@ -21,9 +21,15 @@ def write_fact(df: DataFrame, path: str, mode: str = "append",
        .write.mode(mode).partitionBy(partition_by).parquet(path))
 
 
+def read_fact(spark: SparkSession, path: str) -> DataFrame:
+    """Read a month-partitioned fact table with its declared schema (the
+    partition column stays text instead of being inferred as a number)."""
+    return spark.read.schema(FACT_SCHEMA).parquet(path).select(*FACT_COLUMNS)
+
+
 def _read_existing(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(path)
+        return read_fact(spark, path)
     except AnalysisException:
         return None
 

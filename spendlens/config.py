@@ -40,7 +40,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -76,3 +76,33 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def write_table(df, path: str, partition_by: str | None = None):
+    """Write ``df`` as parquet at ``path`` (overwrite) and return a reader
+    of it -- a lineage cut that survives executor loss, unlike a local
+    checkpoint."""
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def session_table(spark: SparkSession, name: str, source: str, build) -> "DataFrame":  # noqa: F821
+    """A derived table written once per session and source.
+
+    ``build()`` returns the DataFrame to store; its location is remembered
+    in the session configuration under ``spendlens.table.<name>`` together
+    with ``source``, so later calls for the same source read it back.
+    """
+    key = f"spendlens.table.{name}"
+    stored = spark.conf.get(key, None)
+    if stored:
+        src, _, path = stored.partition("|")
+        if src == source:
+            return spark.read.parquet(path)
+    path = shared_path(spark, name)
+    df = write_table(build(), path)
+    spark.conf.set(key, f"{source}|{path}")
+    return df

@@ -89,7 +89,9 @@ def impute(df: DataFrame, num_cols=METRIC_COLUMNS, str_cols=TEXT_COLUMNS,
     if not cols:
         return df
     stats = df.agg(F.count(F.lit(1)).alias("__rows"),
-                   *[F.count(F.col(c)).alias(c) for c in cols]).first()
+                   *[F.count(F.col(c)).alias(c) for c in cols],
+                   *[F.min(F.col(c).cast("double")).alias(f"__min_{c}") for c in num_cols],
+                   *[F.max(F.col(c).cast("double")).alias(f"__max_{c}") for c in num_cols]).first()
     rows = stats["__rows"]
     ratio = {c: (1.0 - stats[c] / rows) if rows else 0.0 for c in cols}
     need_num = [c for c in num_cols if ratio[c] > 0]
@@ -97,7 +99,8 @@ def impute(df: DataFrame, num_cols=METRIC_COLUMNS, str_cols=TEXT_COLUMNS,
     fills: dict[str, object] = {}
     if need_num:
         if median == "exact":
-            fills.update(exact_medians(df, need_num, {c: stats[c] for c in need_num}))
+            fills.update(exact_medians(df, need_num, {c: stats[c] for c in need_num},
+                                       {c: (stats[f"__min_{c}"], stats[f"__max_{c}"]) for c in need_num}))
         else:
             fills.update(approx_medians(df, need_num))
     if need_str:
@@ -133,15 +136,18 @@ def final_types(df: DataFrame) -> DataFrame:
 
 
 def clean_extract(df: DataFrame, thousands: str = "strip", median: str = "exact",
-                  report: ImputeReport | None = None, checkpoint: bool = False) -> DataFrame:
+                  report: ImputeReport | None = None, materialize: bool = True) -> DataFrame:
     """C11: the full chain, C1 -> C2 -> C3 -> C4 -> C5/C6 -> C8 -> C10.
 
-    ``checkpoint=True`` materialises the parsed rows once in the shared
-    checkpoint folder before the statistics passes, so the raw text is parsed
-    once instead of once per pass (worth it on large extracts).
+    ``materialize`` (default) writes the parsed rows once as parquet in the
+    shared checkpoint folder before the statistics passes: the raw input is
+    read and parsed once instead of once per pass, each pass reads only the
+    columns it needs, and the lineage is cut (an executor loss re-reads the
+    written table instead of re-running the extract).
     """
     parsed = parse_metrics(project(require_columns(rename_headers(df))), thousands=thousands)
-    if checkpoint:
-        parsed = parsed.checkpoint(eager=True)
+    if materialize:
+        from ..config import shared_path, write_table
+        parsed = write_table(parsed, shared_path(df.sparkSession, "parsed-extract"))
     filled = impute(parsed, median=median, report=report)
     return final_types(drop_exact_duplicates(filled))

@@ -40,7 +40,8 @@ def _long_values(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def kth_values(df: DataFrame, wanted: dict[str, list[int]], buckets: int = BUCKETS,
-               final_rows: int = FINAL_ROWS) -> dict[str, dict[int, float]]:
+               final_rows: int = FINAL_ROWS,
+               bounds: dict[str, tuple[float, float]] | None = None) -> dict[str, dict[int, float]]:
     """For each column, the values at the given 1-based ranks (ascending).
 
     ``wanted`` maps a column to its ranks; ranks must lie in 1..n(column).
@@ -50,8 +51,9 @@ def kth_values(df: DataFrame, wanted: dict[str, list[int]], buckets: int = BUCKE
     if not wanted:
         return {}
     vals = _long_values(df, list(wanted))
-    first = vals.groupBy("name").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-    bounds = {r["name"]: (r["lo"], r["hi"]) for r in first}
+    if bounds is None:
+        first = vals.groupBy("name").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        bounds = {r["name"]: (r["lo"], r["hi"]) for r in first}
     # target -> [lo, hi, below, linear]
     state = {(c, k): [bounds[c][0], bounds[c][1], 0, False]
              for c, ks in wanted.items() if c in bounds for k in ks}
@@ -109,21 +111,28 @@ def kth_values(df: DataFrame, wanted: dict[str, list[int]], buckets: int = BUCKE
 
 
 def _finish_small(vals: DataFrame, state, result, targets):
-    """Rank exactly within narrowed ranges: fetch their (value, count)
-    pairs -- at most ``final_rows`` values per target."""
+    """Rank exactly within narrowed ranges: one job fetches the (value,
+    count) pairs of every target range -- at most ``final_rows`` values per
+    target."""
+    conds = [(F.col("name") == c) & (F.col("v") >= F.lit(state[(c, k)][0]))
+             & (F.col("v") <= F.lit(state[(c, k)][1])) for c, k in targets]
+    rows = (vals.where(reduce(lambda a, b: a | b, conds))
+            .groupBy("name", "v").agg(F.count(F.lit(1)).alias("n")).collect())
+    per: dict[str, list] = {}
+    for r in rows:
+        per.setdefault(r["name"], []).append((r["v"], r["n"]))
     for c, k in targets:
         lo, hi, below, _lin = state.pop((c, k))
-        rows = (vals.where((F.col("name") == c) & (F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)))
-                .groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect())
         cum = below
-        for v, n in sorted((r["v"], r["n"]) for r in rows):
+        for v, n in sorted(p for p in per.get(c, []) if lo <= p[0] <= hi):
             if cum < k <= cum + n:
                 result[c][k] = v
                 break
             cum += n
 
 
-def exact_medians(df: DataFrame, cols: list[str], counts: dict[str, int] | None = None) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, cols: list[str], counts: dict[str, int] | None = None,
+                  bounds: dict[str, tuple[float, float]] | None = None) -> dict[str, float | None]:
     """Exact median of each column (mean of the two middle values for an
     even count); NULL/NaN ignored; ``None`` for a column without values."""
     if counts is None:
@@ -134,7 +143,7 @@ def exact_medians(df: DataFrame, cols: list[str], counts: dict[str, int] | None
         n = counts.get(c) or 0
         if n > 0:
             wanted[c] = sorted({(n + 1) // 2, n // 2 + 1})
-    kth = kth_values(df, wanted)
+    kth = kth_values(df, wanted, bounds=bounds)
     out: dict[str, float | None] = {}
     for c in cols:
         n = counts.get(c) or 0

@@ -7,6 +7,8 @@ create_at`` (``schema.REQUEST_SCHEMA``).
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import CHART_TYPES, DIMENSIONS, HEATMAP_VALUE, HEATMAP_VALUE2, METRICS
@@ -51,8 +53,8 @@ RULES = (
 )
 
 
-def violations(r: DataFrame) -> Column:
-    """Array of rule codes the request breaks (empty when valid)."""
+def rule_checks() -> list[tuple[str, Column]]:
+    """(code, broken?) for every rule, in checking order."""
     ct, x, y = F.col("chart_type"), F.col("params.x_axis"), F.col("params.y_axis")
     v, v2 = F.col("params.value"), F.col("params.value2")
     fs, topn = F.col("figure.figsize"), F.col("filters.topn")
@@ -70,46 +72,85 @@ def violations(r: DataFrame) -> Column:
                              | (F.coalesce(v2, F.lit("")) != HEATMAP_VALUE2)),
         topn.isNotNull() & (topn <= 0),
         fs.isNotNull() & (F.size(fs) != 2),
-        fs.isNotNull() & (F.size(fs) == 2) & F.exists(fs, lambda e: e.isNull() | (e <= 0)),
+        fs.isNotNull() & (F.size(fs) == 2)
+        & (F.coalesce(F.get(fs, 0) <= 0, F.lit(True)) | F.coalesce(F.get(fs, 1) <= 0, F.lit(True))),
     ]
-    return F.array_compact(F.array(*[F.when(c, F.lit(code)) for c, code in zip(checks, RULES)]))
+    return [(code, F.coalesce(c, F.lit(False))) for code, c in zip(RULES, checks)]
 
 
 def validate(requests: DataFrame) -> DataFrame:
-    """R3 per request: ``accepted`` and the ';'-joined rule codes."""
-    viol = violations(requests)
-    return requests.select("*", (F.size(viol) == 0).alias("accepted"),
-                           F.array_join(viol, ";").alias("error_codes"))
+    """R3 per request: ``accepted`` and the ';'-joined codes of the broken
+    rules.  Plain boolean / string expressions (no arrays or lambdas), so a
+    filter on ``accepted`` stays inside whole-stage codegen."""
+    checks = rule_checks()
+    ok = ~reduce(lambda a, b: a | b, [c for _, c in checks])
+    codes = F.concat_ws(";", *[F.when(c, F.lit(code)) for code, c in checks])
+    return requests.select("*", ok.alias("accepted"), codes.alias("error_codes"))
+
+
+_ID_SHIFT = 2 ** 63          # ids are shifted to be non-negative
+_ID_SPAN = 10 ** 20          # > 2**64, room for any shifted id
+
+
+def order_key(ts: str = "create_at", id_col: str = "id") -> Column:
+    """``(ts, id)`` packed into one ``decimal(38,0)``, ordered like the pair.
+
+    A min over a struct needs a sort-based aggregate; a min over a decimal
+    stays a hash aggregate with map-side partial results.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(38,0)")
+    shifted = F.col(id_col).cast("decimal(38,0)") + _dec(_ID_SHIFT)
+    return (micros * _dec(_ID_SPAN) + shifted).cast("decimal(38,0)")
+
+
+def id_of(key: Column) -> Column:
+    """The id packed into an ``order_key`` value."""
+    return (F.pmod(key, _dec(_ID_SPAN)) - _dec(_ID_SHIFT)).cast("bigint")
+
+
+def _dec(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(38,0)")
+
+
+def first_requests(requests: DataFrame, key: str = "cache_key") -> DataFrame:
+    """Per key: the id of its first request (by time, then id), the number
+    of requests and the latest time -- one hash aggregation with map-side
+    partial results, so a key holding a third of the log costs no more than
+    any other."""
+    g = requests.groupBy(key).agg(F.min(order_key()).alias("__first"),
+                                  F.count(F.lit(1)).alias("n_requests"),
+                                  F.max("create_at").alias("last_at"))
+    return g.select(key, id_of(F.col("__first")).alias("first_id"), "n_requests", "last_at")
 
 
 def mark_hits(requests: DataFrame, key: str = "cache_key") -> DataFrame:
     """R2: the first request of a key (by time, then id) is a miss, every
     later one a hit; ``result_id`` is the id of the key's first request.
 
-    The first request per key comes from a partial aggregation (min of
-    ``(create_at, id)``), so a key holding a third of the log collapses
-    map-side; it is joined back on the key, where AQE splits an oversized
-    key partition of the log and repeats the single first-row for it.
-    A per-key window would instead sort the hot key's rows in one task.
+    The per-key firsts are joined back on the key; AQE splits an oversized
+    key partition of the log and repeats the key's single row for each
+    split.  A per-key window would instead sort a hot key's rows in one task.
     """
-    firsts = requests.groupBy(key).agg(F.min(F.struct("create_at", "id")).alias("__first"))
+    firsts = first_requests(requests, key).select(key, "first_id")
     j = requests.join(firsts, key)
     return j.select(*[F.col(c) for c in requests.columns],
-                    (F.struct("create_at", "id") != F.col("__first")).alias("cache_hit"),
-                    F.col("__first.id").alias("result_id"))
+                    (F.col("id") != F.col("first_id")).alias("cache_hit"),
+                    F.col("first_id").alias("result_id"))
 
 
 def result_records(requests: DataFrame, key: str = "cache_key") -> DataFrame:
     """One result record per key, taken from its first request; status
-    READY once computed (every accepted key is), with request counts."""
-    first = F.min(F.struct("create_at", "id", "chart_type", "params", "figure", "create_by"))
-    g = requests.groupBy(key).agg(first.alias("f"), F.count(F.lit(1)).alias("n_requests"),
-                                  F.max("create_at").alias("last_at"))
-    return g.select(F.col("f.id").alias("result_id"), key, F.col("f.chart_type").alias("chart_type"),
-                    F.col("f.params").alias("params_json"), F.col("f.figure").alias("params_figure"),
-                    F.lit("READY").alias("status"), F.col("f.create_by").alias("create_by"),
-                    F.col("f.create_at").alias("create_at"), F.col("last_at").alias("update_at"),
-                    "n_requests")
+    READY once computed (every accepted key is), with request counts.  The
+    first request's fields are fetched by joining the per-key firsts back on
+    the request id."""
+    firsts = first_requests(requests, key)
+    cols = requests.select(F.col("id").alias("first_id"), "chart_type", "params", "figure",
+                           "create_by", "create_at")
+    j = firsts.join(cols, "first_id")
+    return j.select(F.col("first_id").alias("result_id"), key, "chart_type",
+                    F.col("params").alias("params_json"), F.col("figure").alias("params_figure"),
+                    F.lit("READY").alias("status"), "create_by", "create_at",
+                    F.col("last_at").alias("update_at"), "n_requests")
 
 
 def requests_with_results(marked: DataFrame, results: DataFrame) -> DataFrame:

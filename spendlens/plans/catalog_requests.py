@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import requests_log as R
+from ..config import session_table
 from .catalog import register
 from .fixtures import request_log
 
@@ -23,7 +24,7 @@ req AS (
          ['ym', 'industry', 'age_level'][user_id % 3 + 1] AS x_axis,
          CASE WHEN chart_type = 'heatmap' THEN ['ym', 'industry', 'age_level'][(user_id + 1) % 3 + 1]
               WHEN k % 3 = 0 THEN NULL
-              ELSE ['ym', 'industry', 'age_level'][(user_id + k) % 3 + 1] END AS y_axis,
+              ELSE ['ym', 'industry', 'age_level'][(user_id + k % 4) % 3 + 1] END AS y_axis,
          ['trans_count', 'trans_total'][k % 2 + 1] AS value,
          CASE WHEN chart_type = 'heatmap' THEN 'trans_count' END AS value2,
          CASE WHEN k % 10 = 0 THEN [12.0::DOUBLE, CAST(k % 3 AS DOUBLE)] ELSE [10.0::DOUBLE, 8.0::DOUBLE] END AS figsize,
@@ -80,9 +81,15 @@ def _req(spark, sf_dir):
     return request_log(spark, sf_dir)
 
 
+def _log(spark, sf_dir):
+    """The request log as a stored table: derived from ``events`` once per
+    session, with the cache key and rule results computed at ingest."""
+    return session_table(spark, "request_log", sf_dir,
+                         lambda: R.validate(R.with_fingerprint(_req(spark, sf_dir))))
+
+
 def _accepted(spark, sf_dir):
-    v = R.validate(R.with_fingerprint(_req(spark, sf_dir)))
-    return v.where("accepted").drop("accepted", "error_codes")
+    return _log(spark, sf_dir).where("accepted").drop("accepted", "error_codes")
 
 
 @register("req_fingerprint", REQ_SQL + "SELECT id, cache_key FROM keyed")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import HEADER_MAP
-from ..sources.tables import fact_lines, read_table
+from ..sources.tables import fact_lines, read_table, widen
 
 RAW_HEADERS = list(HEADER_MAP)  # source header order
 
@@ -81,13 +81,13 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     id = event_id, create_at = ts, create_by = user_id; chart type from the
     event type (click bar, view line, purchase pie, signup heatmap, error an
     unknown 'scatter'); k = props.k drives the parameters: x axis
-    dims[user_id % 3], y axis none when k % 3 = 0 else dims[(user_id + k) % 3]
+    dims[user_id % 3], y axis none when k % 3 = 0 else dims[(user_id + k % 4) % 3]
     (heatmaps always get one), value metrics[k % 2], value2 trans_count for
     heatmaps, topn k % 25 (none when k % 5 = 0), months from the event month
     with k % 4 deciding which sides are set, industry for k % 7 = 0, a title
     for k % 6 = 0, figsize [10, 8] except [12, k % 3] when k % 10 = 0.
     """
-    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    ev = widen(read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"))
     k = F.get_json_object("props", "$.k").try_cast("int")
     dims = F.array(F.lit("ym"), F.lit("industry"), F.lit("age_level"))
     metrics = F.array(F.lit("trans_count"), F.lit("trans_total"))
@@ -96,7 +96,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
              .otherwise("scatter"))
     r = ev.select("event_id", "ts", "user_id", chart.alias("chart_type"), k.alias("k"))
     x_axis = dims[F.col("user_id") % 3]
-    y_any = dims[(F.col("user_id") + F.col("k")) % 3]
+    y_any = dims[(F.col("user_id") + F.col("k") % 4) % 3]
     y_axis = (F.when(F.col("chart_type") == "heatmap", dims[(F.col("user_id") + 1) % 3])
               .when(F.col("k") % 3 == 0, F.lit(None)).otherwise(y_any))
     month = F.date_format("ts", "yyyyMM")

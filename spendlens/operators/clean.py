@@ -88,8 +88,14 @@ def impute(df: DataFrame, num_cols=METRIC_COLUMNS, str_cols=TEXT_COLUMNS,
     cols = num_cols + str_cols
     if not cols:
         return df
+    def present(c):
+        if c in num_cols:  # a NaN counts as missing, like NULL
+            v = F.col(c).cast("double")
+            return F.when(~F.isnan(v), v)
+        return F.col(c)
+
     stats = df.agg(F.count(F.lit(1)).alias("__rows"),
-                   *[F.count(F.col(c)).alias(c) for c in cols],
+                   *[F.count(present(c)).alias(c) for c in cols],
                    *[F.min(F.col(c).cast("double")).alias(f"__min_{c}") for c in num_cols],
                    *[F.max(F.col(c).cast("double")).alias(f"__max_{c}") for c in num_cols]).first()
     rows = stats["__rows"]
@@ -110,7 +116,7 @@ def impute(df: DataFrame, num_cols=METRIC_COLUMNS, str_cols=TEXT_COLUMNS,
     if report is not None:
         report.missing_ratio.update(ratio)
         report.fill_values.update(fills)
-    repl = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items() if v is not None}
+    repl = {c: F.coalesce(present(c), F.lit(v)) for c, v in fills.items() if v is not None}
     return df.withColumns(repl) if repl else df
 
 

@@ -32,6 +32,13 @@ def _t(c):
     return F.signum(c) * F.log1p(F.abs(c))
 
 
+def _value(c: str):
+    """The column as double, NULL for NaN (``isnan(NULL)`` is false, so
+    NULL and NaN are excluded separately)."""
+    v = F.col(c).cast("double")
+    return F.when(v.isNotNull() & ~F.isnan(v), v)
+
+
 def _long_values(df: DataFrame, cols: list[str]) -> DataFrame:
     """(name, v) for every non-NULL, non-NaN value of the columns."""
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])
@@ -136,7 +143,7 @@ def exact_medians(df: DataFrame, cols: list[str], counts: dict[str, int] | None
     """Exact median of each column (mean of the two middle values for an
     even count); NULL/NaN ignored; ``None`` for a column without values."""
     if counts is None:
-        row = df.agg(*[F.count(F.when(~F.isnan(F.col(c).cast("double")), 1)).alias(c) for c in cols]).first()
+        row = df.agg(*[F.count(_value(c)).alias(c) for c in cols]).first()
         counts = {c: row[c] for c in cols}
     wanted = {}
     for c in cols:

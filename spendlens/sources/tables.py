@@ -14,6 +14,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Largest dimension (rows) joined by broadcast; above it the join shuffles.
+BROADCAST_MAX_ROWS_KEY = "spendlens.broadcast.maxRows"
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast ``df`` only when its row count is within the bound.
+
+    ``rows`` comes from the driving table's parquet footers (a metadata-only
+    count).  Above the bound no hint is given and Catalyst / AQE plan a
+    shuffle join.  Without row statistics Catalyst estimates a join's size as
+    the product of its inputs, so the hint is what keeps a small joined
+    dimension on the build side instead of the fact table.
+    """
+    limit = int(df.sparkSession.conf.get(BROADCAST_MAX_ROWS_KEY, str(BROADCAST_MAX_ROWS)))
+    return F.broadcast(df) if rows <= limit else df
+
+
 def widen(df: DataFrame) -> DataFrame:
     """Spread a scan that arrives in fewer partitions than there are cores.
 
@@ -56,10 +74,15 @@ def fact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
 
-    buyers = (orders
-              .join(cust, orders.o_custkey == cust.c_custkey)
+    # Row bounds from parquet footers (no data read).  A buyer row per order
+    # at most: orders -> customer -> nation are many-to-one.
+    n_orders = read_table(spark, sf_dir, "orders").count()
+    n_parts = read_table(spark, sf_dir, "part").count()
+    buyers = broadcast_if_small(
+        orders.join(cust, orders.o_custkey == cust.c_custkey)
               .join(nation, cust.c_nationkey == nation.n_nationkey)
-              .select("o_orderkey", "n_name", "c_mktsegment"))
+              .select("o_orderkey", "n_name", "c_mktsegment"), n_orders)
+    part = broadcast_if_small(part, n_parts)
     lines = (li.join(buyers, li.l_orderkey == buyers.o_orderkey)
                .join(part, li.l_partkey == part.p_partkey))
     return lines.select(

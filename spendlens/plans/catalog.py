@@ -92,15 +92,22 @@ def filter_sql(f: ChartFilter) -> str:
     return ("WHERE " + " AND ".join(conds)) if conds else ""
 
 
-def bar_like_sql(x: str, value: str, f: ChartFilter, div: float, by_size: bool, limit: int | None) -> str:
+def bar_like_ctes(x: str, value: str, f: ChartFilter, div: float, by_size: bool,
+                  limit: int | None) -> tuple[str, str]:
+    """CTEs ``g`` (sums, ordered, limited) and ``pts`` (chart points)."""
     order = "raw_amount DESC, x ASC" if by_size else "x ASC"
     lim = f"LIMIT {limit}" if limit is not None else ""
-    return with_fact(
-        f"""SELECT CAST(row_number() OVER (ORDER BY {('raw_amount DESC, x ASC' if by_size else 'x ASC')}) AS BIGINT) AS pos,
+    g = f"""g AS (SELECT {x} AS x, CAST(sum({value}) AS BIGINT) AS raw_amount FROM fact {filter_sql(f)}
+                 GROUP BY {x} ORDER BY {order} {lim})"""
+    pts = f"""pts AS (SELECT CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS pos,
                   x, y, {rint2('y / sum(y) OVER ()')} AS share, CAST(NULL AS DOUBLE) AS growth
-           FROM (SELECT x, raw_amount, {rint2(f'CAST(raw_amount AS DOUBLE) / {float(div)!r}')} AS y FROM g)""",
-        f"""g AS (SELECT {x} AS x, CAST(sum({value}) AS BIGINT) AS raw_amount FROM fact {filter_sql(f)}
-                 GROUP BY {x} ORDER BY {order} {lim})""")
+           FROM (SELECT x, raw_amount, {rint2(f'CAST(raw_amount AS DOUBLE) / {float(div)!r}')} AS y FROM g))"""
+    return g, pts
+
+
+def bar_like_sql(x: str, value: str, f: ChartFilter, div: float, by_size: bool, limit: int | None) -> str:
+    return with_fact("SELECT pos, x, y, share, growth FROM pts",
+                     *bar_like_ctes(x, value, f, div, by_size, limit))
 
 
 def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,3 +455,23 @@ def oracle_sql() -> dict[str, str]:
 def _load_all():
     """Import the modules that register further queries."""
     from . import catalog_clean, catalog_requests  # noqa: F401
+
+
+# ---------------------------------------------------------------------------
+# Points document
+# ---------------------------------------------------------------------------
+
+@register("doc_bar_industry", with_fact(
+    """SELECT 'agg_bar_industry' AS chart,
+              '[' || string_agg('{' || concat_ws(',', '"x":' || to_json(x),
+                                         CASE WHEN y IS NOT NULL THEN '"y":' || CAST(y AS VARCHAR) END,
+                                         CASE WHEN share IS NOT NULL THEN '"share":' || CAST(share AS VARCHAR) END)
+                                || '}', ',' ORDER BY pos) || ']' AS points_json
+       FROM pts""",
+    *bar_like_ctes("industry", "trans_total", F_9699, 1e6, True, 20)))
+def q_doc_bar_industry(spark, sf_dir):
+    """The bar chart's points as one JSON array document (NULL fields
+    left out, chart order)."""
+    from ..operators.requests_log import points_document
+    pts = charts.bar_points(_fact(spark, sf_dir), "industry", "trans_total", F_9699, divisor=1e6)
+    return points_document(pts.withColumn("chart", F.lit("agg_bar_industry")), ["chart"])

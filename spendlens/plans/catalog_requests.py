@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import requests_log as R
 from ..config import session_table
-from .catalog import register
+from .catalog import FACT_LINES_SQL, register
 from .fixtures import request_log
 
 REQ_SQL = """
@@ -30,8 +30,8 @@ req AS (
          CASE WHEN k % 10 = 0 THEN [12.0::DOUBLE, CAST(k % 3 AS DOUBLE)] ELSE [10.0::DOUBLE, 8.0::DOUBLE] END AS figsize,
          CASE WHEN k % 6 = 0 THEN '圖 ' || CAST(k AS VARCHAR) END AS set_title,
          CAST(NULL AS VARCHAR) AS set_xlabel, CAST(NULL AS VARCHAR) AS set_ylabel,
-         CASE WHEN k % 4 >= 2 THEN strftime(ts, '%Y') || '01' END AS start_month,
-         CASE WHEN k % 4 IN (1, 3) THEN strftime(ts, '%Y%m') END AS end_month,
+         CASE WHEN k % 4 >= 2 THEN strftime(ts - INTERVAL 300 MONTH, '%Y') || '01' END AS start_month,
+         CASE WHEN k % 4 IN (1, 3) THEN strftime(ts - INTERVAL 300 MONTH, '%Y%m') END AS end_month,
          CASE WHEN k % 5 <> 0 THEN k % 25 END AS topn,
          CASE WHEN k % 7 = 0 THEN 'BUILDING' END AS industry,
          CAST(NULL AS VARCHAR) AS age_level
@@ -156,3 +156,41 @@ def q_req_daily_volume(spark, sf_dir):
     m = R.mark_hits(_accepted(spark, sf_dir))
     return m.groupBy(F.to_date("create_at").alias("day"), "chart_type").agg(
         F.count(F.lit(1)).alias("requests"), F.sum(F.col("cache_hit").cast("bigint")).alias("hits"))
+
+
+# ---------------------------------------------------------------------------
+# Serving: points of every accepted bar / line request in one job
+# ---------------------------------------------------------------------------
+
+SERVE_SQL = REQ_SQL + "," + FACT_LINES_SQL + """,
+rq AS (SELECT DISTINCT cache_key, chart_type, x_axis, value, start_month, end_month, industry, age_level, topn
+       FROM acc WHERE chart_type IN ('bar', 'line')),
+agg AS (
+  SELECT rq.cache_key, rq.chart_type, rq.x_axis, rq.value, rq.topn,
+         CASE rq.x_axis WHEN 'ym' THEN f.ym WHEN 'industry' THEN f.industry ELSE f.age_level END AS x,
+         CAST(sum(CASE rq.value WHEN 'trans_count' THEN f.trans_count ELSE f.trans_total END) AS BIGINT) AS raw_amount
+  FROM rq JOIN fact f
+    ON (rq.start_month IS NULL OR f.ym >= rq.start_month) AND (rq.end_month IS NULL OR f.ym <= rq.end_month)
+   AND (rq.industry IS NULL OR f.industry = rq.industry) AND (rq.age_level IS NULL OR f.age_level = rq.age_level)
+  GROUP BY 1, 2, 3, 4, 5, 6),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY cache_key ORDER BY
+              CASE WHEN chart_type = 'bar' AND x_axis <> 'ym' THEN -raw_amount ELSE 0 END, x) AS BIGINT) AS pos
+  FROM agg),
+pts AS (
+  SELECT cache_key, pos, x, raw_amount,
+         round_even(CAST(raw_amount AS DOUBLE) / CASE value WHEN 'trans_count' THEN 10000000.0 ELSE 1000000000.0 END
+                    * 100.0, 0) / 100.0 AS y
+  FROM ranked WHERE x_axis = 'ym' OR pos <= least(greatest(coalesce(topn, 20), 1), 200))
+SELECT cache_key, pos, x, raw_amount, y,
+       round_even(y / nullif(sum(y) OVER (PARTITION BY cache_key), 0) * 100.0, 0) / 100.0 AS share
+FROM pts"""
+
+
+@register("req_serve_bar_line", SERVE_SQL)
+def q_req_serve_bar_line(spark, sf_dir):
+    """Points of every accepted bar / line request of the log, from one
+    rolled-up lookup of the fact and an equi-join."""
+    from ..sources.tables import fact_table
+    from .serving import serve_sum_charts
+    return serve_sum_charts(fact_table(spark, sf_dir), _accepted(spark, sf_dir))

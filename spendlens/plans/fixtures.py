@@ -84,6 +84,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims[user_id % 3], y axis none when k % 3 = 0 else dims[(user_id + k % 4) % 3]
     (heatmaps always get one), value metrics[k % 2], value2 trans_count for
     heatmaps, topn k % 25 (none when k % 5 = 0), months from the event month
+    shifted back 25 years (so they fall inside the fact's months)
     with k % 4 deciding which sides are set, industry for k % 7 = 0, a title
     for k % 6 = 0, figsize [10, 8] except [12, k % 3] when k % 10 = 0.
     """
@@ -99,7 +100,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     y_any = dims[(F.col("user_id") + F.col("k") % 4) % 3]
     y_axis = (F.when(F.col("chart_type") == "heatmap", dims[(F.col("user_id") + 1) % 3])
               .when(F.col("k") % 3 == 0, F.lit(None)).otherwise(y_any))
-    month = F.date_format("ts", "yyyyMM")
+    month = F.date_format(F.add_months("ts", -300), "yyyyMM")  # 25 years back: inside the fact's range
     start = F.when(F.col("k") % 4 >= 2, F.concat(F.substring(month, 1, 4), F.lit("01")))
     end = F.when(F.col("k") % 4 == 1, month).when(F.col("k") % 4 == 3, month)
     figsize = F.when(F.col("k") % 10 == 0, F.array(F.lit(12.0), (F.col("k") % 3).cast("double"))) \

@@ -8,6 +8,7 @@ from ..schema import AGE_FIRST_LABEL, FACT_COLUMNS
 # Session keys naming a materialised fact table (see ``materialize_fact``).
 FACT_PATH_KEY = "spendlens.fact.path"
 FACT_SOURCE_KEY = "spendlens.fact.source"
+FACT_VIEW = "spendlens_fact"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,8 +106,11 @@ def materialize_fact(spark: SparkSession, sf_dir: str, path: str) -> str:
     """Write the fact once as parquet partitioned by month and register it in
     the session, so later ``fact_table`` calls for the same ``sf_dir`` read
     it (month filters then prune partitions)."""
-    from .sinks import write_fact
+    from .sinks import read_fact, write_fact
     write_fact(fact_from_tables(spark, sf_dir), path, mode="overwrite")
+    # A session view keeps the resolved file index: later reads skip the
+    # partition listing.
+    read_fact(spark, path).createOrReplaceTempView(FACT_VIEW)
     spark.conf.set(FACT_PATH_KEY, path)
     spark.conf.set(FACT_SOURCE_KEY, sf_dir.rstrip("/"))
     return path
@@ -118,6 +122,8 @@ def fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = spark.conf.get(FACT_PATH_KEY, None)
     src = spark.conf.get(FACT_SOURCE_KEY, None)
     if path and src == sf_dir.rstrip("/"):
+        if spark.catalog.tableExists(FACT_VIEW):
+            return spark.table(FACT_VIEW)
         from .sinks import read_fact
         return read_fact(spark, path)
     return fact_from_tables(spark, sf_dir)

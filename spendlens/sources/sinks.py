@@ -40,15 +40,24 @@ def append_new_rows(spark: SparkSession, df: DataFrame, path: str,
     nothing).  Copies inside ``df`` are collapsed first; rows are compared on
     ``keys`` (default: all fact columns) with NULL-safe equality.
 
-    The anti join against the stored table is a shuffle join at scale; since
-    the stored table is partitioned by month and the join includes the month,
-    dynamic partition pruning reads only the months present in ``df``.
+    The anti join against the stored table is a shuffle join at scale.  The
+    stored table is read only for the months present in ``df``: their list
+    (bounded by the calendar) is fetched first and becomes a partition filter,
+    because Spark's dynamic pruning does not apply to the build side of an
+    anti join.
     Returns the number of appended rows (measured during the write through
     an ``Observation``, no extra pass).  Empty input is a no-op.
     """
     keys = keys or [c for c in FACT_COLUMNS if c in df.columns]
     incoming = df.dropDuplicates()
     existing = _read_existing(spark, path)
+    if existing is not None and partition_by in keys:
+        months = [r[0] for r in incoming.select(partition_by).distinct().collect()]
+        known = [m for m in months if m is not None]
+        keep = F.col(partition_by).isin(*known) if known else F.lit(False)
+        if len(known) < len(months):
+            keep = keep | F.col(partition_by).isNull()
+        existing = existing.where(keep)
     if existing is not None:
         ex = existing.select(*[F.col(k).alias(f"__ex_{k}") for k in keys])
         cond = reduce(lambda a, b: a & b,

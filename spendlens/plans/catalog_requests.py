@@ -194,3 +194,61 @@ def q_req_serve_bar_line(spark, sf_dir):
     from ..sources.tables import fact_table
     from .serving import serve_sum_charts
     return serve_sum_charts(fact_table(spark, sf_dir), _accepted(spark, sf_dir))
+
+
+SERVE_PIE_SQL = REQ_SQL + "," + FACT_LINES_SQL + """,
+rq AS (SELECT DISTINCT cache_key, x_axis, value, start_month, end_month, industry, age_level, topn
+       FROM acc WHERE chart_type = 'pie'),
+g AS (
+  SELECT rq.cache_key, rq.x_axis, rq.topn,
+         CASE rq.x_axis WHEN 'ym' THEN f.ym WHEN 'industry' THEN f.industry ELSE f.age_level END AS x,
+         sum(CASE rq.value WHEN 'trans_count' THEN f.trans_count ELSE f.trans_total END) AS group_amount
+  FROM rq JOIN fact f
+    ON (rq.start_month IS NULL OR f.ym >= rq.start_month) AND (rq.end_month IS NULL OR f.ym <= rq.end_month)
+   AND (rq.industry IS NULL OR f.industry = rq.industry) AND (rq.age_level IS NULL OR f.age_level = rq.age_level)
+  GROUP BY 1, 2, 3, 4),
+s AS (SELECT cache_key, x_axis, topn, x,
+             round(CAST(group_amount AS DOUBLE) / nullif(CAST(sum(group_amount) OVER (PARTITION BY cache_key) AS DOUBLE), 0) * 100.0, 0) AS pct
+      FROM g),
+u AS (SELECT cache_key, x_axis, topn, CASE WHEN pct < 10 THEN '其他' ELSE x END AS x, sum(pct) AS amount
+      FROM s GROUP BY 1, 2, 3, 4),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY cache_key ORDER BY
+              CASE WHEN x_axis = 'ym' THEN 0.0 ELSE -amount END ASC NULLS LAST, x) AS BIGINT) AS pos FROM u)
+SELECT cache_key, pos, CASE WHEN amount >= 0.10 THEN x ELSE '其他' END AS x, amount
+FROM r WHERE x_axis = 'ym' OR pos <= least(greatest(coalesce(topn, 20), 1), 200)"""
+
+
+@register("req_serve_pie", SERVE_PIE_SQL)
+def q_req_serve_pie(spark, sf_dir):
+    """Slices of every accepted pie request of the log."""
+    from ..sources.tables import fact_table
+    from .serving import serve_pie_charts
+    return serve_pie_charts(fact_table(spark, sf_dir), _accepted(spark, sf_dir))
+
+
+SERVE_HEATMAP_SQL = REQ_SQL + "," + FACT_LINES_SQL + """,
+rq AS (SELECT DISTINCT cache_key, x_axis, y_axis, start_month, end_month, industry, age_level
+       FROM acc WHERE chart_type = 'heatmap'),
+g AS (
+  SELECT rq.cache_key, rq.x_axis, rq.y_axis,
+         CASE rq.x_axis WHEN 'ym' THEN f.ym WHEN 'industry' THEN f.industry ELSE f.age_level END AS x,
+         CASE rq.y_axis WHEN 'ym' THEN f.ym WHEN 'industry' THEN f.industry ELSE f.age_level END AS y,
+         sum(f.trans_total) AS num, sum(f.trans_count) AS den
+  FROM rq JOIN fact f
+    ON (rq.start_month IS NULL OR f.ym >= rq.start_month) AND (rq.end_month IS NULL OR f.ym <= rq.end_month)
+   AND (rq.industry IS NULL OR f.industry = rq.industry) AND (rq.age_level IS NULL OR f.age_level = rq.age_level)
+  GROUP BY 1, 2, 3, 4, 5)
+SELECT cache_key,
+       CAST(row_number() OVER (PARTITION BY cache_key ORDER BY
+            CASE WHEN x_axis = 'age_level' OR y_axis = 'age_level' THEN y ELSE x END,
+            CASE WHEN x_axis = 'age_level' OR y_axis = 'age_level' THEN x ELSE y END) AS BIGINT) AS pos,
+       x, y, round(CAST(num AS DOUBLE) / CAST(nullif(den, 0) AS DOUBLE), 4) AS amount
+FROM g"""
+
+
+@register("req_serve_heatmap", SERVE_HEATMAP_SQL)
+def q_req_serve_heatmap(spark, sf_dir):
+    """Cells of every accepted heatmap request of the log."""
+    from ..sources.tables import fact_table
+    from .serving import serve_heatmap_charts
+    return serve_heatmap_charts(fact_table(spark, sf_dir), _accepted(spark, sf_dir))

@@ -1,4 +1,5 @@
-"""Answer every logged bar / line chart request in one distributed job.
+"""Answer every logged chart request (bar, line, pie, heatmap) in one
+distributed job per chart family.
 
 The original service computes a chart per HTTP request.  Over a request log
 the same points come from one plan:
@@ -25,7 +26,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numbers import round_half_even
-from ..schema import TOPN_DEFAULT, TOPN_MAX, TOPN_MIN, UNITS
+from ..schema import (OTHER_LABEL, PIE_OTHER_BELOW_PCT, PIE_RELABEL_BELOW, TOPN_DEFAULT, TOPN_MAX,
+                      TOPN_MIN, UNITS)
 from ..sources.tables import broadcast_if_small
 
 ANY = "*"
@@ -49,34 +51,50 @@ def rollup_lookup(fact: DataFrame) -> DataFrame:
 
 
 def _request_keys(requests: DataFrame) -> DataFrame:
-    x = F.col("params.x_axis")
+    """Flat request fields plus the lookup keys: the grain (which dimensions
+    besides the month the request needs: its axes and its filters) and the
+    industry / age key (the filter value, else the wildcard)."""
+    x, y = F.col("params.x_axis"), F.col("params.y_axis")
     ind_f, age_f = F.col("filters.industry"), F.col("filters.age_level")
-    need_ind = (x == "industry") | ind_f.isNotNull()
-    need_age = (x == "age_level") | age_f.isNotNull()
+    need_ind = (x == "industry") | (F.coalesce(y, F.lit("")) == "industry") | ind_f.isNotNull()
+    need_age = (x == "age_level") | (F.coalesce(y, F.lit("")) == "age_level") | age_f.isNotNull()
     grain = F.when(need_ind, 0).otherwise(2) + F.when(need_age, 0).otherwise(1)
     return requests.select(
-        "cache_key", "chart_type", x.alias("x_axis"), F.col("params.value").alias("value"),
+        "cache_key", "chart_type", x.alias("x_axis"), y.alias("y_axis"), F.col("params.value").alias("value"),
         F.col("filters.start_month").alias("start_month"), F.col("filters.end_month").alias("end_month"),
         F.col("filters.topn").alias("topn"),
         grain.alias("r_grain"),
         F.coalesce(ind_f, F.lit(ANY)).alias("r_ind"), F.coalesce(age_f, F.lit(ANY)).alias("r_age"))
 
 
-def serve_sum_charts(fact: DataFrame, requests: DataFrame) -> DataFrame:
-    """Points of every accepted bar / line request: ``cache_key, pos, x,
-    raw_amount, y, share`` (one chart per key, chart order in ``pos``)."""
+def _matched(fact: DataFrame, requests: DataFrame, chart_types: tuple[str, ...]) -> DataFrame:
+    """Each distinct request joined to the lookup rows it aggregates."""
     # One row per key: every field is a function of the key, so a distinct
     # over flat columns (a hash aggregate) is enough.
-    reqs = _request_keys(requests.where(F.col("chart_type").isin("bar", "line"))).distinct()
+    reqs = _request_keys(requests.where(F.col("chart_type").isin(*chart_types))).distinct()
     lookup = rollup_lookup(fact)
     lookup = broadcast_if_small(lookup, lookup.count())
     cond = ((reqs.r_grain == lookup.grain) & (reqs.r_ind == lookup.ind_key) & (reqs.r_age == lookup.age_key)
             & (reqs.start_month.isNull() | (lookup.ym >= reqs.start_month))
             & (reqs.end_month.isNull() | (lookup.ym <= reqs.end_month)))
-    j = reqs.join(lookup, cond)
-    xval = (F.when(F.col("x_axis") == "ym", F.col("ym"))
-            .when(F.col("x_axis") == "industry", F.col("industry"))
+    return reqs.join(lookup, cond)
+
+
+def _dim_value(axis: str):
+    return (F.when(F.col(axis) == "ym", F.col("ym"))
+            .when(F.col(axis) == "industry", F.col("industry"))
             .otherwise(F.col("age_level")))
+
+
+def _limit():
+    return F.least(F.greatest(F.coalesce(F.col("topn"), F.lit(TOPN_DEFAULT)), F.lit(TOPN_MIN)), F.lit(TOPN_MAX))
+
+
+def serve_sum_charts(fact: DataFrame, requests: DataFrame) -> DataFrame:
+    """Points of every accepted bar / line request: ``cache_key, pos, x,
+    raw_amount, y, share`` (one chart per key, chart order in ``pos``)."""
+    j = _matched(fact, requests, ("bar", "line"))
+    xval = _dim_value("x_axis")
     amount = F.when(F.col("value") == "trans_count", F.col("c")).otherwise(F.col("t"))
     sums = (j.groupBy("cache_key", "chart_type", "x_axis", "value", "topn", xval.alias("x"))
             .agg(F.sum(amount).alias("raw_amount")))
@@ -84,9 +102,8 @@ def serve_sum_charts(fact: DataFrame, requests: DataFrame) -> DataFrame:
     by_size = (F.col("chart_type") == "bar") & (F.col("x_axis") != "ym")
     w = Window.partitionBy("cache_key").orderBy(
         F.when(by_size, -F.col("raw_amount")).otherwise(F.lit(0)), F.col("x"))
-    limit = F.least(F.greatest(F.coalesce(F.col("topn"), F.lit(TOPN_DEFAULT)), F.lit(TOPN_MIN)), F.lit(TOPN_MAX))
     ranked = sums.withColumn("pos", F.row_number().over(w).cast("bigint"))
-    kept = ranked.where((F.col("x_axis") == "ym") | (F.col("pos") <= limit))
+    kept = ranked.where((F.col("x_axis") == "ym") | (F.col("pos") <= _limit()))
 
     div = F.lit(1.0)
     for metric, (d, _unit) in UNITS.items():
@@ -95,3 +112,39 @@ def serve_sum_charts(fact: DataFrame, requests: DataFrame) -> DataFrame:
     total = F.sum("y").over(Window.partitionBy("cache_key"))
     share = round_half_even(F.try_divide(F.col("y"), total), 2)
     return pts.select("cache_key", "pos", "x", "raw_amount", "y", share.alias("share"))
+
+
+def serve_pie_charts(fact: DataFrame, requests: DataFrame) -> DataFrame:
+    """Points of every accepted pie request: ``cache_key, pos, x, amount``
+    (integer percentages, slices under 10 % folded into the "other" label)."""
+    j = _matched(fact, requests, ("pie",))
+    amount = F.when(F.col("value") == "trans_count", F.col("c")).otherwise(F.col("t"))
+    g = (j.groupBy("cache_key", "x_axis", "topn", _dim_value("x_axis").alias("x"))
+         .agg(F.sum(amount).alias("group_amount")))
+    total = F.sum("group_amount").over(Window.partitionBy("cache_key"))
+    pct = F.round(F.try_divide(F.col("group_amount").cast("double"), total.cast("double")) * F.lit(100.0), 0)
+    s = g.select("cache_key", "x_axis", "topn", "x", pct.alias("pct"))
+    s = s.withColumn("x", F.when(F.col("pct") < PIE_OTHER_BELOW_PCT, F.lit(OTHER_LABEL)).otherwise(F.col("x")))
+    u = s.groupBy("cache_key", "x_axis", "topn", "x").agg(F.sum("pct").alias("amount"))
+    by_label = F.col("x_axis") == "ym"
+    w = Window.partitionBy("cache_key").orderBy(
+        F.when(by_label, F.lit(0.0)).otherwise(-F.col("amount")).asc_nulls_last(), F.col("x"))
+    ranked = u.withColumn("pos", F.row_number().over(w).cast("bigint"))
+    kept = ranked.where(by_label | (F.col("pos") <= _limit()))
+    label = F.when(F.col("amount") >= PIE_RELABEL_BELOW, F.col("x")).otherwise(F.lit(OTHER_LABEL))
+    return kept.select("cache_key", "pos", label.alias("x"), "amount")
+
+
+def serve_heatmap_charts(fact: DataFrame, requests: DataFrame, digits: int = 4) -> DataFrame:
+    """Cells of every accepted heatmap request: ``cache_key, pos, x, y,
+    amount`` (average ticket, NULL for a zero count)."""
+    j = _matched(fact, requests, ("heatmap",))
+    g = (j.groupBy("cache_key", "x_axis", "y_axis", _dim_value("x_axis").alias("x"),
+                   _dim_value("y_axis").alias("y"))
+         .agg(F.sum("t").alias("num"), F.sum("c").alias("den")))
+    amount = F.round(F.try_divide(F.col("num").cast("double"), F.col("den").cast("double")), digits)
+    age = (F.col("x_axis") == "age_level") | (F.col("y_axis") == "age_level")
+    w = Window.partitionBy("cache_key").orderBy(
+        F.when(age, F.col("y")).otherwise(F.col("x")), F.when(age, F.col("x")).otherwise(F.col("y")))
+    return g.select("cache_key", F.row_number().over(w).cast("bigint").alias("pos"), "x", "y",
+                    amount.alias("amount"))

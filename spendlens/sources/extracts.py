@@ -4,8 +4,6 @@ Every value is read as text; typing happens in ``operators.clean``.
 """
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +33,10 @@ def read_csv_extract(spark: SparkSession, path: str, na_tokens=NA_TOKENS,
     return _null_na_tokens(df, na_tokens)
 
 
-def _json_rows(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    return (spark.read.option("multiLine", multi_line)
+def _json_rows(spark: SparkSession, path: str, multi_line: bool, mode: str = "FAILFAST") -> DataFrame:
+    """Malformed JSON fails the read (``FAILFAST``) instead of turning into
+    all-NULL rows that imputation would then fill."""
+    return (spark.read.option("multiLine", multi_line).option("mode", mode)
             .option("primitivesAsString", True).json(path))
 
 
@@ -44,7 +44,7 @@ def _records_from_keyed(spark: SparkSession, path: str) -> DataFrame:
     """Object of objects (id -> record): one row per inner object."""
     docs = spark.read.text(path, wholetext=True)
     recs = docs.select(F.explode(F.from_json(
-        "value", T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType()))
+        "value", T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType())), {"mode": "FAILFAST"}
     )).alias("_id", "rec"))
     # Field names: distinct keys of all records -- a tiny result.
     names = sorted(r[0] for r in recs.select(F.explode(F.map_keys("rec"))).distinct().collect())
@@ -68,20 +68,23 @@ def _pick_records_key(schema: T.StructType, records_key: str | None) -> str | No
 
 
 def detect_json_layout(spark: SparkSession, path: str) -> str:
-    """'array', 'lines' or 'object' from the first two non-empty lines."""
-    head = [r[0] for r in spark.read.text(path)
-            .where(F.trim("value") != "").limit(2).collect()]
+    """'array', 'lines' or 'object' from the first two non-empty lines.
+
+    Only a short prefix of each line and a flag computed on the executors
+    (does the line hold a complete JSON object?) reach the driver -- a
+    one-line document may be arbitrarily long.
+    """
+    text = F.regexp_replace(F.col("value"), "^[\\s\ufeff]+", "")
+    head = (spark.read.text(path).select(text.alias("v")).where(F.col("v") != "")
+            .select(F.substring("v", 1, 16).alias("prefix"),
+                    F.from_json("v", T.MapType(T.StringType(), T.StringType())).isNotNull().alias("complete"))
+            .limit(2).collect())
     if not head:
         return "lines"
-    first = head[0].lstrip().lstrip("﻿")
-    if first.startswith("["):
+    if head[0]["prefix"].startswith("["):
         return "array"
-    if len(head) > 1:
-        try:
-            json.loads(first)
-            return "lines"
-        except ValueError:
-            pass
+    if len(head) > 1 and head[0]["complete"]:
+        return "lines"
     return "object"
 
 

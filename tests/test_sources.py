@@ -71,3 +71,19 @@ def test_append_is_idempotent_and_keeps_month_text(spark, make_fact, tmpdir_fres
     assert got.count() == 3
     assert append_new_rows(spark, a.limit(0), path) == 0
     assert os.path.isdir(local_path(path))
+
+
+def test_malformed_json_lines_fail(spark, tmpdir_fresh):
+    p = _write(tmpdir_fresh, "bad.json", '{"a": 1}\n{"a": \n')
+    with pytest.raises(Exception):
+        read_json_extract(spark, p, layout="lines").collect()
+
+
+def test_detect_layout_single_line_document(spark, tmpdir_fresh):
+    from spendlens.sources.extracts import detect_json_layout
+    p = _write(tmpdir_fresh, "one.json", json.dumps({"r1": {"a": 1}, "r2": {"a": 2}}))
+    assert detect_json_layout(spark, p) == "object"
+    p = _write(tmpdir_fresh, "pretty.json", json.dumps({"rows": RECS}, indent=2))
+    assert detect_json_layout(spark, p) == "object"
+    p = _write(tmpdir_fresh, "bom.json", "﻿" + json.dumps(RECS))
+    assert detect_json_layout(spark, p) == "array"

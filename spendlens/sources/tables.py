@@ -42,10 +42,12 @@ def widen(df: DataFrame) -> DataFrame:
     Real fact-sized inputs are split into far more partitions than cores,
     so there this is a no-op (only file metadata is consulted).
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 <= cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 -- no RDD access (e.g. Spark Connect)
+        return df
+    return df.repartition(cores) if parts * 2 <= cores else df
 
 
 def age_band(p_size):

@@ -108,8 +108,8 @@ def kth_values(df: DataFrame, wanted: dict[str, list[int]], buckets: int = BUCKE
                 if cum < t[1] <= cum + n:
                     progressed = (mn, mx) != (lo, hi)
                     state[t] = [mn, mx, cum, lin or not progressed]
-                    if not progressed and lin:
-                        small.append(t)
+                    if mn != mx and (n <= final_rows or (not progressed and lin)):
+                        small.append(t)  # few enough values left: rank them now
                     break
                 cum += n
         if small:

@@ -157,3 +157,10 @@ def test_pivot_and_coords(make_fact):
 def test_slug(spark):
     df = spark.createDataFrame([("199501-200111  產業別 x 交易金額 (單位：十億元)",)], "s string")
     assert df.select(slug("s")).first()[0] == "199501-200111--產業別-x-交易金額--單位-十億元-"
+
+
+def test_collation_option(make_fact):
+    from spendlens.operators.filters import apply_filters
+    fact = make_fact([("202401", "n", "Café", U20, 1, 10), ("202401", "n", "bar", U20, 1, 20)])
+    assert apply_filters(fact, ChartFilter(industry="cafe")).count() == 0
+    assert apply_filters(fact, ChartFilter(industry="cafe", collation="UNICODE_CI_AI")).count() == 1

@@ -17,7 +17,7 @@ def _strip(c: Column) -> Column:
 
 
 def parse_number(c: Column | str, thousands: str = "strip") -> Column:
-    """Text -> double; unparsable or missing -> NULL.
+    """Text -> double; unparsable, non-finite or missing -> NULL.
 
     ``thousands='strip'`` removes ``,`` separators (``"1,234"`` -> 1234.0).
     ``thousands='space'`` replaces them by a space first, the literal
@@ -32,7 +32,8 @@ def parse_number(c: Column | str, thousands: str = "strip") -> Column:
     else:
         raise ValueError(f"thousands must be 'strip' or 'space', got {thousands!r}")
     txt = _strip(txt)
-    return F.when(txt.rlike(_DECIMAL_LITERAL), txt.try_cast("double"))
+    # An overflowing literal ('1e999') parses to infinity: missing as well.
+    return finite_or_null(F.when(txt.rlike(_DECIMAL_LITERAL), txt.try_cast("double")))
 
 
 def finite_or_null(c: Column) -> Column:

@@ -20,7 +20,8 @@ NUM_RX = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 def _parse_sql(c: str, sep: str) -> str:
     t = f"trim(replace({c}, ',', '{sep}'))"
-    return f"CASE WHEN regexp_full_match({t}, '{NUM_RX}') THEN CAST({t} AS DOUBLE) END"
+    return (f"CASE WHEN regexp_full_match({t}, '{NUM_RX}') AND isfinite(TRY_CAST({t} AS DOUBLE)) "
+            f"THEN CAST({t} AS DOUBLE) END")
 
 
 def _mode_sql(c: str) -> str:

@@ -13,16 +13,18 @@ from ..operators.clean import ImputeReport, clean_extract
 from ..sources.extracts import ingest
 from ..sources.sinks import append_new_rows
 
-RAW_DOC_ORDERS = 10_000  # orders per JSON document (bounds a document's size)
+ROWS_PER_DOC = 50_000  # target records per JSON document (bounds a document's size)
+LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "copy")
 
 
 def write_extract(df: DataFrame, layout: str, path: str, headers: list[str]) -> str:
     """Write a raw extract (line key columns and ``copy`` plus ``headers``).
 
     ``csv`` / ``lines`` are written split across tasks.  The document layouts
-    (``array``, ``wrapped``, ``keyed``) become one JSON document per block of
-    ``RAW_DOC_ORDERS`` orders, each in its own file, so a document's size is
-    bounded no matter how large the extract is.
+    (``array``, ``wrapped``, ``keyed``) become one JSON document per block,
+    each in its own file.  Blocks are a hash of the unique line key over
+    ``ceil(rows / ROWS_PER_DOC)`` buckets, so every document holds about
+    ``ROWS_PER_DOC`` records however skewed the order keys are.
     """
     rec = F.struct(*[F.col(f"`{h}`") for h in headers])
     if layout == "csv":
@@ -31,7 +33,8 @@ def write_extract(df: DataFrame, layout: str, path: str, headers: list[str]) ->
     if layout == "lines":
         df.select(*headers).write.json(path)
         return path
-    block = F.floor(F.col("l_orderkey") / F.lit(RAW_DOC_ORDERS)).alias("block")
+    n_blocks = max(1, -(-df.count() // ROWS_PER_DOC))
+    block = F.pmod(F.xxhash64(*[F.col(c) for c in LINE_KEY]), F.lit(n_blocks)).alias("block")
     grouped = df.groupBy(block)
     if layout == "array":
         docs = grouped.agg(F.to_json(F.collect_list(rec)).alias("value"))
@@ -40,7 +43,7 @@ def write_extract(df: DataFrame, layout: str, path: str, headers: list[str]) ->
             F.struct(F.count(F.lit(1)).alias("rows")).alias("meta"),
             F.collect_list(rec).alias("records"))).alias("value"))
     elif layout == "keyed":
-        key = F.concat_ws("_", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "copy")])
+        key = F.concat_ws("_", *[F.col(c).cast("string") for c in LINE_KEY])
         docs = grouped.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, rec)))).alias("value"))
     else:
         raise ValueError(f"unknown layout {layout!r}")

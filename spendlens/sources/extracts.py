@@ -18,16 +18,17 @@ def _null_na_tokens(df: DataFrame, tokens=NA_TOKENS) -> DataFrame:
 
 
 def read_csv_extract(spark: SparkSession, path: str, na_tokens=NA_TOKENS,
-                     encoding: str = "UTF-8") -> DataFrame:
+                     encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
     """Header CSV, UTF-8 (a BOM is dropped), every column as text.
 
     Files are split and read in parallel by Spark; quoted fields may hold the
-    delimiter (``"1,234"``).
+    delimiter (``"1,234"``).  ``multi_line=True`` accepts quoted line breaks
+    at the cost of reading each file in one task.
     """
     df = (spark.read
           .option("header", True)
           .option("encoding", encoding)
-          .option("multiLine", False)
+          .option("multiLine", multi_line)
           .option("inferSchema", False)
           .csv(path))
     return _null_na_tokens(df, na_tokens)

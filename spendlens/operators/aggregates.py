@@ -5,7 +5,8 @@ partial (map-side) aggregation collapses each input partition to at most one
 row per group before the shuffle: the shuffle volume is independent of the
 fact size and a hot group (one industry holding a third of all rows) costs no
 more than any other.  Sums are taken over ``bigint`` columns so results do not
-depend on the order of addition.
+depend on the order of addition.  ``ordered=False`` skips a final global
+sort when the caller fixes the order itself (a position window).
 """
 from __future__ import annotations
 
@@ -22,7 +23,7 @@ def group_sum(df: DataFrame, keys: list[str], value: str, alias: str = "raw_amou
 
 
 def bar_sums(fact: DataFrame, x_axis: str, value: str, f: ChartFilter = ChartFilter(),
-             dimensions=DIMENSIONS) -> DataFrame:
+             dimensions=DIMENSIONS, ordered: bool = True) -> DataFrame:
     """A1: ``SUM(value)`` by ``x``.  Month axis: every month, ascending.
     Otherwise the top-N by sum (ties by label), which Spark plans as a
     per-partition top-N merged on one task (``TakeOrderedAndProject``)."""
@@ -30,23 +31,24 @@ def bar_sums(fact: DataFrame, x_axis: str, value: str, f: ChartFilter = ChartFil
     g = group_sum(apply_filters(fact, f.validate()).select(F.col(x_axis).alias("x"), value),
                   ["x"], value)
     if x_axis == "ym":
-        return g.orderBy("x")
+        return g.orderBy("x") if ordered else g
     return g.orderBy(F.desc("raw_amount"), F.asc("x")).limit(clamp_topn(f.topn))
 
 
 def line_sums(fact: DataFrame, x_axis: str, value: str, f: ChartFilter = ChartFilter(),
-              dimensions=DIMENSIONS) -> DataFrame:
+              dimensions=DIMENSIONS, ordered: bool = True) -> DataFrame:
     """A2: like A1 but always ascending by label; the limit (non-month axes)
     keeps the first N labels, not the N largest."""
     check_columns(x_axis, value=value, dimensions=dimensions)
     g = group_sum(apply_filters(fact, f.validate()).select(F.col(x_axis).alias("x"), value),
                   ["x"], value)
-    g = g.orderBy("x")
-    return g if x_axis == "ym" else g.limit(clamp_topn(f.topn))
+    if x_axis == "ym":
+        return g.orderBy("x") if ordered else g
+    return g.orderBy("x").limit(clamp_topn(f.topn))
 
 
 def pie_shares(fact: DataFrame, x_axis: str, value: str, f: ChartFilter = ChartFilter(),
-               dimensions=DIMENSIONS) -> DataFrame:
+               dimensions=DIMENSIONS, ordered: bool = True) -> DataFrame:
     """A3: each group's percentage of the filtered total, as an integer
     percent; groups under 10 % are folded into one "other" slice; then
     ordered (month axis: by label, no limit; else by share, top-N).
@@ -65,13 +67,14 @@ def pie_shares(fact: DataFrame, x_axis: str, value: str, f: ChartFilter = ChartF
                  .otherwise(F.col("x")).alias("x"), "pct")
     u = s.groupBy("x").agg(F.sum("pct").alias("amount"))
     if x_axis == "ym":
-        return u.orderBy("x")
+        return u.orderBy("x") if ordered else u
     return u.orderBy(F.desc("amount"), F.asc("x")).limit(clamp_topn(f.topn))
 
 
 def heatmap_cells(fact: DataFrame, x_axis: str, y_axis: str,
                   value: str = HEATMAP_VALUE, value2: str = HEATMAP_VALUE2,
-                  f: ChartFilter = ChartFilter(), dimensions=DIMENSIONS) -> DataFrame:
+                  f: ChartFilter = ChartFilter(), dimensions=DIMENSIONS,
+                  ordered: bool = True) -> DataFrame:
     """A4: average ticket ``SUM(value) / SUM(value2)`` per (x, y) cell;
     a zero divisor gives NULL.  Only the total/count pair is accepted.
     Ordered by (y, x) when an axis is the age band, else (x, y)."""
@@ -88,7 +91,7 @@ def heatmap_cells(fact: DataFrame, x_axis: str, y_axis: str,
     cells = g.select("x", "y", F.try_divide(F.col("num").cast("double"),
                                            F.col("den").cast("double")).alias("amount"))
     order = ["y", "x"] if "age_level" in (x_axis, y_axis) else ["x", "y"]
-    return cells.orderBy(*order)
+    return cells.orderBy(*order) if ordered else cells
 
 
 def trend(base: DataFrame, unit: float = DASHBOARD_UNIT, digits: int = 4) -> DataFrame:
@@ -96,10 +99,11 @@ def trend(base: DataFrame, unit: float = DASHBOARD_UNIT, digits: int = 4) -> Dat
     return (base.groupBy("ym").agg(_unit_sum(unit, digits).alias("amount")).orderBy("ym"))
 
 
-def month_industry(base: DataFrame, unit: float = DASHBOARD_UNIT, digits: int = 4) -> DataFrame:
+def month_industry(base: DataFrame, unit: float = DASHBOARD_UNIT, digits: int = 4,
+                   ordered: bool = True) -> DataFrame:
     """Amount per (month, industry), by month then amount descending."""
-    return (base.groupBy("ym", "industry").agg(_unit_sum(unit, digits).alias("amount"))
-            .orderBy("ym", F.desc("amount"), "industry"))
+    g = base.groupBy("ym", "industry").agg(_unit_sum(unit, digits).alias("amount"))
+    return g.orderBy("ym", F.desc("amount"), "industry") if ordered else g
 
 
 def industry_ranking(base: DataFrame, unit: float = DASHBOARD_UNIT, digits: int = 4) -> DataFrame:

@@ -38,7 +38,7 @@ def overview(fact: DataFrame, start_month: str | None = None, end_month: str | N
     they run in one job, Spark reuses the shared scan's exchange."""
     base = dashboard_base(fact, start_month, end_month, age_level)
     trend_base = base if industry is None else base.where(F.col("industry") == F.lit(industry))
-    month_rank = rank_within(drop_nonfinite(A.month_industry(base, unit)), "ym")
+    month_rank = rank_within(drop_nonfinite(A.month_industry(base, unit, ordered=False)), "ym")
     return Overview(trend=A.trend(trend_base, unit),
                     rank=A.industry_ranking(base, unit),
                     month_rank=month_rank.orderBy("ym", "rank"))

@@ -17,7 +17,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # Largest dimension (rows) joined by broadcast; above it the join shuffles.
 BROADCAST_MAX_ROWS_KEY = "spendlens.broadcast.maxRows"
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_ROWS = 1_000_000  # ~50 MB hash table for the narrow joined dimensions
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:

@@ -43,3 +43,27 @@ def test_query_matches_oracle_small(spark, name):
     idx = [rel.columns.index(c) for c in cols]
     b = sorted(tuple(_norm(r[i]) for i in idx) for r in rel.fetchall())
     assert a == b
+
+
+def test_fact_same_with_and_without_broadcast(spark):
+    from pyspark.sql import functions as F
+    from spendlens.sources.tables import BROADCAST_MAX_ROWS_KEY, fact_from_tables
+
+    def digest(df):
+        return df.groupBy().agg(F.count(F.lit(1)).alias("n"), F.sum("trans_total").alias("t"),
+                                F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
+
+    with_bc = digest(fact_from_tables(spark, SF))
+    spark.conf.set(BROADCAST_MAX_ROWS_KEY, "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = fact_from_tables(spark, SF)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan
+        assert digest(df) == with_bc
+    finally:
+        spark.conf.unset(BROADCAST_MAX_ROWS_KEY)
+        for k, v in (("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024)),
+                     ("spark.sql.adaptive.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))):
+            spark.conf.set(k, v)

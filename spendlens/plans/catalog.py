@@ -93,11 +93,11 @@ def filter_sql(f: ChartFilter) -> str:
 
 
 def bar_like_ctes(x: str, value: str, f: ChartFilter, div: float, by_size: bool,
-                  limit: int | None) -> tuple[str, str]:
+                  limit: int | None, where: str | None = None) -> tuple[str, str]:
     """CTEs ``g`` (sums, ordered, limited) and ``pts`` (chart points)."""
     order = "raw_amount DESC, x ASC" if by_size else "x ASC"
     lim = f"LIMIT {limit}" if limit is not None else ""
-    g = f"""g AS (SELECT {x} AS x, CAST(sum({value}) AS BIGINT) AS raw_amount FROM fact {filter_sql(f)}
+    g = f"""g AS (SELECT {x} AS x, CAST(sum({value}) AS BIGINT) AS raw_amount FROM fact {where or filter_sql(f)}
                  GROUP BY {x} ORDER BY {order} {lim})"""
     pts = f"""pts AS (SELECT CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS pos,
                   x, y, {rint2('y / sum(y) OVER ()')} AS share, CAST(NULL AS DOUBLE) AS growth
@@ -475,3 +475,35 @@ def q_doc_bar_industry(spark, sf_dir):
     from ..operators.requests_log import points_document
     pts = charts.bar_points(_fact(spark, sf_dir), "industry", "trans_total", F_9699, divisor=1e6)
     return points_document(pts.withColumn("chart", F.lit("agg_bar_industry")), ["chart"])
+
+
+# ---------------------------------------------------------------------------
+# Canned analyses under the default period (F9 presets)
+# ---------------------------------------------------------------------------
+
+PRESET_WHERE = ("WHERE ym >= (SELECT substr(max(ym), 1, 4) || '01' FROM fact) "
+                "AND ym <= (SELECT max(ym) FROM fact)")
+
+
+@register("preset_bar_industry", with_fact(
+    "SELECT pos, x, y, share, growth FROM pts",
+    *bar_like_ctes("industry", "trans_total", ChartFilter(), 1e9, True, 20, where=PRESET_WHERE)))
+def q_preset_bar_industry(spark, sf_dir):
+    """Canned analysis 1: spend by industry, January of the latest year to
+    the latest month, default units."""
+    from ..operators.filters import preset_filter
+    fact = _fact(spark, sf_dir)
+    return charts.bar_points(fact, "industry", "trans_total", preset_filter(fact))
+
+
+@register("preset_heatmap_industry_age", with_fact(
+    f"""SELECT CAST(row_number() OVER (ORDER BY y, x) AS BIGINT) AS pos, x, y,
+              round(CAST(num AS DOUBLE) / CAST(nullif(den, 0) AS DOUBLE), 4) AS amount
+       FROM (SELECT industry AS x, age_level AS y, sum(trans_total) AS num, sum(trans_count) AS den
+             FROM fact {PRESET_WHERE} GROUP BY 1, 2)"""))
+def q_preset_heatmap_industry_age(spark, sf_dir):
+    """Canned analysis 2: average ticket by industry and age band over the
+    default period."""
+    from ..operators.filters import preset_filter
+    fact = _fact(spark, sf_dir)
+    return charts.heatmap_points(fact, "industry", "age_level", preset_filter(fact))

@@ -43,8 +43,11 @@ def write_extract(df: DataFrame, layout: str, path: str, headers: list[str]) ->
             F.struct(F.count(F.lit(1)).alias("rows")).alias("meta"),
             F.collect_list(rec).alias("records"))).alias("value"))
     elif layout == "keyed":
-        key = F.concat_ws("_", *[F.col(c).cast("string") for c in LINE_KEY])
-        docs = grouped.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, rec)))).alias("value"))
+        # ids "<block>-<position>": unique within a document whatever the data
+        recs = grouped.agg(F.collect_list(rec).alias("r"))
+        ids = F.transform(F.sequence(F.lit(1), F.size("r")),
+                          lambda i: F.concat_ws("-", F.col("block").cast("string"), i.cast("string")))
+        docs = recs.select("block", F.to_json(F.map_from_arrays(ids, F.col("r"))).alias("value"))
     else:
         raise ValueError(f"unknown layout {layout!r}")
     docs.write.partitionBy("block").text(path)

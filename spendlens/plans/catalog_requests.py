@@ -192,8 +192,9 @@ def q_req_serve_bar_line(spark, sf_dir):
     """Points of every accepted bar / line request of the log, from one
     rolled-up lookup of the fact and an equi-join."""
     from ..sources.tables import fact_table
-    from .serving import serve_sum_charts
-    return serve_sum_charts(fact_table(spark, sf_dir), _accepted(spark, sf_dir))
+    from .serving import serve_sum_charts, stored_lookup
+    fact = fact_table(spark, sf_dir)
+    return serve_sum_charts(fact, _accepted(spark, sf_dir), stored_lookup(spark, fact, sf_dir))
 
 
 SERVE_PIE_SQL = REQ_SQL + "," + FACT_LINES_SQL + """,
@@ -222,8 +223,9 @@ FROM r WHERE x_axis = 'ym' OR pos <= least(greatest(coalesce(topn, 20), 1), 200)
 def q_req_serve_pie(spark, sf_dir):
     """Slices of every accepted pie request of the log."""
     from ..sources.tables import fact_table
-    from .serving import serve_pie_charts
-    return serve_pie_charts(fact_table(spark, sf_dir), _accepted(spark, sf_dir))
+    from .serving import serve_pie_charts, stored_lookup
+    fact = fact_table(spark, sf_dir)
+    return serve_pie_charts(fact, _accepted(spark, sf_dir), stored_lookup(spark, fact, sf_dir))
 
 
 SERVE_HEATMAP_SQL = REQ_SQL + "," + FACT_LINES_SQL + """,
@@ -250,5 +252,6 @@ FROM g"""
 def q_req_serve_heatmap(spark, sf_dir):
     """Cells of every accepted heatmap request of the log."""
     from ..sources.tables import fact_table
-    from .serving import serve_heatmap_charts
-    return serve_heatmap_charts(fact_table(spark, sf_dir), _accepted(spark, sf_dir))
+    from .serving import serve_heatmap_charts, stored_lookup
+    fact = fact_table(spark, sf_dir)
+    return serve_heatmap_charts(fact, _accepted(spark, sf_dir), lookup=stored_lookup(spark, fact, sf_dir))

@@ -67,12 +67,20 @@ def _request_keys(requests: DataFrame) -> DataFrame:
         F.coalesce(ind_f, F.lit(ANY)).alias("r_ind"), F.coalesce(age_f, F.lit(ANY)).alias("r_age"))
 
 
-def _matched(fact: DataFrame, requests: DataFrame, chart_types: tuple[str, ...]) -> DataFrame:
+def stored_lookup(spark, fact: DataFrame, source: str) -> DataFrame:
+    """The rolled-up lookup written once per session and source (shared by
+    every chart family); its row count then comes from parquet footers."""
+    from ..config import session_table
+    return session_table(spark, "serving_lookup", source, lambda: rollup_lookup(fact))
+
+
+def _matched(fact: DataFrame, requests: DataFrame, chart_types: tuple[str, ...],
+             lookup: DataFrame | None = None) -> DataFrame:
     """Each distinct request joined to the lookup rows it aggregates."""
     # One row per key: every field is a function of the key, so a distinct
     # over flat columns (a hash aggregate) is enough.
     reqs = _request_keys(requests.where(F.col("chart_type").isin(*chart_types))).distinct()
-    lookup = rollup_lookup(fact)
+    lookup = rollup_lookup(fact) if lookup is None else lookup
     lookup = broadcast_if_small(lookup, lookup.count())
     cond = ((reqs.r_grain == lookup.grain) & (reqs.r_ind == lookup.ind_key) & (reqs.r_age == lookup.age_key)
             & (reqs.start_month.isNull() | (lookup.ym >= reqs.start_month))
@@ -90,10 +98,10 @@ def _limit():
     return F.least(F.greatest(F.coalesce(F.col("topn"), F.lit(TOPN_DEFAULT)), F.lit(TOPN_MIN)), F.lit(TOPN_MAX))
 
 
-def serve_sum_charts(fact: DataFrame, requests: DataFrame) -> DataFrame:
+def serve_sum_charts(fact: DataFrame, requests: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
     """Points of every accepted bar / line request: ``cache_key, pos, x,
     raw_amount, y, share`` (one chart per key, chart order in ``pos``)."""
-    j = _matched(fact, requests, ("bar", "line"))
+    j = _matched(fact, requests, ("bar", "line"), lookup)
     xval = _dim_value("x_axis")
     amount = F.when(F.col("value") == "trans_count", F.col("c")).otherwise(F.col("t"))
     sums = (j.groupBy("cache_key", "chart_type", "x_axis", "value", "topn", xval.alias("x"))
@@ -114,10 +122,10 @@ def serve_sum_charts(fact: DataFrame, requests: DataFrame) -> DataFrame:
     return pts.select("cache_key", "pos", "x", "raw_amount", "y", share.alias("share"))
 
 
-def serve_pie_charts(fact: DataFrame, requests: DataFrame) -> DataFrame:
+def serve_pie_charts(fact: DataFrame, requests: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
     """Points of every accepted pie request: ``cache_key, pos, x, amount``
     (integer percentages, slices under 10 % folded into the "other" label)."""
-    j = _matched(fact, requests, ("pie",))
+    j = _matched(fact, requests, ("pie",), lookup)
     amount = F.when(F.col("value") == "trans_count", F.col("c")).otherwise(F.col("t"))
     g = (j.groupBy("cache_key", "x_axis", "topn", _dim_value("x_axis").alias("x"))
          .agg(F.sum(amount).alias("group_amount")))
@@ -135,10 +143,11 @@ def serve_pie_charts(fact: DataFrame, requests: DataFrame) -> DataFrame:
     return kept.select("cache_key", "pos", label.alias("x"), "amount")
 
 
-def serve_heatmap_charts(fact: DataFrame, requests: DataFrame, digits: int = 4) -> DataFrame:
+def serve_heatmap_charts(fact: DataFrame, requests: DataFrame, digits: int = 4,
+                         lookup: DataFrame | None = None) -> DataFrame:
     """Cells of every accepted heatmap request: ``cache_key, pos, x, y,
     amount`` (average ticket, NULL for a zero count)."""
-    j = _matched(fact, requests, ("heatmap",))
+    j = _matched(fact, requests, ("heatmap",), lookup)
     g = (j.groupBy("cache_key", "x_axis", "y_axis", _dim_value("x_axis").alias("x"),
                    _dim_value("y_axis").alias("y"))
          .agg(F.sum("t").alias("num"), F.sum("c").alias("den")))

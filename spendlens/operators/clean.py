@@ -10,7 +10,7 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.numbers import parse_number
 from ..schema import FACT_COLUMNS, HEADER_MAP, METRIC_COLUMNS, TEXT_COLUMNS
@@ -74,30 +74,43 @@ class ImputeReport:
     fill_values: dict[str, object] = field(default_factory=dict)
 
 
+def _present(c: str, num_cols) -> Column:
+    """The value when present; a NaN in a number column counts as missing."""
+    if c in num_cols:
+        v = F.col(c).cast("double")
+        return F.when(~F.isnan(v), v)
+    return F.col(c)
+
+
+def impute_stats_exprs(num_cols, str_cols) -> list[Column]:
+    """Aggregates the imputation needs: rows, present values per column,
+    min / max per number column."""
+    cols = list(num_cols) + list(str_cols)
+    return ([F.count(F.lit(1)).alias("__rows")]
+            + [F.count(_present(c, num_cols)).alias(c) for c in cols]
+            + [F.min(F.col(c).cast("double")).alias(f"__min_{c}") for c in num_cols]
+            + [F.max(F.col(c).cast("double")).alias(f"__max_{c}") for c in num_cols])
+
+
 def impute(df: DataFrame, num_cols=METRIC_COLUMNS, str_cols=TEXT_COLUMNS,
-           median: str = "exact", report: ImputeReport | None = None) -> DataFrame:
+           median: str = "exact", report: ImputeReport | None = None,
+           stats: dict | None = None) -> DataFrame:
     """Fill missing numbers with the column median and missing text
     with the column mode -- only for columns that have missing values.  A
     column without any value (no median / mode) is left missing.
 
     The statistics are computed with a few small aggregate jobs and applied
-    as literals; the returned DataFrame stays lazy.
+    as literals; the returned DataFrame stays lazy.  ``stats`` (the values of
+    ``impute_stats_exprs``, e.g. observed while the rows were written) saves
+    the first of those jobs.
     """
     num_cols = [c for c in num_cols if c in df.columns]
     str_cols = [c for c in str_cols if c in df.columns]
     cols = num_cols + str_cols
     if not cols:
         return df
-    def present(c):
-        if c in num_cols:  # a NaN counts as missing, like NULL
-            v = F.col(c).cast("double")
-            return F.when(~F.isnan(v), v)
-        return F.col(c)
-
-    stats = df.agg(F.count(F.lit(1)).alias("__rows"),
-                   *[F.count(present(c)).alias(c) for c in cols],
-                   *[F.min(F.col(c).cast("double")).alias(f"__min_{c}") for c in num_cols],
-                   *[F.max(F.col(c).cast("double")).alias(f"__max_{c}") for c in num_cols]).first()
+    if not stats or "__rows" not in stats:
+        stats = df.agg(*impute_stats_exprs(num_cols, str_cols)).first().asDict()
     rows = stats["__rows"]
     ratio = {c: (1.0 - stats[c] / rows) if rows else 0.0 for c in cols}
     need_num = [c for c in num_cols if ratio[c] > 0]
@@ -116,7 +129,7 @@ def impute(df: DataFrame, num_cols=METRIC_COLUMNS, str_cols=TEXT_COLUMNS,
     if report is not None:
         report.missing_ratio.update(ratio)
         report.fill_values.update(fills)
-    repl = {c: F.coalesce(present(c), F.lit(v)) for c, v in fills.items() if v is not None}
+    repl = {c: F.coalesce(_present(c, num_cols), F.lit(v)) for c, v in fills.items() if v is not None}
     return df.withColumns(repl) if repl else df
 
 
@@ -149,11 +162,20 @@ def clean_extract(df: DataFrame, thousands: str = "strip", median: str = "exact"
     shared checkpoint folder before the statistics passes: the raw input is
     read and parsed once instead of once per pass, each pass reads only the
     columns it needs, and the lineage is cut (an executor loss re-reads the
-    written table instead of re-running the extract).
+    written table instead of re-running the extract).  The first statistics
+    (counts, min / max) are observed during that write.
     """
     parsed = parse_metrics(project(require_columns(rename_headers(df))), thousands=thousands)
+    stats = None
     if materialize:
         from ..config import shared_path, write_table
-        parsed = write_table(parsed, shared_path(df.sparkSession, "parsed-extract"))
-    filled = impute(parsed, median=median, report=report)
+        # The imputation statistics are observed while the rows are written.
+        obs = Observation("parsed_extract_stats")
+        observed = parsed.observe(obs, *impute_stats_exprs(METRIC_COLUMNS, TEXT_COLUMNS))
+        parsed = write_table(observed, shared_path(df.sparkSession, "parsed-extract"))
+        try:
+            stats = obs.get
+        except Exception:  # noqa: BLE001 -- metrics pruned with an empty plan
+            stats = None
+    filled = impute(parsed, median=median, report=report, stats=stats)
     return final_types(drop_exact_duplicates(filled))

@@ -97,13 +97,10 @@ def q_clean_missing_profile(spark, sf_dir):
 def q_clean_fill_values(spark, sf_dir):
     """The imputation values (exact medians, smallest-on-tie modes)
     of the columns that have missing values, as one row."""
-    raw = dirty_extract(spark, sf_dir)
-    parsed = C.parse_metrics(C.project(C.rename_headers(raw)))
     rep = C.ImputeReport()
-    C.impute(parsed, report=rep)
-    spark_ = raw.sparkSession
+    C.clean_extract(dirty_extract(spark, sf_dir), report=rep)  # statistics run eagerly
     vals = rep.fill_values
-    return spark_.range(1).select(
+    return spark.range(1).select(
         F.lit(vals.get("trans_count")).cast("double").alias("trans_count"),
         F.lit(vals.get("trans_total")).cast("double").alias("trans_total"),
         F.lit(vals.get("ym")).cast("string").alias("ym"),

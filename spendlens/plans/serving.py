@@ -16,7 +16,8 @@ the same points come from one plan:
    range is the only non-equi condition, checked on the joined rows.  No
    nested-loop join, no pair enumeration beyond what the chart needs.
 3. The lookup table is broadcast only after its row count is checked against
-   the bound; otherwise the join shuffles on the equi keys.
+   the bound; otherwise the join shuffles on the equi keys (few distinct
+   keys, so AQE's skew join splits the request side of a hot key).
 4. Sums per (request, x) are partial-aggregated right after the join; the
    per-request ordering, top-N, unit scaling and share use windows
    partitioned by request, each holding at most max(months, 200) rows.

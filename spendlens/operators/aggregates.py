@@ -138,7 +138,19 @@ def age_levels(fact: DataFrame) -> DataFrame:
 
 
 def _unit_sum(unit: float, digits: int):
-    return F.round(F.sum("trans_total").cast("double") / F.lit(float(unit)), digits)
+    """``SUM(trans_total) / unit`` rounded half away from zero to ``digits``
+    decimals, exactly as decimal arithmetic would: when ``unit`` is a power
+    of ten at least ``10^digits`` the rounding is done on the integer sum
+    (``(|s| + d/2) div d`` with ``d = unit / 10^digits``), so no binary
+    fraction decides a tie.  Other units round the double quotient."""
+    s = F.sum("trans_total")
+    scale = 10 ** digits
+    u = int(unit)
+    d = u // scale if float(unit) == u and u % scale == 0 else 0
+    if d and str(d).strip("0") == "1":
+        q = F.floor((F.abs(s) + F.lit(d // 2)).cast("decimal(38,0)") / F.lit(d).cast("decimal(38,0)"))
+        return F.signum(s) * q.cast("double") / F.lit(float(scale))
+    return F.round(s.cast("double") / F.lit(float(unit)), digits)
 
 
 def _whole():

@@ -334,7 +334,10 @@ DASH_BASE_CTE = """base AS (SELECT f.* FROM fact f, per WHERE f.ym >= per.s AND
 
 
 def unit_sum_sql(unit: float = 1e9, digits: int = 4) -> str:
-    return f"round(CAST(sum(trans_total) AS DOUBLE) / {float(unit)!r}, {digits})"
+    """Exact half-away-from-zero rounding of sum / unit (unit a power of ten)."""
+    d = int(unit) // 10 ** digits
+    return (f"CAST(sign(sum(trans_total)) * ((abs(sum(trans_total)) + {d // 2}) // {d}) AS DOUBLE)"
+            f" / {float(10 ** digits)!r}")
 
 
 @register("dash_trend", with_fact(

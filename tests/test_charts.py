@@ -164,3 +164,11 @@ def test_collation_option(make_fact):
     fact = make_fact([("202401", "n", "Café", U20, 1, 10), ("202401", "n", "bar", U20, 1, 20)])
     assert apply_filters(fact, ChartFilter(industry="cafe")).count() == 0
     assert apply_filters(fact, ChartFilter(industry="cafe", collation="UNICODE_CI_AI")).count() == 1
+
+
+def test_dashboard_amount_rounds_exact_decimal_ties(make_fact):
+    # 812950 / 1e6 = 0.81295 exactly; as a double it is 0.8129499..., which a
+    # binary rounding would take down.  Decimal semantics round it up.
+    fact = make_fact([("202401", "n", "a", U20, 1, 812950), ("202401", "n", "b", U20, 1, -812950 - 100)])
+    got = {r.industry: r.amount for r in dashboard.overview(fact, "202401", "202401", unit=1e6).rank.collect()}
+    assert got == {"a": 0.813, "b": -0.8131}

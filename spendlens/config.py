@@ -28,14 +28,18 @@ SCALE_CONF = {
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "spendlens") -> SparkSession:
+                  app_name: str = "spendlens", driver_memory: str = "8g") -> SparkSession:
     """Create (or reuse) a session with the scale settings applied.
 
-    On a cluster ``master`` stays ``None`` so spark-submit decides.
+    On a cluster ``master`` stays ``None`` so spark-submit decides.  In local
+    mode the driver JVM runs every task, so its heap is set explicitly
+    (Spark's default is 1 GB).
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.driver.memory", driver_memory)
     for k, v in SCALE_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:

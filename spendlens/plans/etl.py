@@ -13,7 +13,7 @@ from ..operators.clean import ImputeReport, clean_extract
 from ..sources.extracts import ingest
 from ..sources.sinks import append_new_rows
 
-ROWS_PER_DOC = 50_000  # target records per JSON document (bounds a document's size)
+ROWS_PER_DOC = 10_000  # target records per JSON document (bounds a document's size)
 LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "copy")
 
 

@@ -72,8 +72,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is None:
         return d
-    sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    current = sc.getCheckpointDir()
+    if not current or d.split("://")[-1].strip("/") not in current:
+        sc.setCheckpointDir(d)
+        current = sc.getCheckpointDir()
+    return current or d
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -69,7 +69,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="spendlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     if sc is None:
         return d
     current = sc.getCheckpointDir()

@@ -1,7 +1,7 @@
 """Registered queries of the corpus operators and their DuckDB SQL."""
 from __future__ import annotations
 
-from . import decontaminate, hilbert, line_quality, mixing, secret_scan
+from . import decontaminate, hilbert, jaccard_join, line_quality, mixing, secret_scan
 
 _QUERIES = (
     (line_quality.op4_line_quality, line_quality.SQL),
@@ -9,6 +9,7 @@ _QUERIES = (
     (hilbert.op6_hilbert_shards, None),
     (decontaminate.op8_contained_items, decontaminate.SQL),
     (secret_scan.op9_secret_scan, None),
+    (jaccard_join.op10_token_groups, None),
 )
 
 

@@ -1,12 +1,15 @@
 """Registered queries of the corpus operators and their DuckDB SQL."""
 from __future__ import annotations
 
-from . import decontaminate, hilbert, jaccard_join, line_quality, mixing, secret_scan
+from . import decontaminate, hilbert, jaccard_join, line_quality, lm_score, mixing, pii_crf, secret_scan, url_filter
 
 _QUERIES = (
+    (lm_score.op1_stupid_backoff, None),
+    (pii_crf.op3_crf_pii, None),
     (line_quality.op4_line_quality, line_quality.SQL),
     (mixing.op5_mix_sources, None),
     (hilbert.op6_hilbert_shards, None),
+    (url_filter.op7_bloom_urls, url_filter.SQL),
     (decontaminate.op8_contained_items, decontaminate.SQL),
     (secret_scan.op9_secret_scan, None),
     (jaccard_join.op10_token_groups, None),

@@ -34,8 +34,8 @@ from .tokens import shingle_sets, slices, text_buffer
 
 WIDTH, PERCENT = 4, 85
 #: A token in more documents than this counts as frequent; the most frequent
-#: ones, so many at most, are sent to every task (a bound on that table, which affects only the order).
-FREQUENT, FREQUENT_KEPT = 8, 1 << 20
+#: ones, so many at most (four bytes each), are sent to every task.  The bound affects only the order.
+FREQUENT, FREQUENT_KEPT = 2, 1 << 22
 #: Tokens of a group's members, or of the queries of one opening, in one task.
 GROUP_TOKENS = 1 << 20
 SLICE = 8 << 20
@@ -87,6 +87,19 @@ def _count(rows: pa.Table, least: int) -> pa.Table:
     return pa.table({"token": keys[first[many]].astype(np.int64), "times": times[many].astype(np.int64)})
 
 
+def _least_times(counts: DataFrame) -> int:
+    """The least count such that ``FREQUENT_KEPT`` tokens at most reach it."""
+    log = F.floor(F.log2("times") * 8)
+    steps = counts.groupBy(log.alias("step")).agg(F.min("times").alias("least"), F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    total, least = 0, 1 << 62
+    for row in steps:
+        total += row["n"]
+        if total > FREQUENT_KEPT:
+            break
+        least = row["least"]
+    return least
+
+
 def _prefixes(batches, width, percent, frequent):
     """Per document: size, identity of the set, home group and prefix."""
     for ids, sets in _sets(batches, width):
@@ -222,8 +235,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     buckets = 12 + size // (200 << 20)
     counts = (texts.where("doc_id is not null").mapInArrow(lambda it: _tally(it, width, buckets), "bucket int, tokens binary")
               .groupBy("bucket").applyInArrow(lambda t: _count(t, FREQUENT), "token long, times long"))
-    frequent = counts.orderBy(F.desc("times"), "token").limit(FREQUENT_KEPT).select("token").toArrow().column("token").to_numpy()
-    frequent = np.sort(frequent).astype(np.uint32)
+    counts = stored(counts, "token-counts")
+    frequent = np.sort(counts.where(F.col("times") >= _least_times(counts)).select("token").toArrow()
+                       .column("token").to_numpy().astype(np.uint32))
 
     sets = stored(texts.mapInArrow(lambda it: _prefixes(it, width, percent, frequent),
                                    "doc_id long, n long, same binary, home long, prefix array<long>"), "sets")
@@ -240,10 +254,14 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     met = stored(listed.repartition("token").sortWithinPartitions("token", "home")
                  .mapInArrow(_meet, "rep long, home long").distinct(), "met")
     # Queries of a group in parts of bounded size; its members go to each part.
-    sized = met.join(grouped.select("rep", "n"), "rep")
+    # A pair of sizes that cannot reach the threshold is dropped here.
+    ranges = grouped.groupBy("home").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    sized = stored(met.join(grouped.select("rep", "n"), "rep").join(ranges, "home")
+                   .where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100))
+                   .select("home", "rep", "n"), "sized")
     parts = stored(sized.groupBy("home").agg(F.ceil(F.sum("n") / GROUP_TOKENS).cast("long").alias("parts")), "openings")
     members = grouped.join(parts, "home").select("home", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    asked = met.join(parts, "home").select("home", "rep", F.pmod(F.xxhash64("rep"), "parts").alias("part"))
+    asked = sized.join(parts, "home").select("home", "rep", F.pmod(F.xxhash64("rep"), "parts").alias("part"))
     roles = stored(members.withColumn("query", F.lit(False)).unionByName(asked.withColumn("query", F.lit(True))), "roles")
     involved = stored(roles.select(F.col("rep").alias("doc_id")).distinct(), "involved")
     tokens = (texts.join(involved, "doc_id", "left_semi").mapInArrow(lambda it: _tokens(it, width), "rep long, tokens binary")

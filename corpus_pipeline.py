@@ -1,4 +1,60 @@
+"""Corpus pipeline: filter, deduplicate, decontaminate, mix and shard documents.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
+writes each stage's rows as Parquet in the shared folder and reads them again
+as the next stage's documents.  All stages but the last return the columns of
+``documents``; the last returns each row's shard and slot.
+
+The toxicity model is a trained classifier, which SQL cannot express, so there
+is no oracle; the stages are tested one by one against plain versions.
+"""
+from __future__ import annotations
+
+from spendlens.llm import decontaminate, hilbert, jaccard_join, mixing, toxicity
+from spendlens.llm.common import ship_code, stored, table
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Documents that the weakly supervised classifier rejects go."""
+    ship_code(spark)
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def one_per_group(spark, docs, sf_dir):
+    """One document of each near-duplicate component stays."""
+    ship_code(spark)
+    return jaccard_join.one_of_each(docs)
+
+
+def drop_contaminated(spark, docs, sf_dir):
+    """Documents that contain a benchmark item go."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark, docs, sf_dir):
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def shard(spark, docs, sf_dir):
+    """Shard and slot of every row along the Hilbert curve."""
+    return hilbert.shard(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", one_per_group),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+    ("sharding", shard),
+]
+
 ORACLE_SQL = None
-STAGES = []
+
+
 def run(spark, sf_dir):
-    raise NotImplementedError
+    """All stages over ``documents``; the shards of what remains."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

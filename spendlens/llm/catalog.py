@@ -1,10 +1,14 @@
 """Registered queries of the corpus operators and their DuckDB SQL."""
 from __future__ import annotations
 
-from . import decontaminate, hilbert, jaccard_join, line_quality, lm_score, mixing, pii_crf, secret_scan, url_filter
+import functools
+
+from . import decontaminate, hilbert, jaccard_join, line_quality, lm_score, mixing, pii_crf, secret_scan, toxicity, url_filter
+from .common import ship_code
 
 _QUERIES = (
     (lm_score.op1_stupid_backoff, None),
+    (toxicity.op2_weak_toxicity, None),
     (pii_crf.op3_crf_pii, None),
     (line_quality.op4_line_quality, line_quality.SQL),
     (mixing.op5_mix_sources, None),
@@ -16,8 +20,16 @@ _QUERIES = (
 )
 
 
+def _shipped(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        ship_code(spark)
+        return query(spark, sf_dir)
+    return run
+
+
 def queries():
-    return {f.__name__: f for f, _ in _QUERIES}
+    return {f.__name__: _shipped(f) for f, _ in _QUERIES}
 
 
 def oracle_sql():

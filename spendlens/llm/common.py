@@ -1,6 +1,10 @@
 """Column helpers and shared-table helpers used by the corpus operators."""
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import shared_path, write_table
@@ -50,3 +54,18 @@ def spread_key(*columns: Column) -> Column:
 
 #: One above the largest ``spread_key``.
 SPREAD = 1 << 60
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that the
+    functions run there can import it wherever the package is not installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_spendlens_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="spendlens-code-")) / "spendlens_code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._spendlens_shipped = True

@@ -79,12 +79,14 @@ def _running(df: DataFrame, group: list[str], part: Column, order: list[str], am
             .drop("before_", "upto_"))
 
 
-def mix(docs: DataFrame, cycle=CYCLE, share: float = SHARE, epochs: int = EPOCHS, slots: int = SLOTS) -> DataFrame:
+def mix(docs: DataFrame, cycle=CYCLE, share: float = SHARE, epochs: int = EPOCHS, slots: int = SLOTS,
+        keep: list[str] | None = None) -> DataFrame:
     """Words the mix takes of every document.
 
     Input: ``doc_id, text, source`` (other columns are ignored).  Output, one
     row per input row: ``doc_id, source, size, source_size, target, taken,
-    first_slot, text_key`` (the slot of the document's first use, null if unused).
+    first_slot, text_key`` (the slot of the document's first use, null if unused)
+    and the input columns named in ``keep``.
 
     Null texts and texts without words have size 0 and ``taken`` 0; null
     sources are one source, the last; repeated rows are documents of their
@@ -93,7 +95,7 @@ def mix(docs: DataFrame, cycle=CYCLE, share: float = SHARE, epochs: int = EPOCHS
     """
     digest = stored(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(text_or_empty()).alias("size"),
-        spread_key(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("text_key")), "mix-docs")
+        spread_key(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("text_key"), *(keep or [])), "mix-docs")
     sources = stored(source_targets(
         digest.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n")), cycle, share, epochs)
         , "mix-sources")
@@ -143,7 +145,7 @@ def mix(docs: DataFrame, cycle=CYCLE, share: float = SHARE, epochs: int = EPOCHS
     # Documents on their source's line, cut at the block borders.
     numbered = digest.join(F.broadcast(sources) if _few(sources) else sources,
                            digest["source"].eqNullSafe(sources["source"])).select(
-        digest["doc_id"], digest["source"], "size", "key", "text_key", "source_no", "source_size", "target")
+        digest["doc_id"], digest["source"], "size", "key", "text_key", "source_no", "source_size", "target", *(keep or []))
     placed = _running(numbered, ["source_no"], F.floor(F.col("key") / F.lit(SPREAD // parts + 1)),
                       ["key", "doc_id", "text_key"], "size", "start")
     placed = stored(placed, "mix-placed")
@@ -159,7 +161,22 @@ def mix(docs: DataFrame, cycle=CYCLE, share: float = SHARE, epochs: int = EPOCHS
              .agg(F.sum("n").alias("taken"), F.min("slot").alias("first_slot")))
     return (placed.join(taken, ["source_no", "part", "rn"], "left")
             .select("doc_id", "source", "size", "source_size", "target",
-                    F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"), "first_slot", "text_key"))
+                    F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"), "first_slot", "text_key", *(keep or [])))
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The mix as rows: every document as often as the mix takes it, its words
+    taken over its size rounded to whole copies; all columns kept.  Documents
+    without words are not taken."""
+    key = F.xxhash64(*docs.columns)
+    taken = mix(docs.withColumn("row_key_", key), keep=["row_key_"], **options)
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
+    wanted = stored(taken.groupBy("row_key_").agg(F.sum(copies).cast("int").alias("copies_"), F.count("*").alias("rows_"))
+                    .where("copies_ > 0"), "mix-copies")
+    keyed = docs.withColumn("row_key_", key).join(wanted, "row_key_")
+    # Rows equal in all columns share their copies; only those are compared.
+    rows = keyed.where("rows_ = 1").unionByName(keyed.where("rows_ > 1").dropDuplicates(["row_key_"]))
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies_"))).alias("copy_")).select(docs.columns)
 
 
 def _few(sources: DataFrame, rows: int = 10_000) -> bool:

@@ -72,13 +72,13 @@ def slices(offsets: np.ndarray, chunk: int = CHUNK) -> Iterator[tuple[int, int]]
         i = j
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def find_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of the words of consecutive texts, and each
-    text's range of words: ``first[i]:first[i + 1]``."""
+    text's range of words: ``first[i]:first[i + 1]``.  ``separator`` tells for each byte whether it ends a word."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+    space = separator[data]
     word = ~space
     before, after = np.ones(len(data), bool), np.ones(len(data), bool)
     before[1:], after[:-1] = space[:-1], space[1:]
@@ -92,7 +92,13 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, chunk: int = CHUNK) -> np.ndarray:
     """64-bit hashes of the words, with A-Z lower-cased if ``fold``: a polynomial
     in an odd base modulo 2**64 over the bytes, scrambled with the length."""
-    out = np.zeros(len(starts), dtype=np.uint64)
+    return hash_prefixes(data, starts, ends, (), fold, chunk)[0]
+
+
+def hash_prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts, fold: bool = True, chunk: int = CHUNK) -> list[np.ndarray]:
+    """Hashes of the words, and for each of ``cuts`` of their first so many
+    bytes (0 for words that are not longer)."""
+    outs = [np.zeros(len(starts), dtype=np.uint64) for _ in range(1 + len(cuts))]
     i = 0
     while i < len(starts):
         j = max(int(np.searchsorted(ends, starts[i] + chunk, "right")), i + 1)
@@ -101,15 +107,19 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
         if fold:
             piece = _FOLD[piece]
         if b - a > chunk:  # one very long word
-            out[i] = int.from_bytes(hashlib.blake2b(piece.tobytes(), digest_size=8).digest(), "little")
+            outs[0][i] = int.from_bytes(hashlib.blake2b(piece.tobytes(), digest_size=8).digest(), "little")
         else:
             up, down = _power(b - a + 1)
             sums = np.zeros(b - a + 1, dtype=np.uint64)
             np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[:b - a], out=sums[1:])
             s, e = starts[i:j] - a, ends[i:j] - a
-            out[i:j] = mix((sums[e] - sums[s]) * down[s] + mix((e - s).astype(np.uint64)))
+            low, back = sums[s], down[s]
+            outs[0][i:j] = mix((sums[e] - low) * back + mix((e - s).astype(np.uint64)))
+            for out, cut in zip(outs[1:], cuts):
+                long = np.flatnonzero(e - s > cut)
+                out[i + long] = mix((sums[s[long] + cut] - low[long]) * back[long] + np.uint64(0xA5A5A5A5 + cut))
         i = j
-    return out
+    return outs
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -56,7 +56,7 @@ def _block(key: Column, blocks: int) -> Column:
 
 def _bit(key: Column, i: int) -> Column:
     """The key's bit in word ``i`` of its block."""
-    return F.shiftleft(F.lit(1).cast("long"), F.pmod(F.xxhash64(key, F.lit(i)), F.lit(64)).cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(key, F.lit(i)), F.lit(64)).cast("int"))
 
 
 def bloom(listed: DataFrame, blocks: int) -> DataFrame:

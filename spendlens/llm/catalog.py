@@ -11,7 +11,7 @@ _QUERIES = (
     (toxicity.op2_weak_toxicity, None),
     (pii_crf.op3_crf_pii, None),
     (line_quality.op4_line_quality, line_quality.SQL),
-    (mixing.op5_mix_sources, None),
+    (mixing.op5_mix_sources, mixing.SQL),
     (hilbert.op6_hilbert_shards, None),
     (url_filter.op7_bloom_urls, url_filter.SQL),
     (decontaminate.op8_contained_items, decontaminate.SQL),

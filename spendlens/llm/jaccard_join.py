@@ -264,8 +264,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     asked = sized.join(parts, "home").select("home", "rep", F.pmod(F.xxhash64("rep"), "parts").alias("part"))
     roles = stored(members.withColumn("query", F.lit(False)).unionByName(asked.withColumn("query", F.lit(True))), "roles")
     involved = stored(roles.select(F.col("rep").alias("doc_id")).distinct(), "involved")
+    # Dealt by id once, for dropping repeated rows and for the join.
     tokens = (texts.join(involved, "doc_id", "left_semi").mapInArrow(lambda it: _tokens(it, width), "rep long, tokens binary")
-              .dropDuplicates(["rep", "tokens"]))
+              .repartition("rep").dropDuplicates(["rep", "tokens"]))
     links = stored(tokens.join(roles, "rep").groupBy("home", "part")
                    .applyInArrow(lambda t: _open(t, percent), "a long, b long"), "links-found")
     found = components(links)

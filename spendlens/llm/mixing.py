@@ -112,7 +112,7 @@ def mix(docs: DataFrame, cycle=CYCLE, share: float = SHARE, epochs: int = EPOCHS
              .withColumn("rest", F.col("quota") - F.col("whole") * F.col("source_size"))
              .withColumn("needed", F.col("whole") * F.col("blocks") + F.ceil(F.col("rest") / F.lit(block)).cast("long")))
     upto = F.sum("target").over(W.orderBy("source_no").rowsBetween(W.unboundedPreceding, W.currentRow))
-    total = F.sum("target").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    total = F.nullif(F.sum("target").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), F.lit(0.0))
     needs = (needs.withColumn("to", upto / total).withColumn("from", (upto - F.col("target")) / total)
              .withColumn("to", F.when(upto >= total, F.lit(1.0)).otherwise(F.col("to"))))
     needs = stored(needs, "mix-needs")
@@ -188,7 +188,7 @@ def op5_mix_sources(spark, sf_dir):
     """Digest of :func:`mix` over all documents."""
     from .common import table
     return mix(table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken", "first_slot")
+        "doc_id", "size", "source_size", "target", "taken")
 
 
 #: The words a source's quota covers of a document that begins at ``start`` of its line.

@@ -104,12 +104,27 @@ def write_table(df, path: str, partition_by: str | None = None):
     return df.sparkSession.read.parquet(path)
 
 
+def data_version(*tables) -> str:
+    """A hash of the names, sizes and modification times of the files behind
+    the given file-based DataFrames.  Reads no column."""
+    from pyspark.sql import functions as F
+    total = 0
+    for df in tables:
+        files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        row = files.agg(F.sum(F.xxhash64("file_path", "file_size", F.col("file_modification_time").cast("string"))
+                              .cast("decimal(38,0)"))).first()
+        total = (total * 31 + int(row[0] or 0)) % (1 << 64)
+    return f"{total:016x}"
+
+
 def session_table(spark: SparkSession, name: str, source: str, build) -> "DataFrame":  # noqa: F821
-    """A derived table written once per session and source.
+    """A derived table written once per session and state of its source.
 
     ``build()`` returns the DataFrame to store; its location is remembered
     in the session configuration under ``spendlens.table.<name>`` together
     with ``source``, so later calls for the same source read it back.
+    ``source`` must name the state of the data (see ``data_version``), not
+    only its place: a table of rewritten or appended data is built anew.
     """
     key = f"spendlens.table.{name}"
     stored = spark.conf.get(key, None)

@@ -29,7 +29,7 @@ def slug(c: Column | str) -> Column:
     """File-name-safe text: anything but word characters, '-' and CJK becomes
     '-'; surrounding '_' are stripped."""
     c = F.col(c) if isinstance(c, str) else c
-    s = F.regexp_replace(c, r"(?U)[^-\w一-鿿]", "-")
+    s = F.regexp_replace(c, r"(?U)[^-\w]", "-")
     return F.regexp_replace(s, r"^_+|_+$", "")
 
 

@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, functions as F
 
 BUCKETS = 1024
 FINAL_ROWS = 4096
-MAX_PASSES = 64
 
 
 def _t(c):
@@ -66,7 +65,7 @@ def kth_values(df: DataFrame, wanted: dict[str, list[int]], buckets: int = BUCKE
              for c, ks in wanted.items() if c in bounds for k in ks}
     result: dict[str, dict[int, float]] = {c: {} for c in wanted}
 
-    for _ in range(MAX_PASSES):
+    while True:
         for t in [t for t, st in state.items() if st[0] == st[1]]:
             result[t[0]][t[1]] = state.pop(t)[0]
         if not state:
@@ -86,7 +85,8 @@ def kth_values(df: DataFrame, wanted: dict[str, list[int]], buckets: int = BUCKE
             lin_c = F.when(F.col("tid") == i, F.lit(lin)).otherwise(lin_c)
         span_log = _t(hi_c) - _t(lo_c)
         pos_log = F.try_divide(_t(F.col("v")) - _t(lo_c), span_log)
-        pos_lin = F.try_divide(F.col("v") - lo_c, hi_c - lo_c)
+        # Halved first, so that the span of very large values stays finite.
+        pos_lin = F.try_divide(F.col("v") / 2 - lo_c / 2, hi_c / 2 - lo_c / 2)
         pos = F.when(lin_c | (span_log <= 0), pos_lin).otherwise(pos_log)
         bucket = F.least(F.greatest(F.floor(F.coalesce(pos, F.lit(0.0)) * buckets), F.lit(0)),
                          F.lit(buckets - 1))
@@ -107,8 +107,10 @@ def kth_values(df: DataFrame, wanted: dict[str, list[int]], buckets: int = BUCKE
             for b, n, mn, mx in rows:
                 if cum < t[1] <= cum + n:
                     progressed = (mn, mx) != (lo, hi)
+                    if lin and not progressed:
+                        raise ArithmeticError(f"the values of {t[0]!r} between {lo!r} and {hi!r} cannot be told apart")
                     state[t] = [mn, mx, cum, lin or not progressed]
-                    if mn != mx and (n <= final_rows or (not progressed and lin)):
+                    if mn != mx and n <= final_rows:
                         small.append(t)  # few enough values left: rank them now
                     break
                 cum += n

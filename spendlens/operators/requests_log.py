@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..schema import CHART_TYPES, DIMENSIONS, HEATMAP_VALUE, HEATMAP_VALUE2, METRICS
 
@@ -64,7 +64,9 @@ def rule_checks() -> list[tuple[str, Column]]:
         ~ct.isin(*[F.lit(c) for c in CHART_TYPES]) | ct.isNull(),
         x.isNull() | ~x.isin(*dims),
         y.isNotNull() & ~y.isin(*dims),
-        (v.isNotNull() & ~v.isin(*mets)) | (v2.isNotNull() & ~v2.isin(*mets)),
+        # A chart of sums cannot run without its metric; a heatmap's is checked below.
+        (v.isNotNull() & ~v.isin(*mets)) | (v2.isNotNull() & ~v2.isin(*mets))
+        | (v.isNull() & ct.isin("bar", "line", "pie")),
         y.isNotNull() & (y == x),
         (ct == "heatmap") & y.isNull(),
         (ct == "pie") & y.isNotNull(),
@@ -92,13 +94,19 @@ _ID_SHIFT = 2 ** 63          # ids are shifted to be non-negative
 _ID_SPAN = 10 ** 20          # > 2**64, room for any shifted id
 
 
-def order_key(ts: str = "create_at", id_col: str = "id") -> Column:
+def order_key(ts: str = "create_at", id_col: str = "id", ntz: bool = False) -> Column:
     """``(ts, id)`` packed into one ``decimal(38,0)``, ordered like the pair.
 
     A min over a struct needs a sort-based aggregate; a min over a decimal
-    stays a hash aggregate with map-side partial results.
+    stays a hash aggregate with map-side partial results.  A time without a zone
+    (``ntz``) is counted from a fixed time of its own kind: through the session
+    time zone two of them could swap around a clock change.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(38,0)")
+    if ntz:
+        since = F.expr(f"CAST(CAST(`{ts}` - TIMESTAMP_NTZ '1970-01-01 00:00:00' AS INTERVAL SECOND) AS DECIMAL(20, 6))")
+        micros = (since * F.lit(1_000_000)).cast("decimal(38,0)")
+    else:
+        micros = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(38,0)")
     shifted = F.col(id_col).cast("decimal(38,0)") + _dec(_ID_SHIFT)
     return (micros * _dec(_ID_SPAN) + shifted).cast("decimal(38,0)")
 
@@ -117,40 +125,53 @@ def first_requests(requests: DataFrame, key: str = "cache_key") -> DataFrame:
     of requests and the latest time -- one hash aggregation with map-side
     partial results, so a key holding a third of the log costs no more than
     any other."""
-    g = requests.groupBy(key).agg(F.min(order_key()).alias("__first"),
+    ntz = isinstance(requests.schema["create_at"].dataType, T.TimestampNTZType)
+    g = requests.groupBy(key).agg(F.min(order_key(ntz=ntz)).alias("__first"),
                                   F.count(F.lit(1)).alias("n_requests"),
                                   F.max("create_at").alias("last_at"))
     return g.select(key, id_of(F.col("__first")).alias("first_id"), "n_requests", "last_at")
 
 
-def mark_hits(requests: DataFrame, key: str = "cache_key") -> DataFrame:
+def mark_hits(requests: DataFrame, key: str = "cache_key", firsts: DataFrame | None = None) -> DataFrame:
     """R2: the first request of a key (by time, then id) is a miss, every
     later one a hit; ``result_id`` is the id of the key's first request.
 
-    The per-key firsts are joined back on the key; AQE splits an oversized
-    key partition of the log and repeats the key's single row for each
-    split.  A per-key window would instead sort a hot key's rows in one task.
+    The per-key firsts are joined back on the key.  Pass them as a stored table
+    (``firsts``): then both sides of the join are plain exchanges and AQE
+    splits an oversized key partition of the log, repeating the key's single row
+    for each split -- it cannot when the aggregate sits on the join's own
+    exchange.  A per-key window would sort a hot key's rows in one task.
     """
-    firsts = first_requests(requests, key).select(key, "first_id")
+    firsts = (first_requests(requests, key) if firsts is None else firsts).select(key, "first_id")
     j = requests.join(firsts, key)
     return j.select(*[F.col(c) for c in requests.columns],
                     (F.col("id") != F.col("first_id")).alias("cache_hit"),
                     F.col("first_id").alias("result_id"))
 
 
-def result_records(requests: DataFrame, key: str = "cache_key") -> DataFrame:
-    """One result record per key, taken from its first request; status
-    READY once computed (every accepted key is), with request counts.  The
-    first request's fields are fetched by joining the per-key firsts back on
-    the request id."""
-    firsts = first_requests(requests, key)
+def result_records(requests: DataFrame, key: str = "cache_key", firsts: DataFrame | None = None,
+                   points: DataFrame | None = None) -> DataFrame:
+    """One result record per key, taken from its first request, with
+    request counts.  The first request's fields are fetched by joining the
+    per-key firsts back on the request id.
+
+    ``points`` (``key, points_json``, one row per answered key) decides the
+    status: READY with a points document, FAILED without one (the chart has no
+    data).  Without ``points`` the records are those of answered keys.
+    """
+    firsts = first_requests(requests, key) if firsts is None else firsts
     cols = requests.select(F.col("id").alias("first_id"), "chart_type", "params", "figure",
                            "create_by", "create_at")
     j = firsts.join(cols, "first_id")
+    status, extra = F.lit("READY"), []
+    if points is not None:
+        j = j.join(points.select(key, "points_json"), key, "left")
+        status = F.when(F.col("points_json").isNotNull(), F.lit("READY")).otherwise(F.lit("FAILED"))
+        extra = [F.col("points_json")]
     return j.select(F.col("first_id").alias("result_id"), key, "chart_type",
                     F.col("params").alias("params_json"), F.col("figure").alias("params_figure"),
-                    F.lit("READY").alias("status"), "create_by", "create_at",
-                    F.col("last_at").alias("update_at"), "n_requests")
+                    status.alias("status"), "create_by", "create_at",
+                    F.col("last_at").alias("update_at"), "n_requests", *extra)
 
 
 def requests_with_results(marked: DataFrame, results: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import requests_log as R
-from ..config import session_table
+from ..config import data_version, session_table
+from ..sources.tables import read_table
 from .catalog import FACT_LINES_SQL, register
 from .fixtures import request_log
 
@@ -61,7 +62,8 @@ checked AS (
       CASE WHEN x_axis IS NULL OR x_axis NOT IN ('age_level', 'industry', 'ym') THEN 'INVALID_X_AXIS' END,
       CASE WHEN y_axis IS NOT NULL AND y_axis NOT IN ('age_level', 'industry', 'ym') THEN 'INVALID_Y_AXIS' END,
       CASE WHEN (value IS NOT NULL AND value NOT IN ('trans_count', 'trans_total'))
-             OR (value2 IS NOT NULL AND value2 NOT IN ('trans_count', 'trans_total')) THEN 'INVALID_VALUE' END,
+             OR (value2 IS NOT NULL AND value2 NOT IN ('trans_count', 'trans_total'))
+             OR (value IS NULL AND chart_type IN ('bar', 'line', 'pie')) THEN 'INVALID_VALUE' END,
       CASE WHEN y_axis IS NOT NULL AND y_axis = x_axis THEN 'SAME_AXES' END,
       CASE WHEN chart_type = 'heatmap' AND y_axis IS NULL THEN 'HEATMAP_MISSING_y_axis' END,
       CASE WHEN chart_type = 'pie' AND y_axis IS NOT NULL THEN 'PIE_NO_NEED_y_axis' END,
@@ -83,11 +85,23 @@ def _req(spark, sf_dir):
 
 def _log(spark, sf_dir):
     """The request log as a stored table: derived from ``events`` once per
-    session, with the cache key and rule results computed at ingest."""
-    return session_table(spark, "request_log", sf_dir,
+    session and state of its files, with the cache key and rule results
+    computed at ingest."""
+    return session_table(spark, "request_log", _log_version(spark, sf_dir),
                          lambda: R.validate(R.with_fingerprint(_req(spark, sf_dir))))
 
 
+def _log_version(spark, sf_dir):
+    return f"{sf_dir}@{data_version(read_table(spark, sf_dir, 'events'))}"
+
+
+def _firsts(spark, sf_dir):
+    """The first request of every accepted key, stored: the joins back to the
+    log are then plain two-sided joins, which AQE can split at a hot key."""
+    return session_table(spark, "request_firsts", _log_version(spark, sf_dir),
+                         lambda: R.first_requests(_accepted(spark, sf_dir)))
+
+
 def _accepted(spark, sf_dir):
     return _log(spark, sf_dir).where("accepted").drop("accepted", "error_codes")
 
@@ -109,7 +123,8 @@ SELECT a.id, a.cache_key, (a.id <> f.first_id) AS cache_hit, f.first_id AS resul
 FROM acc a JOIN firsts f USING (cache_key)""")
 def q_req_hits(spark, sf_dir):
     """R2: hit / miss of every accepted request and the result it maps to."""
-    return R.mark_hits(_accepted(spark, sf_dir)).select("id", "cache_key", "cache_hit", "result_id")
+    return R.mark_hits(_accepted(spark, sf_dir), firsts=_firsts(spark, sf_dir)).select(
+        "id", "cache_key", "cache_hit", "result_id")
 
 
 @register("req_results", REQ_SQL + """
@@ -120,7 +135,7 @@ JOIN (SELECT cache_key, count(*) AS n_requests, max(create_at) AS last_at FROM a
   ON s.cache_key = f.cache_key""")
 def q_req_results(spark, sf_dir):
     """One result record per accepted key."""
-    return R.result_records(_accepted(spark, sf_dir)).select(
+    return R.result_records(_accepted(spark, sf_dir), firsts=_firsts(spark, sf_dir)).select(
         "result_id", "cache_key", "chart_type", "status", "create_by", "create_at", "update_at", "n_requests")
 
 
@@ -130,9 +145,9 @@ FROM acc a JOIN firsts f USING (cache_key)
 JOIN (SELECT cache_key, count(*) AS n_requests FROM acc GROUP BY cache_key) s USING (cache_key)""")
 def q_req_with_result(spark, sf_dir):
     """Requests joined to their result records."""
-    acc = _accepted(spark, sf_dir)
-    marked = R.mark_hits(acc)
-    res = R.result_records(acc)
+    acc, firsts = _accepted(spark, sf_dir), _firsts(spark, sf_dir)
+    marked = R.mark_hits(acc, firsts=firsts)
+    res = R.result_records(acc, firsts=firsts)
     return R.requests_with_results(marked, res).select("id", "result_id", "cache_hit", "status", "n_requests")
 
 
@@ -153,7 +168,7 @@ SELECT CAST(a.create_at AS DATE) AS day, a.chart_type, count(*) AS requests,
 FROM acc a JOIN firsts f USING (cache_key) GROUP BY 1, 2""")
 def q_req_daily_volume(spark, sf_dir):
     """Requests and cache hits per day and chart type over the log."""
-    m = R.mark_hits(_accepted(spark, sf_dir))
+    m = R.mark_hits(_accepted(spark, sf_dir), firsts=_firsts(spark, sf_dir))
     return m.groupBy(F.to_date("create_at").alias("day"), "chart_type").agg(
         F.count(F.lit(1)).alias("requests"), F.sum(F.col("cache_hit").cast("bigint")).alias("hits"))
 

@@ -8,11 +8,11 @@ the same points come from one plan:
    up to the four grains a request can need -- month alone, month+industry,
    month+age, month+industry+age -- with grouping sets.  This table is
    bounded by months x industries x age bands, not by the data volume.
-2. Each rolled-up row is listed under its own dimension values and under the
-   wildcard ``'*'``, so that a request finds its rows by an equi-join on
-   ``(grain, industry key, age key)``: a filtered dimension matches its value,
-   an axis dimension without a filter matches ``'*'`` (all values), an
-   unused dimension matches its rolled-up NULL through ``'*'``.  The month
+2. Each rolled-up row is listed under its own dimension values and once as
+   "any value" (a flag beside the key, so no data value can be mistaken for
+   it).  A request finds its rows by a NULL-safe equi-join on the grain and, per
+   dimension, the flag and the key: a filtered dimension matches its value, an
+   axis dimension without a filter and an unused one match "any".  The month
    range is the only non-equi condition, checked on the joined rows.  No
    nested-loop join, no pair enumeration beyond what the chart needs.
 3. The lookup table is broadcast only after its row count is checked against
@@ -31,8 +31,6 @@ from ..schema import (OTHER_LABEL, PIE_OTHER_BELOW_PCT, PIE_RELABEL_BELOW, TOPN_
                       TOPN_MIN, UNITS)
 from ..sources.tables import broadcast_if_small
 
-ANY = "*"
-
 
 def rollup_lookup(fact: DataFrame) -> DataFrame:
     """Month-grain sums at the four request grains, keyed for the equi-join."""
@@ -45,10 +43,14 @@ def rollup_lookup(fact: DataFrame) -> DataFrame:
 
     def keys(col: str, bit: int):
         rolled = (F.col("grain").bitwiseAND(F.lit(bit))) != 0
-        return F.when(rolled, F.array(F.lit(ANY))).otherwise(F.array(F.col(col), F.lit(ANY)))
+        every = F.struct(F.lit(True).alias("any"), F.lit(None).cast("string").alias("value"))
+        own = F.struct(F.lit(False).alias("any"), F.col(col).alias("value"))
+        return F.when(rolled, F.array(every)).otherwise(F.array(own, every))
 
-    return (sets.select("*", F.explode(keys("industry", 2)).alias("ind_key"))
-                .select("*", F.explode(keys("age_level", 1)).alias("age_key")))
+    return (sets.select("*", F.explode(keys("industry", 2)).alias("ind"))
+                .select("*", F.explode(keys("age_level", 1)).alias("age"))
+                .select("ym", "industry", "age_level", "c", "t", "grain", F.col("ind.any").alias("ind_any"), F.col("ind.value").alias("ind_key"),
+                        F.col("age.any").alias("age_any"), F.col("age.value").alias("age_key")))
 
 
 def _request_keys(requests: DataFrame) -> DataFrame:
@@ -65,14 +67,16 @@ def _request_keys(requests: DataFrame) -> DataFrame:
         F.col("filters.start_month").alias("start_month"), F.col("filters.end_month").alias("end_month"),
         F.col("filters.topn").alias("topn"),
         grain.alias("r_grain"),
-        F.coalesce(ind_f, F.lit(ANY)).alias("r_ind"), F.coalesce(age_f, F.lit(ANY)).alias("r_age"))
+        ind_f.alias("r_ind"), age_f.alias("r_age"))
 
 
 def stored_lookup(spark, fact: DataFrame, source: str) -> DataFrame:
-    """The rolled-up lookup written once per session and source (shared by
-    every chart family); its row count then comes from parquet footers."""
+    """The rolled-up lookup written once per session and state of the fact's
+    files (shared by every chart family); its row count then comes from
+    parquet footers."""
     from ..config import session_table
-    return session_table(spark, "serving_lookup", source, lambda: rollup_lookup(fact))
+    from ..sources.tables import fact_version
+    return session_table(spark, "serving_lookup", f"{source}@{fact_version(spark, source)}", lambda: rollup_lookup(fact))
 
 
 def _matched(fact: DataFrame, requests: DataFrame, chart_types: tuple[str, ...],
@@ -83,7 +87,9 @@ def _matched(fact: DataFrame, requests: DataFrame, chart_types: tuple[str, ...],
     reqs = _request_keys(requests.where(F.col("chart_type").isin(*chart_types))).distinct()
     lookup = rollup_lookup(fact) if lookup is None else lookup
     lookup = broadcast_if_small(lookup, lookup.count())
-    cond = ((reqs.r_grain == lookup.grain) & (reqs.r_ind == lookup.ind_key) & (reqs.r_age == lookup.age_key)
+    cond = ((reqs.r_grain == lookup.grain)
+            & (reqs.r_ind.isNull() == lookup.ind_any) & reqs.r_ind.eqNullSafe(lookup.ind_key)
+            & (reqs.r_age.isNull() == lookup.age_any) & reqs.r_age.eqNullSafe(lookup.age_key)
             & (reqs.start_month.isNull() | (lookup.ym >= reqs.start_month))
             & (reqs.end_month.isNull() | (lookup.ym <= reqs.end_month)))
     return reqs.join(lookup, cond)

@@ -4,6 +4,8 @@ Every value is read as text; typing happens in ``operators.clean``.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -25,15 +27,37 @@ def read_csv_extract(spark: SparkSession, path: str, na_tokens=NA_TOKENS,
     delimiter (``"1,234"``).  ``multi_line=True`` accepts quoted line breaks
     at the cost of reading each file in one task.
     """
-    df = (spark.read
-          .option("header", True)
-          .option("encoding", encoding)
-          .option("multiLine", multi_line)
-          .option("inferSchema", False)
-          .csv(path))
+    def read(files) -> DataFrame:
+        return (spark.read.option("header", True).option("encoding", encoding).option("escape", '"')
+                .option("multiLine", multi_line).option("inferSchema", False).csv(files))
+
+    parts = []
+    for files in _files_by_header(spark, path, encoding):
+        names = read(files).columns
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "__more"]])
+        rows = (spark.read.schema(schema).option("header", True).option("encoding", encoding).option("escape", '"')
+                .option("multiLine", multi_line).csv(files))
+        # A row with more fields than the header fails the read; a shorter one has missing values.
+        first = F.when(F.col("__more").isNotNull(), F.raise_error(F.lit("a CSV row has more fields than its header")).cast("string"))
+        parts.append(rows.select(F.coalesce(first, F.col(f"`{names[0]}`")).alias(names[0]), *[F.col(f"`{n}`") for n in names[1:]]))
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else read(path)
     return _null_na_tokens(df, na_tokens)
 
 
+def _files_by_header(spark: SparkSession, path, encoding: str) -> list[list[str]]:
+    """The files of a CSV source grouped by header line: columns are matched
+    by name, so files with another column order are read apart.  Only the file
+    names and headers reach the driver."""
+    lines = spark.read.option("encoding", encoding).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("i"), F.regexp_replace("value", "^﻿", "").alias("value"))
+    heads = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "i").alias("header")).collect()
+    groups: dict[str, list[str]] = {}
+    for row in sorted(heads, key=lambda r: r["file"]):
+        groups.setdefault((row["header"] or "").rstrip("\r"), []).append(row["file"])
+    return [files for header, files in sorted(groups.items()) if header.strip()]
+
+
 def _json_rows(spark: SparkSession, path: str, multi_line: bool, mode: str = "FAILFAST") -> DataFrame:
     """Malformed JSON fails the read (``FAILFAST``) instead of turning into
     all-NULL rows that imputation would then fill."""
@@ -68,25 +92,44 @@ def _pick_records_key(schema: T.StructType, records_key: str | None) -> str | No
     return cands[0].name
 
 
-def detect_json_layout(spark: SparkSession, path: str) -> str:
-    """'array', 'lines' or 'object' from the first two non-empty lines.
+def detect_json_layouts(spark: SparkSession, path) -> dict[str, list[str]]:
+    """The files of a JSON source by layout, each judged by its whole content.
 
-    Only a short prefix of each line and a flag computed on the executors
-    (does the line hold a complete JSON object?) reach the driver -- a
-    one-line document may be arbitrarily long.
+    A file that begins with ``[`` is an array; one with several lines that are
+    each a complete object is JSON Lines; any other is one object: ``wrapped``
+    if one of its values is a list, ``keyed`` if all are objects, else a single
+    ``record``.  Only file names and layouts reach the driver.
     """
-    text = F.regexp_replace(F.col("value"), "^[\\s\ufeff]+", "")
-    head = (spark.read.text(path).select(text.alias("v")).where(F.col("v") != "")
-            .select(F.substring("v", 1, 16).alias("prefix"),
-                    F.from_json("v", T.MapType(T.StringType(), T.StringType())).isNotNull().alias("complete"))
-            .limit(2).collect())
-    if not head:
-        return "lines"
-    if head[0]["prefix"].startswith("["):
-        return "array"
-    if len(head) > 1 and head[0]["complete"]:
-        return "lines"
-    return "object"
+    as_map = T.MapType(T.StringType(), T.StringType())
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("i"), F.regexp_replace("value", "^[\\s\ufeff]+", "").alias("v")).where("v <> ''")
+    whole = F.col("v").startswith("{") & F.from_json("v", as_map).isNotNull()
+    files = lines.groupBy("file").agg(
+        F.count("*").alias("n"), F.count_if(whole).alias("whole"),
+        F.min_by(F.substring("v", 1, 1), F.struct("at", "i")).alias("first")).collect()
+    out: dict[str, list[str]] = {}
+    for r in sorted(files, key=lambda r: r["file"]):
+        kind = "array" if r["first"] == "[" else "lines" if r["n"] > 1 and r["whole"] == r["n"] else "object"
+        out.setdefault(kind, []).append(r["file"])
+    objects = out.pop("object", [])
+    if objects:
+        values = F.map_values(F.from_json(F.regexp_replace("value", "^\ufeff", ""), as_map))
+        kind = (F.when(F.exists(values, lambda v: v.startswith("[")), "wrapped")
+                .when((F.size(values) > 0) & F.forall(values, lambda v: F.coalesce(v.startswith("{"), F.lit(False))), "keyed").otherwise("record"))
+        docs = spark.read.text(objects, wholetext=True).select(F.col("_metadata.file_path").alias("file"), kind.alias("kind"))
+        for r in sorted(docs.collect(), key=lambda r: r["file"]):
+            out.setdefault(r["kind"], []).append(r["file"])
+    return out
+
+
+def detect_json_layout(spark: SparkSession, path) -> str:
+    """The one layout of a source's files: ``array``, ``lines`` or ``object``
+    (also for no files: ``lines``).  Files of several layouts are an error here."""
+    kinds = {k if k in ("array", "lines") else "object" for k in detect_json_layouts(spark, path)}
+    if len(kinds) > 1:
+        raise ValueError(f"files of several JSON layouts: {sorted(kinds)}")
+    return kinds.pop() if kinds else "lines"
 
 
 def read_json_extract(spark: SparkSession, path: str, layout: str = "auto",
@@ -98,18 +141,19 @@ def read_json_extract(spark: SparkSession, path: str, layout: str = "auto",
                   (default: the list field whose records carry known headers).
     * ``keyed``   object of records (id -> record).
     * ``lines``   one record per line.
-    * ``auto``    decide from the data (``wrapped`` vs ``keyed`` by whether
-                  the object holds a list).
+    * ``record``  one object that is one record.
+    * ``auto``    decide for every file (``detect_json_layouts``).
     Document layouts are parsed one file per task; JSON Lines are split.
     """
     if layout == "auto":
-        layout = detect_json_layout(spark, path)
-        if layout == "object":
-            doc = _json_rows(spark, path, True)
-            layout = "wrapped" if _pick_records_key(doc.schema, records_key) else "keyed"
+        parts = [read_json_extract(spark, files, kind, records_key)
+                 for kind, files in sorted(detect_json_layouts(spark, path).items())]
+        if not parts:
+            return _json_rows(spark, path, False)
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if layout == "lines":
         return _json_rows(spark, path, False)
-    if layout == "array":
+    if layout in ("array", "record"):
         return _json_rows(spark, path, True)
     if layout == "wrapped":
         doc = _json_rows(spark, path, True)

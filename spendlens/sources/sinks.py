@@ -41,10 +41,10 @@ def append_new_rows(spark: SparkSession, df: DataFrame, path: str,
     ``keys`` (default: all fact columns) with NULL-safe equality.
 
     The anti join against the stored table is a shuffle join at scale.  The
-    stored table is read only for the months present in ``df``: their list
-    (bounded by the calendar) is fetched first and becomes a partition filter,
-    because Spark's dynamic pruning does not apply to the build side of an
-    anti join.
+    stored table is read only for the range of months in ``df``: one row with the
+    least and greatest is fetched first and becomes a partition filter, because
+    Spark's dynamic pruning does not apply to the build side of an anti
+    join.
     Returns the number of appended rows (measured during the write through
     an ``Observation``, no extra pass).  Empty input is a no-op.
     """
@@ -52,10 +52,10 @@ def append_new_rows(spark: SparkSession, df: DataFrame, path: str,
     incoming = df.dropDuplicates()
     existing = _read_existing(spark, path)
     if existing is not None and partition_by in keys:
-        months = [r[0] for r in incoming.select(partition_by).distinct().collect()]
-        known = [m for m in months if m is not None]
-        keep = F.col(partition_by).isin(*known) if known else F.lit(False)
-        if len(known) < len(months):
+        least, most, missing = incoming.agg(F.min(partition_by), F.max(partition_by),
+                                            F.bool_or(F.col(partition_by).isNull())).first()
+        keep = F.col(partition_by).between(least, most) if least is not None else F.lit(False)
+        if missing:
             keep = keep | F.col(partition_by).isNull()
         existing = existing.where(keep)
     if existing is not None:

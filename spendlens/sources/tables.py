@@ -8,20 +8,26 @@ from ..schema import AGE_FIRST_LABEL, FACT_COLUMNS
 # Session keys naming a materialised fact table (see ``materialize_fact``).
 FACT_PATH_KEY = "spendlens.fact.path"
 FACT_SOURCE_KEY = "spendlens.fact.source"
-FACT_VIEW = "spendlens_fact"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-# Largest dimension (rows) joined by broadcast; above it the join shuffles.
+# Largest dimension (bytes: rows times the schema's default width) joined by
+# broadcast; above it the join shuffles.  A row bound may be set besides.
 BROADCAST_MAX_ROWS_KEY = "spendlens.broadcast.maxRows"
-BROADCAST_MAX_ROWS = 1_000_000  # ~50 MB hash table for the narrow joined dimensions
+BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 64 << 20
+
+
+def _row_width(df: DataFrame) -> int:
+    """Bytes of a row by declared type: 8 per number, 20 per text, 8 per row."""
+    return 8 + sum(20 if f.dataType.typeName() in ("string", "binary") else 8 for f in df.schema)
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast ``df`` only when its row count is within the bound.
+    """Broadcast ``df`` only when its rows and bytes are within the bounds.
 
     ``rows`` comes from the driving table's parquet footers (a metadata-only
     count).  Above the bound no hint is given and Catalyst / AQE plan a
@@ -30,7 +36,7 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     dimension on the build side instead of the fact table.
     """
     limit = int(df.sparkSession.conf.get(BROADCAST_MAX_ROWS_KEY, str(BROADCAST_MAX_ROWS)))
-    return F.broadcast(df) if rows <= limit else df
+    return F.broadcast(df) if rows <= limit and rows * _row_width(df) <= BROADCAST_MAX_BYTES else df
 
 
 def widen(df: DataFrame) -> DataFrame:
@@ -108,24 +114,33 @@ def materialize_fact(spark: SparkSession, sf_dir: str, path: str) -> str:
     """Write the fact once as parquet partitioned by month and register it in
     the session, so later ``fact_table`` calls for the same ``sf_dir`` read
     it (month filters then prune partitions)."""
-    from .sinks import read_fact, write_fact
+    from .sinks import write_fact
     write_fact(fact_from_tables(spark, sf_dir), path, mode="overwrite")
-    # A session view keeps the resolved file index: later reads skip the
-    # partition listing.
-    read_fact(spark, path).createOrReplaceTempView(FACT_VIEW)
     spark.conf.set(FACT_PATH_KEY, path)
     spark.conf.set(FACT_SOURCE_KEY, sf_dir.rstrip("/"))
     return path
 
 
+def _registered_fact(spark: SparkSession, sf_dir: str) -> str | None:
+    path = spark.conf.get(FACT_PATH_KEY, None)
+    return path if path and spark.conf.get(FACT_SOURCE_KEY, None) == sf_dir.rstrip("/") else None
+
+
+def fact_version(spark: SparkSession, sf_dir: str) -> str:
+    """Changes whenever the files behind ``fact_table`` do."""
+    from ..config import data_version
+    path = _registered_fact(spark, sf_dir)
+    if path:
+        return data_version(spark.read.parquet(path))
+    return data_version(*[read_table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation", "part")])
+
+
 def fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact for ``sf_dir``: the materialised copy when one is registered
     for this source, otherwise derived lazily from the driver tables."""
-    path = spark.conf.get(FACT_PATH_KEY, None)
-    src = spark.conf.get(FACT_SOURCE_KEY, None)
-    if path and src == sf_dir.rstrip("/"):
-        if spark.catalog.tableExists(FACT_VIEW):
-            return spark.table(FACT_VIEW)
+    path = _registered_fact(spark, sf_dir)
+    if path:
+        # Read by path every time, so rows appended since are seen.
         from .sinks import read_fact
         return read_fact(spark, path)
     return fact_from_tables(spark, sf_dir)

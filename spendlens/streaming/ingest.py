@@ -35,7 +35,8 @@ def ingest_stream(spark: SparkSession, source_dir: str, table_path: str, checkpo
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
-        raw = reader.option("header", True).csv(source_dir)
+        # Columns are matched against the header: a file in another order fails instead of being read by position.
+        raw = reader.option("header", True).option("enforceSchema", False).option("escape", '"').csv(source_dir)
     elif fmt == "json":
         raw = reader.json(source_dir)
     else:

@@ -28,7 +28,7 @@ from .tokens import find_words, hash_words, mix, slices, text_buffer, windows
 ORDER = 2
 BACKOFF = 0.4
 #: Bytes of text in a block; n-grams of a range.
-BLOCK_BYTES, RANGE_GRAMS = 4 << 20, 1 << 20
+BLOCK_BYTES, RANGE_GRAMS = 6 << 20, 1 << 20
 
 
 class _Grams:
@@ -76,6 +76,17 @@ def _ranges(distinct: np.ndarray, ranges: int) -> np.ndarray:
     return np.r_[np.searchsorted(distinct, borders), len(distinct)]
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Values byte plane by byte plane: high bytes that are mostly zero lie
+    together, where the shuffle's compression removes them."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def _values(planes: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _ask(rows: pa.Table, order: int, ranges: int) -> pa.Table:
     """A block's n-grams by hash range."""
     grams = _Grams(rows.column("text"), order)
@@ -88,8 +99,9 @@ def _ask(rows: pa.Table, order: int, ranges: int) -> pa.Table:
             out["block"].append(block)
             out["n"].append(n)
             out["range"].append(r)
-            out["grams"].append(grams.distinct[n - 1][part].tobytes())
-            out["times"].append(grams.times[n - 1][part].astype(np.uint32).tobytes())
+            # Sorted hashes travel as differences.
+            out["grams"].append(_planes(np.diff(grams.distinct[n - 1][part], prepend=np.uint64(0))))
+            out["times"].append(_planes(grams.times[n - 1][part].astype(np.uint32)))
     return pa.table({"block": pa.array(out["block"], pa.int64()), "n": pa.array(out["n"], pa.int32()),
                      "range": pa.array(out["range"], pa.int64()), "grams": pa.array(out["grams"], pa.binary()),
                      "times": pa.array(out["times"], pa.binary())})
@@ -97,14 +109,14 @@ def _ask(rows: pa.Table, order: int, ranges: int) -> pa.Table:
 
 def _sum(rows: pa.Table) -> pa.Table:
     """One range of the count table, answered to the blocks that asked."""
-    grams = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("grams")]
-    times = [np.frombuffer(x.as_py(), np.uint32) for x in rows.column("times")]
+    grams = [np.cumsum(_values(x.as_py(), np.uint64), dtype=np.uint64) for x in rows.column("grams")]
+    times = [_values(x.as_py(), np.uint32) for x in rows.column("times")]
     distinct, inverse = np.unique(np.concatenate(grams), return_inverse=True)
     total = np.bincount(inverse, weights=np.concatenate(times), minlength=len(distinct)).astype(np.uint64)
     wide = total.max() > 0xFFFFFFFF
     answers = np.split(total[inverse].astype(np.uint64 if wide else np.uint32), np.cumsum([len(g) for g in grams])[:-1])
     return pa.table({"block": rows.column("block"), "n": rows.column("n"), "range": rows.column("range"),
-                     "wide": pa.array([bool(wide)] * len(grams)), "counts": pa.array([a.tobytes() for a in answers], pa.binary())})
+                     "wide": pa.array([bool(wide)] * len(grams)), "counts": pa.array([_planes(a) for a in answers], pa.binary())})
 
 
 def _score(rows: pa.Table, answers: pa.Table, order: int, total: int, backoff: float) -> pa.Table:
@@ -113,7 +125,7 @@ def _score(rows: pa.Table, answers: pa.Table, order: int, total: int, backoff: f
     size = len(grams.doc)
     found: dict[int, list] = {}
     for n, r, wide, counts in zip(*(answers.column(k).to_pylist() for k in ("n", "range", "wide", "counts"))):
-        found.setdefault(n, []).append((r, np.frombuffer(counts, np.uint64 if wide else np.uint32)))
+        found.setdefault(n, []).append((r, _values(counts, np.uint64 if wide else np.uint32)))
     others = []
     for n in range(1, order + 1):
         counts = np.concatenate([c for _, c in sorted(found[n], key=lambda x: x[0])]).astype(np.int64) if n in found else np.zeros(0, np.int64)

@@ -33,6 +33,8 @@ from .components import components
 from .tokens import shingle_sets, slices, text_buffer
 
 WIDTH, PERCENT = 4, 85
+#: Words of a shingle and percent of similarity where documents are dropped as near duplicates.
+DROP_WIDTH, DROP_PERCENT = 5, 80
 #: A token in more documents than this counts as frequent; the most frequent
 #: ones, so many at most (four bytes each), are sent to every task.  The bound affects only the order.
 FREQUENT, FREQUENT_KEPT = 2, 1 << 22
@@ -276,10 +278,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
                     F.coalesce("component", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))).alias("component_id")))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = DROP_WIDTH, percent: int = DROP_PERCENT) -> DataFrame:
     """``docs`` with one document of each component, the one of smallest id, all
     columns kept; rows without an id stay."""
-    found = stored(jaccard_components(docs), "found")
+    found = stored(jaccard_components(docs, width, percent), "found")
     gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     # Only ids that occur more than once need their rows compared.
     again = stored(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")

@@ -244,6 +244,15 @@ def test_one_of_each(docs_of):
     assert jaccard_join.jaccard_components(docs_of([])).count() == 0
 
 
+def test_one_of_each_takes_five_words_and_four_fifths(docs_of):
+    def pair(first, n):
+        """Texts that differ in one word: n - 9 of n + 1 five-word shingles are common."""
+        w = [f"{first}w{k}" for k in range(n)]
+        return [(first, " ".join(w)), (first + 1, " ".join([*w[:20], "other", *w[21:]]))]
+    docs = [*pair(1, 50), *pair(3, 49), *pair(5, 48)]
+    assert sorted(r["doc_id"] for r in rows(jaccard_join.one_of_each(docs_of(docs)))) == [1, 3, 5, 6]
+
+
 def test_long_chain_of_links(spark):
     n = 40
     chain = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (7, 7)], "a long, b long")

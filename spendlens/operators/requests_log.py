@@ -49,7 +49,7 @@ def with_fingerprint(requests: DataFrame, data_version: str | None = None,
 RULES = (
     "INVALID_CHART_TYPE", "INVALID_X_AXIS", "INVALID_Y_AXIS", "INVALID_VALUE",
     "SAME_AXES", "HEATMAP_MISSING_y_axis", "PIE_NO_NEED_y_axis", "HEATMAP_METRICS",
-    "INVALID_TOPN", "FIGSIZE_LENGTH", "FIGSIZE_NOT_POSITIVE",
+    "INVALID_TOPN", "FIGSIZE_LENGTH", "FIGSIZE_NOT_POSITIVE", "INVALID_PERIOD",
 )
 
 
@@ -76,6 +76,7 @@ def rule_checks() -> list[tuple[str, Column]]:
         fs.isNotNull() & (F.size(fs) != 2),
         fs.isNotNull() & (F.size(fs) == 2)
         & (F.coalesce(F.get(fs, 0) <= 0, F.lit(True)) | F.coalesce(F.get(fs, 1) <= 0, F.lit(True))),
+        F.col("filters.start_month") > F.col("filters.end_month"),
     ]
     return [(code, F.coalesce(c, F.lit(False))) for code, c in zip(RULES, checks)]
 

@@ -71,7 +71,8 @@ checked AS (
            THEN 'HEATMAP_METRICS' END,
       CASE WHEN topn IS NOT NULL AND topn <= 0 THEN 'INVALID_TOPN' END,
       CASE WHEN figsize IS NOT NULL AND len(figsize) <> 2 THEN 'FIGSIZE_LENGTH' END,
-      CASE WHEN figsize IS NOT NULL AND len(figsize) = 2 AND (figsize[1] <= 0 OR figsize[2] <= 0) THEN 'FIGSIZE_NOT_POSITIVE' END
+      CASE WHEN figsize IS NOT NULL AND len(figsize) = 2 AND (figsize[1] <= 0 OR figsize[2] <= 0) THEN 'FIGSIZE_NOT_POSITIVE' END,
+      CASE WHEN start_month > end_month THEN 'INVALID_PERIOD' END
     ) AS error_codes
   FROM keyed),
 acc AS (SELECT * FROM checked WHERE error_codes = ''),

@@ -164,3 +164,14 @@ def serve_heatmap_charts(fact: DataFrame, requests: DataFrame, digits: int = 4,
         F.when(age, F.col("y")).otherwise(F.col("x")), F.when(age, F.col("x")).otherwise(F.col("y")))
     return g.select("cache_key", F.row_number().over(w).cast("bigint").alias("pos"), "x", "y",
                     amount.alias("amount"))
+
+
+def result_points(fact: DataFrame, requests: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
+    """The points document of every request that has data: ``cache_key, points_json``."""
+    from ..operators.requests_log import points_document
+    charts = (serve_sum_charts(fact, requests, lookup), serve_pie_charts(fact, requests, lookup),
+              serve_heatmap_charts(fact, requests, lookup=lookup))
+    first, *rest = [points_document(c, ["cache_key"]) for c in charts]
+    for docs in rest:
+        first = first.unionByName(docs)
+    return first

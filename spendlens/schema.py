@@ -36,6 +36,9 @@ LABELS = {
     "trans_total": "交易金額",
 }
 
+# What a heatmap's cells are, behind its default title.
+HEATMAP_MEASURE = "_平均交易金額"
+
 # Unit divisor and unit text per metric (anything else: divisor 1, no text).
 UNITS = {
     "trans_count": (10_000_000, " (單位：千萬筆) "),

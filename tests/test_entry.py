@@ -30,7 +30,9 @@ def _norm(v):
 
 
 @pytest.mark.parametrize("name", ["agg_bar_industry", "agg_pie_ym_tail", "agg_heatmap_coords",
-                                  "dash_month_rank", "clean_pipeline", "req_hits"])
+                                  "dash_month_rank", "clean_pipeline", "req_hits", "agg_heatmap_pivot",
+                                  "req_broken_rules", "req_results_points", "chart_titles",
+                                  "src_csv_mixed_headers", "src_json_auto_wrapped", "etl_append_then_chart"])
 def test_query_matches_oracle_small(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "orders", "customer", "nation", "part", "events"):

@@ -24,3 +24,21 @@ def test_period_label(spark):
     df = spark.createDataFrame([(None, "202403", "202001", "202412")], "s string, e string, lo string, hi string")
     r = df.select(period_label(F.col("s"), F.col("e"), F.col("lo"), F.col("hi"))).first()[0]
     assert r == "202001-202403"
+
+
+def test_titles_and_file_names(spark):
+    from spendlens.functions import labels as L
+    rows = [("bar", "ym", None, "trans_total", ""), ("line", "nation", None, "trans_count", "圖 1"),
+            ("pie", "ym", None, "trans_total", None), ("heatmap", "ym", "industry", "trans_total", None)]
+    df = spark.createDataFrame(rows, "kind string, x string, y string, value string, given string")
+    title = L.chart_title(F.col("kind"), F.col("x"), F.col("y"), F.col("value"), F.col("given"))
+    got = {r["kind"]: r for r in df.select(
+        "kind", title.alias("title"), L.titled_period(F.col("kind"), F.lit("199801-199812"), title).alias("shown"),
+        L.file_base(F.col("kind"), F.lit("199801-199812"), title).alias("file"),
+        L.file_base(F.col("kind"), F.lit(""), F.lit("")).alias("none")).collect()}
+    assert got["bar"]["shown"] == "199801-199812  年月 x 交易金額  (單位：十億元)"
+    assert got["line"]["title"] == "圖 1  (單位：千萬筆) "
+    assert got["pie"]["shown"] == "199801-199812ym x trans_total"
+    assert got["heatmap"]["shown"] == "199801-199812  年月 x 產業別_平均交易金額"
+    assert got["heatmap"]["file"] == "199801-199812_--年月-x-產業別_平均交易金額"
+    assert {r["none"] for r in got.values()} == {"chart"}

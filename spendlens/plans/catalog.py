@@ -111,8 +111,10 @@ def bar_like_sql(x: str, value: str, f: ChartFilter, div: float, by_size: bool,
                      *bar_like_ctes(x, value, f, div, by_size, limit))
 
 
-def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fact_table(spark, sf_dir)
+def _fact(spark: SparkSession, sf_dir: str, f: ChartFilter = ChartFilter()) -> DataFrame:
+    """The fact of the filter's months."""
+    start, end = (m if isinstance(m, str) else None for m in (f.start_month, f.end_month))
+    return fact_table(spark, sf_dir, start, end)
 
 
 # ---------------------------------------------------------------------------
@@ -135,12 +137,12 @@ F_BUILDING = ChartFilter(industry="BUILDING", topn=2)
 
 @register("agg_bar_industry", bar_like_sql("industry", "trans_total", F_9699, 1e9, True, 20))
 def q_bar_industry(spark, sf_dir):
-    return charts.bar_points(_fact(spark, sf_dir), "industry", "trans_total", F_9699)
+    return charts.bar_points(_fact(spark, sf_dir, F_9699), "industry", "trans_total", F_9699)
 
 
 @register("agg_bar_industry_m", bar_like_sql("industry", "trans_total", F_9699, 1e6, True, 20))
 def q_bar_industry_m(spark, sf_dir):
-    return charts.bar_points(_fact(spark, sf_dir), "industry", "trans_total", F_9699, divisor=1e6)
+    return charts.bar_points(_fact(spark, sf_dir, F_9699), "industry", "trans_total", F_9699, divisor=1e6)
 
 
 @register("agg_bar_ym", bar_like_sql("ym", "trans_count", ChartFilter(), 1e3, False, None))
@@ -150,7 +152,7 @@ def q_bar_ym(spark, sf_dir):
 
 @register("agg_bar_age_top2", bar_like_sql("age_level", "trans_count", F_BUILDING, 1e3, True, 2))
 def q_bar_age_top2(spark, sf_dir):
-    return charts.bar_points(_fact(spark, sf_dir), "age_level", "trans_count", F_BUILDING, divisor=1e3)
+    return charts.bar_points(_fact(spark, sf_dir, F_BUILDING), "age_level", "trans_count", F_BUILDING, divisor=1e3)
 
 
 # ---------------------------------------------------------------------------
@@ -163,12 +165,12 @@ F_TOP3 = ChartFilter(topn=3, age_level="未滿20歲")
 
 @register("agg_line_ym", bar_like_sql("ym", "trans_total", F_MACH, 1e6, False, None))
 def q_line_ym(spark, sf_dir):
-    return charts.line_points(_fact(spark, sf_dir), "ym", "trans_total", F_MACH, divisor=1e6)
+    return charts.line_points(_fact(spark, sf_dir, F_MACH), "ym", "trans_total", F_MACH, divisor=1e6)
 
 
 @register("agg_line_industry_top3", bar_like_sql("industry", "trans_total", F_TOP3, 1e6, False, 3))
 def q_line_industry_top3(spark, sf_dir):
-    return charts.line_points(_fact(spark, sf_dir), "industry", "trans_total", F_TOP3, divisor=1e6)
+    return charts.line_points(_fact(spark, sf_dir, F_TOP3), "industry", "trans_total", F_TOP3, divisor=1e6)
 
 
 # ---------------------------------------------------------------------------
@@ -198,7 +200,7 @@ def q_pie_age(spark, sf_dir):
 
 @register("agg_pie_ym_tail", pie_sql("ym", "trans_count", F_TAIL, None))
 def q_pie_ym_tail(spark, sf_dir):
-    return charts.pie_points(_fact(spark, sf_dir), "ym", "trans_count", F_TAIL)
+    return charts.pie_points(_fact(spark, sf_dir, F_TAIL), "ym", "trans_count", F_TAIL)
 
 
 @register("agg_pie_nation", pie_sql("nation", "trans_total", ChartFilter(topn=5), 5),
@@ -231,7 +233,7 @@ def q_heatmap_industry_age(spark, sf_dir):
 
 @register("agg_heatmap_ym_industry", heatmap_sql("ym", "industry", F_BEFORE_98))
 def q_heatmap_ym_industry(spark, sf_dir):
-    return charts.heatmap_points(_fact(spark, sf_dir), "ym", "industry", F_BEFORE_98)
+    return charts.heatmap_points(_fact(spark, sf_dir, F_BEFORE_98), "ym", "industry", F_BEFORE_98)
 
 
 INDUSTRIES_SQL = "SELECT DISTINCT industry FROM fact"
@@ -444,7 +446,7 @@ def q_line_age_draw_order(spark, sf_dir):
        (SELECT round_even(CAST(sum(trans_total) AS DOUBLE) / 1000000.0 * 100.0, 0) / 100.0 AS y
         FROM fact WHERE ym >= '199601' AND ym <= '199912' GROUP BY industry ORDER BY 1 DESC LIMIT 20)"""))
 def q_axis_max_bar(spark, sf_dir):
-    return P.axis_max(charts.bar_points(_fact(spark, sf_dir), "industry", "trans_total", F_9699, divisor=1e6))
+    return P.axis_max(charts.bar_points(_fact(spark, sf_dir, F_9699), "industry", "trans_total", F_9699, divisor=1e6))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -478,7 +480,7 @@ def q_doc_bar_industry(spark, sf_dir):
     """The bar chart's points as one JSON array document (NULL fields
     left out, chart order)."""
     from ..operators.requests_log import points_document
-    pts = charts.bar_points(_fact(spark, sf_dir), "industry", "trans_total", F_9699, divisor=1e6)
+    pts = charts.bar_points(_fact(spark, sf_dir, F_9699), "industry", "trans_total", F_9699, divisor=1e6)
     return points_document(pts.withColumn("chart", F.lit("agg_bar_industry")), ["chart"])
 
 

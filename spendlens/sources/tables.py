@@ -1,6 +1,8 @@
 """The driver's parquet tables and the card-spend fact derived from them."""
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import AGE_FIRST_LABEL, FACT_COLUMNS
@@ -64,7 +66,18 @@ def age_band(p_size):
             .otherwise(F.lit("40(含)歲以上")))
 
 
-def fact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _in_months(lines: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """Lines shipped in a range of months, as a range of dates: a condition on
+    the stored column, so it reaches the parquet scan."""
+    if start is not None:
+        lines = lines.where(F.col("l_shipdate") >= F.lit(date(int(start[:4]), int(start[4:]), 1)))
+    if end is not None:
+        year, month = int(end[:4]) + int(end[4:]) // 12, int(end[4:]) % 12 + 1
+        lines = lines.where(F.col("l_shipdate") < F.lit(date(year, month, 1)))
+    return lines
+
+
+def fact_lines(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Fact rows plus the line identity (order, line number, part, supplier).
 
     Join order is chosen for scale: the per-order attributes (customer
@@ -73,9 +86,10 @@ def fact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     join and once for the part join.  Every input is pruned to the columns
     used before it is joined; Catalyst broadcasts a side only when its
     estimated size is under the broadcast threshold, and AQE may switch to a
-    broadcast at runtime once a side is measured small.
+    broadcast at runtime once a side is measured small.  Month bounds
+    (``YYYYMM``) limit the lines read.
     """
-    li = widen(read_table(spark, sf_dir, "lineitem").select(
+    li = widen(_in_months(read_table(spark, sf_dir, "lineitem"), start, end).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         "l_extendedprice", "l_shipdate"))
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -105,9 +119,9 @@ def fact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fact_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fact_from_tables(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """The six-column fact derived from the driver tables."""
-    return fact_lines(spark, sf_dir).select(*FACT_COLUMNS)
+    return fact_lines(spark, sf_dir, start, end).select(*FACT_COLUMNS)
 
 
 def materialize_fact(spark: SparkSession, sf_dir: str, path: str) -> str:
@@ -135,12 +149,15 @@ def fact_version(spark: SparkSession, sf_dir: str) -> str:
     return data_version(*[read_table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation", "part")])
 
 
-def fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fact_table(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """The fact for ``sf_dir``: the materialised copy when one is registered
-    for this source, otherwise derived lazily from the driver tables."""
+    for this source, otherwise derived lazily from the driver tables.  Month
+    bounds (``YYYYMM``) limit what is read, by partition or by ship date."""
     path = _registered_fact(spark, sf_dir)
     if path:
         # Read by path every time, so rows appended since are seen.
         from .sinks import read_fact
-        return read_fact(spark, path)
-    return fact_from_tables(spark, sf_dir)
+        fact = read_fact(spark, path)
+        fact = fact if start is None else fact.where(F.col("ym") >= start)
+        return fact if end is None else fact.where(F.col("ym") <= end)
+    return fact_from_tables(spark, sf_dir, start, end)

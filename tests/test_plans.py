@@ -21,3 +21,14 @@ def test_no_cross_joins_or_python_udfs(spark):
         if hits:
             bad[name] = hits
     assert bad == {}
+
+
+def test_chart_months_reach_the_scan(spark, capsys):
+    """Over the derived fact the month bounds are a range of ship dates in the scan."""
+    from spendlens.sources.tables import fact_from_tables, fact_table
+    fact_table(spark, SF, "199601", "199912").explain("formatted")
+    scan = next(line for line in capsys.readouterr().out.splitlines() if line.startswith("PushedFilters") and "l_shipdate" in line)
+    assert "GreaterThanOrEqual(l_shipdate,1996-01-01" in scan and "LessThan(l_shipdate,2000-01-01" in scan
+    whole = fact_from_tables(spark, SF)
+    assert sorted(fact_from_tables(spark, SF, "199612", "199712").collect()) == sorted(
+        whole.where("ym between '199612' and '199712'").collect())

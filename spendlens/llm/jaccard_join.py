@@ -40,6 +40,8 @@ DROP_WIDTH, DROP_PERCENT = 5, 80
 FREQUENT, FREQUENT_KEPT = 2, 1 << 22
 #: Tokens of a group's members, or of the queries of one opening, in one task.
 GROUP_TOKENS = 1 << 20
+#: Lists of tokens that more documents than this hold are met by a join, which splits them over tasks.
+LIST_ROWS = 1 << 13
 SLICE = 8 << 20
 _KEY = np.uint64(32)
 
@@ -169,6 +171,24 @@ def _lists(rows):
         yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["rep", "home"])
 
 
+def _met(listed: DataFrame, counts: DataFrame, list_rows: int) -> DataFrame:
+    """Distinct (query, group) from the tokens' lists of (group, document).
+
+    Short lists are read by one task each.  A long list would be one task's too, so its
+    documents are joined to its distinct groups: both sides are plain
+    exchanges, which AQE splits, and no list is held anywhere."""
+    # One row per long list: ``list_rows`` times fewer than there are tokens.
+    long = stored(counts.where(F.col("times") > list_rows).select(F.col("token").alias("short")), "long-lists")
+    listed = listed.withColumn("short", F.shiftrightunsigned("token", 32))
+    cold = (listed.join(long, "short", "left_anti").select("token", "home", "rep")
+            .repartition("token").sortWithinPartitions("token", "home").mapInArrow(_meet, "rep long, home long"))
+    hot = stored(listed.join(long, "short", "left_semi").select("token", "home", "rep"), "listed-long")
+    groups = hot.groupBy("token", "home").agg(F.count("*").alias("held")).withColumnRenamed("home", "group")
+    pairs = (hot.join(groups, "token").where("group < home or (group = home and held > 1)")
+             .select("rep", F.col("group").alias("home")))
+    return cold.unionByName(pairs).distinct()
+
+
 def _tokens(batches, width):
     for ids, sets in _sets(batches, width):
         yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "tokens"])
@@ -218,7 +238,7 @@ def _open(rows: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, list_rows: int = LIST_ROWS) -> DataFrame:
     """Near-duplicate components by exact Jaccard similarity.
 
     Input: ``doc_id, text`` (others are ignored).  Output, one row per input
@@ -253,8 +273,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     ).drop("parts"), "grouped")
 
     listed = grouped.select(F.explode("prefix").alias("token"), "home", "rep")
-    met = stored(listed.repartition("token").sortWithinPartitions("token", "home")
-                 .mapInArrow(_meet, "rep long, home long").distinct(), "met")
+    met = stored(_met(listed, counts, list_rows), "met")
     # Queries of a group in parts of bounded size; its members go to each part.
     # A pair of sizes that cannot reach the threshold is dropped here.
     ranges = grouped.groupBy("home").agg(F.min("n").alias("least"), F.max("n").alias("most"))

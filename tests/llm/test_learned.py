@@ -232,6 +232,16 @@ def test_components_with_split_groups(docs_of, monkeypatch):
     assert got == B.jaccard_components(docs)
 
 
+@pytest.mark.parametrize("list_rows", [2, 6])
+def test_components_with_long_lists(docs_of, monkeypatch, list_rows):
+    monkeypatch.setattr(jaccard_join, "GROUP_TOKENS", 150)
+    docs = near_copies(5, families=3, copies=25) + [(None, "a b c d e"), (900, None)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"])
+           for r in rows(jaccard_join.jaccard_components(docs_of([d for d in docs if d[0] is not None]), list_rows=list_rows))}
+    assert got == B.jaccard_components([d for d in docs if d[0] is not None])
+    assert jaccard_join.jaccard_components(docs_of(docs), list_rows=list_rows).where("doc_id is null and component_id is null").count() == 1
+
+
 def test_components_of_given_documents(spark, sf, given):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(catalog.queries()["op10_token_groups"](spark, sf))}
     assert got == B.jaccard_components([(d["doc_id"], d["text"]) for d in given("documents")])

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.numbers import parse_number
 from ..schema import FACT_COLUMNS, HEADER_MAP, METRIC_COLUMNS, TEXT_COLUMNS
-from .quantiles import approx_medians, exact_medians
+from .quantiles import approx_medians, bracket_exprs, exact_medians, middle_values
 
 log = logging.getLogger(__name__)
 
@@ -49,25 +49,48 @@ def missing_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return agg.unpivot([], cols, "column", "missing_ratio")
 
 
-def text_modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
-    """Most frequent value per text column, ties -> smallest, NULLs skipped.
+def mode_rows(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``column, value``: the most frequent value per text column, ties ->
+    smallest, NULLs skipped; no row for a column without values.
 
     One job for all columns: values are unpivoted to (column, value) and
     counted with a partial aggregation (a hot value collapses map-side), then
     each column keeps the value with the largest count.
     """
-    if not cols:
-        return {}
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
     counts = (df.select(F.explode(pairs).alias("p")).select("p.*")
               .where(F.col("value").isNotNull())
               .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
     best = counts.groupBy("column").agg(
         F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("value").alias("value"))).alias("b"))
-    found = {r["column"]: r["value"] for r in best.select("column", "b.value").collect()}
+    return best.select("column", "b.value")
+
+
+def text_modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
+    """``mode_rows`` as a dictionary, ``None`` for a column without values."""
+    if not cols:
+        return {}
+    found = {r["column"]: r["value"] for r in mode_rows(df, cols).collect()}
     return {c: found.get(c) for c in cols}
 
 
+def fill_values(df: DataFrame, num_cols: list[str], str_cols: list[str]) -> DataFrame:
+    """One row with the median of each number column and the mode of
+    each text column.  The driver learns between which two values a
+    median lies; the median itself is aggregated from the table."""
+    def median(c: str, pair) -> Column:
+        if pair is None:
+            return F.lit(None).cast("double").alias(c)
+        v = F.col(c).cast("double")
+        middle = F.when(v.between(F.lit(pair[0]), F.lit(pair[1])), v)
+        low, high = F.min(middle), F.max(middle)
+        return F.when(low == high, low).otherwise((low + high) / 2).alias(c)
+
+    medians = df.agg(*[median(c, pair) for c, pair in middle_values(df, num_cols).items()])
+    modes = mode_rows(df, str_cols)
+    return medians.select("*", *[modes.where(F.col("column") == c).select("value").scalar().alias(c) for c in str_cols])
+
+
 @dataclass
 class ImputeReport:
     missing_ratio: dict[str, float] = field(default_factory=dict)
@@ -84,12 +107,11 @@ def _present(c: str, num_cols) -> Column:
 
 def impute_stats_exprs(num_cols, str_cols) -> list[Column]:
     """Aggregates the imputation needs: rows, present values per column,
-    min / max per number column."""
+    a bracket around the middle per number column."""
     cols = list(num_cols) + list(str_cols)
     return ([F.count(F.lit(1)).alias("__rows")]
             + [F.count(_present(c, num_cols)).alias(c) for c in cols]
-            + [F.min(F.col(c).cast("double")).alias(f"__min_{c}") for c in num_cols]
-            + [F.max(F.col(c).cast("double")).alias(f"__max_{c}") for c in num_cols])
+            + bracket_exprs(num_cols))
 
 
 def impute(df: DataFrame, num_cols=METRIC_COLUMNS, str_cols=TEXT_COLUMNS,
@@ -118,8 +140,7 @@ def impute(df: DataFrame, num_cols=METRIC_COLUMNS, str_cols=TEXT_COLUMNS,
     fills: dict[str, object] = {}
     if need_num:
         if median == "exact":
-            fills.update(exact_medians(df, need_num, {c: stats[c] for c in need_num},
-                                       {c: (stats[f"__min_{c}"], stats[f"__max_{c}"]) for c in need_num}))
+            fills.update(exact_medians(df, need_num, {c: stats[f"__mid_{c}"] for c in need_num}))
         else:
             fills.update(approx_medians(df, need_num))
     if need_str:
@@ -154,6 +175,11 @@ def final_types(df: DataFrame) -> DataFrame:
                      *[F.col(c).cast("bigint").alias(c) for c in METRIC_COLUMNS])
 
 
+def parsed_extract(df: DataFrame, thousands: str = "strip") -> DataFrame:
+    """C1 -> C2 -> C3 -> C4."""
+    return parse_metrics(project(require_columns(rename_headers(df))), thousands=thousands)
+
+
 def clean_extract(df: DataFrame, thousands: str = "strip", median: str = "exact",
                   report: ImputeReport | None = None, materialize: bool = True) -> DataFrame:
     """C11: the full chain, C1 -> C2 -> C3 -> C4 -> C5/C6 -> C8 -> C10.
@@ -163,9 +189,10 @@ def clean_extract(df: DataFrame, thousands: str = "strip", median: str = "exact"
     read and parsed once instead of once per pass, each pass reads only the
     columns it needs, and the lineage is cut (an executor loss re-reads the
     written table instead of re-running the extract).  The first statistics
-    (counts, min / max) are observed during that write.
+    (counts, brackets of the medians) are observed during that write; after it
+    one pass counts, one ranks the values in the brackets, and one finds modes.
     """
-    parsed = parse_metrics(project(require_columns(rename_headers(df))), thousands=thousands)
+    parsed = parsed_extract(df, thousands)
     stats = None
     if materialize:
         from ..config import shared_path, write_table

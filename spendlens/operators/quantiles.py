@@ -14,7 +14,8 @@ they are fetched and ranked exactly.
 
 All columns are narrowed together in the same passes (the values are
 unpivoted to ``(name, v)``), so the pass count does not grow with the number
-of columns.
+of columns.  Medians start from a bracket around the middle estimated by a
+one-pass sketch: where it holds few enough values no histogram is needed.
 """
 from __future__ import annotations
 
@@ -24,6 +25,9 @@ from pyspark.sql import DataFrame, functions as F
 
 BUCKETS = 1024
 FINAL_ROWS = 4096
+# Distance of a bracket's ends from the middle (share of the values), and the
+# accuracy of the estimate (its error is one over this, less than the distance).
+BRACKET, ACCURACY = 0.0003, 10_000
 
 
 def _t(c):
@@ -47,9 +51,13 @@ def _long_values(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def kth_values(df: DataFrame, wanted: dict[str, list[int]], buckets: int = BUCKETS,
                final_rows: int = FINAL_ROWS,
-               bounds: dict[str, tuple[float, float]] | None = None) -> dict[str, dict[int, float]]:
+               bounds: dict[str, tuple[float, float]] | None = None,
+               starts: dict[str, tuple[float, float, int, int]] | None = None) -> dict[str, dict[int, float]]:
     """For each column, the values at the given 1-based ranks (ascending).
 
+    ``starts`` may give a column a range known to hold its ranks, with the
+    numbers of values below and inside it.
+
     ``wanted`` maps a column to its ranks; ranks must lie in 1..n(column).
     Every (column, rank) target narrows its own range, so a target's range
     always shrinks to a single bucket of the previous pass.
@@ -64,6 +72,12 @@ def kth_values(df: DataFrame, wanted: dict[str, list[int]], buckets: int = BUCKE
     state = {(c, k): [bounds[c][0], bounds[c][1], 0, False]
              for c, ks in wanted.items() if c in bounds for k in ks}
     result: dict[str, dict[int, float]] = {c: {} for c in wanted}
+    for t in state:
+        if t[0] in (starts or {}):
+            state[t] = [*starts[t[0]][:3], False]
+    few = [t for t, st in state.items() if t[0] in (starts or {}) and starts[t[0]][3] <= final_rows and st[0] != st[1]]
+    if few:
+        _finish_small(vals, state, result, few)
 
     while True:
         for t in [t for t, st in state.items() if st[0] == st[1]]:
@@ -140,29 +154,51 @@ def _finish_small(vals: DataFrame, state, result, targets):
             cum += n
 
 
-def exact_medians(df: DataFrame, cols: list[str], counts: dict[str, int] | None = None,
-                  bounds: dict[str, tuple[float, float]] | None = None) -> dict[str, float | None]:
-    """Exact median of each column (mean of the two middle values for an
-    even count); NULL/NaN ignored; ``None`` for a column without values."""
-    if counts is None:
-        row = df.agg(*[F.count(_value(c)).alias(c) for c in cols]).first()
-        counts = {c: row[c] for c in cols}
-    wanted = {}
+def bracket_exprs(cols: list[str]) -> list:
+    """Aggregates ``__mid_<c>``: values a little below and above each column's
+    middle.  They only say where to look; the ranks are counted afterwards."""
+    return [F.percentile_approx(_value(c), [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY).alias(f"__mid_{c}") for c in cols]
+
+
+def middle_values(df: DataFrame, cols: list[str],
+                  brackets: dict[str, list[float] | None] | None = None) -> dict[str, tuple[float, float] | None]:
+    """The two middle values of each column (equal for an odd count); NULL/NaN
+    ignored; ``None`` for a column without values.
+
+    One pass counts the values below and inside each bracket, so whether it
+    holds the middle is known exactly; a second one ranks the values inside.
+    A bracket of more than ``FINAL_ROWS`` values is narrowed first, and one
+    that misses the middle gives way to the column's whole range.
+    """
+    if brackets is None:
+        row = df.agg(*bracket_exprs(cols)).first()
+        brackets = {c: row[f"__mid_{c}"] for c in cols}
+    aggs = []
     for c in cols:
-        n = counts.get(c) or 0
-        if n > 0:
-            wanted[c] = sorted({(n + 1) // 2, n // 2 + 1})
-    kth = kth_values(df, wanted, bounds=bounds)
-    out: dict[str, float | None] = {}
+        lo, hi = brackets.get(c) or (None, None)
+        v = _value(c)
+        aggs += [F.count(v).alias(f"n_{c}"), F.min(v).alias(f"min_{c}"), F.max(v).alias(f"max_{c}"),
+                 F.count_if(v < F.lit(lo)).alias(f"below_{c}"), F.count_if(v.between(F.lit(lo), F.lit(hi))).alias(f"inside_{c}")]
+    row = df.agg(*aggs).first()
+    wanted, bounds, starts = {}, {}, {}
     for c in cols:
-        n = counts.get(c) or 0
-        if n == 0:
-            out[c] = None
-        elif n % 2:
-            out[c] = kth[c][(n + 1) // 2]
-        else:
-            out[c] = (kth[c][n // 2] + kth[c][n // 2 + 1]) / 2.0
-    return out
+        n, below, inside = (row[f"{k}_{c}"] for k in ("n", "below", "inside"))
+        if not n:
+            continue
+        wanted[c] = sorted({(n + 1) // 2, n // 2 + 1})
+        bounds[c] = (row[f"min_{c}"], row[f"max_{c}"])
+        if below < wanted[c][0] and wanted[c][-1] <= below + inside:
+            starts[c] = (*brackets[c], below, inside)
+    kth = kth_values(df, wanted, final_rows=FINAL_ROWS, bounds=bounds, starts=starts)
+    return {c: (kth[c][wanted[c][0]], kth[c][wanted[c][-1]]) if c in wanted else None for c in cols}
+
+
+def exact_medians(df: DataFrame, cols: list[str],
+                  brackets: dict[str, list[float] | None] | None = None) -> dict[str, float | None]:
+    """Exact median of each column (mean of the two middle values for an
+    even count); NULL/NaN ignored; ``None`` for a column without values."""
+    return {c: pair and (pair[0] if pair[0] == pair[1] else (pair[0] + pair[1]) / 2.0)
+            for c, pair in middle_values(df, cols, brackets).items()}
 
 
 def approx_medians(df: DataFrame, cols: list[str], accuracy: int = 100_000) -> dict[str, float | None]:

@@ -6,9 +6,8 @@ layout under the shared checkpoint folder and read it back.
 """
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
-from ..config import shared_path
+from ..config import shared_path, write_table
 from ..operators import clean as C
 from ..sources.sinks import append_new_rows, read_fact
 from . import etl
@@ -97,15 +96,8 @@ def q_clean_missing_profile(spark, sf_dir):
 def q_clean_fill_values(spark, sf_dir):
     """The imputation values (exact medians, smallest-on-tie modes)
     of the columns that have missing values, as one row."""
-    rep = C.ImputeReport()
-    C.clean_extract(dirty_extract(spark, sf_dir), report=rep)  # statistics run eagerly
-    vals = rep.fill_values
-    return spark.range(1).select(
-        F.lit(vals.get("trans_count")).cast("double").alias("trans_count"),
-        F.lit(vals.get("trans_total")).cast("double").alias("trans_total"),
-        F.lit(vals.get("ym")).cast("string").alias("ym"),
-        F.lit(vals.get("industry")).cast("string").alias("industry"),
-        F.lit(vals.get("age_level")).cast("string").alias("age_level"))
+    parsed = write_table(C.parsed_extract(dirty_extract(spark, sf_dir)), shared_path(spark, "parsed-extract"))
+    return C.fill_values(parsed, ["trans_count", "trans_total"], ["ym", "industry", "age_level"])
 
 
 @register("clean_duplicate_stats", with_fact(

@@ -124,6 +124,23 @@ def test_exact_median_matches_brute_force(spark, seed):
     assert got["c"] == _brute_median(c)
 
 
+@pytest.mark.parametrize("bracket", [[-5.0, -1.0], [0.0, 1e9], [250.0, 750.0], None])
+def test_exact_median_from_any_bracket(spark, bracket, monkeypatch):
+    from spendlens.operators import quantiles
+    monkeypatch.setattr(quantiles, "FINAL_ROWS", 64)
+    rnd = random.Random(11)
+    xs = [rnd.random() * 1000 for _ in range(2000)] + [None, float("nan")]
+    df = spark.createDataFrame([(x,) for x in xs], "v double")
+    assert exact_medians(df, ["v"], {"v": bracket}) == {"v": _brute_median(xs)}
+
+
+def test_fill_values_of_columns_with_and_without_values(spark):
+    df = spark.createDataFrame([(1.0, None, "b", None), (4.0, None, "a", None), (None, None, "b", None), (9.0, None, None, None), (2.0, None, "a", None)],
+                               "x double, none double, t string, no_text string")
+    r = C.fill_values(df, ["x", "none"], ["t", "no_text"]).collect()
+    assert [tuple(i) for i in r] == [(3.0, None, "a", None)]
+
+
 def test_kth_values_small_buckets_force_several_passes(spark):
     rnd = random.Random(7)
     xs = [rnd.random() * 1000 for _ in range(3000)]

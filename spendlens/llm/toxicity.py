@@ -32,7 +32,7 @@ SAMPLE_ROWS, LEXICON, FOLDS = 20_000, 256, 5
 #: Beginnings of words that are lexicon candidates, in bytes.
 CUTS = (4, 5, 6, 7)
 LEXICON_VOTERS = 12
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[65:91] = _NOT_LETTER[97:123] = False

@@ -252,9 +252,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     An empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    # Some 200 MB of text per bucket of counters at most.
+    # Some 32 MB of text per bucket of counters at most.
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 12 + size // (200 << 20)
+    buckets = 12 + size // (32 << 20)
     counts = (texts.where("doc_id is not null").mapInArrow(lambda it: _tally(it, width, buckets), "bucket int, tokens binary")
               .groupBy("bucket").applyInArrow(lambda t: _count(t, FREQUENT), "token long, times long"))
     counts = stored(counts, "token-counts")

@@ -12,7 +12,8 @@ pattern's matches interleave, so running lengths give every match's start.
 Scale: texts are read once and not shuffled; only spans are.  The interval
 join is an equi-join on ``(document, scope, bin)`` with the distance as the
 residual, as a semi join, so no pairs are produced and a bin of ``REACH``
-characters bounds the work per part.
+characters bounds the work per part.  A part stands in the bins it touches and
+supports those up to one further on either side.
 """
 from __future__ import annotations
 
@@ -111,14 +112,16 @@ def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
         return (digest.where(F.size("weak") > 0)
                 .select("row", "gaps", F.explode(column).alias("x")).select("row", "x.*", kind.alias("part"),
                         F.size(F.filter("gaps", lambda g: g < F.col("x.s"))).alias("scope"))
-                .withColumn("bin", F.floor(F.col("s") / reach)))
+                .withColumn("first", F.floor(F.col("s") / reach)).withColumn("last", F.floor(F.col("e") / reach)))
 
     # Each base span supports as the part it is: an access identifier, or secret material.
     weak_parts = parts("weak", F.col("x.kind"))
     base_parts = parts("base", F.when(F.col("x.kind") == "access", "identifier").otherwise("material"))
     support = (weak_parts.unionByName(base_parts)
                .select("row", "scope", "part", F.col("s").alias("os"), F.col("e").alias("oe"),
-                       F.explode(F.sequence(F.col("bin") - 1, F.floor((F.col("e") - 1) / reach) + 1)).alias("bin")))
+                       F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)).alias("bin")))
+    # A part stands in every bin it touches, ends included, so any two within reach meet; the set below takes it once.
+    weak_parts = weak_parts.withColumn("bin", F.explode(F.sequence("first", "last")))
     apart = F.greatest(F.col("a.s") - F.col("b.oe"), F.col("b.os") - F.col("a.e"))
     linked = weak_parts.alias("a").join(
         support.alias("b"),

@@ -186,6 +186,23 @@ def test_secrets_patterns_and_links(docs_of):
     assert secret_scan.find_secrets(docs_of([])).count() == 0
 
 
+def test_secret_links_at_all_offsets_and_gaps(docs_of):
+    """Every pair within reach meets, wherever the bins' borders lie."""
+    reach, key = 20, "ABCDEFGH12345678"
+    cases, want = [], {}
+    for first, second in ((f"https://{'x' * 42}", key), (key, f"https://{'x' * 42}"), (key, MATERIAL), (MATERIAL, key)):
+        for offset in range(reach):
+            for gap in (1, 2, 9, 18, 19, 20, 21, 22, 39, 40, 41):
+                text = "." * offset + (" " if offset else "") + first + " " * gap + second
+                want[len(cases)] = 2 if gap <= reach else 0
+                cases.append((len(cases), text))
+    # The default reach: a 20-character identifier at 190, a secret at 400.
+    out = {r["doc_id"]: r["n_linked"] for r in rows(secret_scan.find_secrets(docs_of(cases), reach))}
+    assert out == want
+    text = "." * 189 + " " + "ABCDEFGH123456789012" + " " * 190 + MATERIAL
+    assert rows(secret_scan.find_secrets(docs_of([(1, text)])))[0]["spans"] == "identifier:190:210,material:400:420"
+
+
 # -- URLs ------------------------------------------------------------------------
 
 def test_urls(spark):

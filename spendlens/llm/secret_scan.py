@@ -27,9 +27,10 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 LEAST_VALUE = 12
 #: Weak parts: an identifier, a secret-like token (20 or more characters with both digits and letters), an endpoint.
+#: Runs have no longest length; possessive loops keep the scan linear.
 WEAK = {
-    "identifier": r"\b(?=[A-Z0-9]{0,31}[0-9])(?=[A-Z0-9]{0,31}[A-Z])[A-Z0-9]{16,32}\b",
-    "material": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,63}[0-9])(?=[0-9+/_-]{0,63}[A-Za-z])[A-Za-z0-9+/_-]{20,64}(?![A-Za-z0-9+/_-])",
+    "identifier": r"\b(?=[A-Z]*+[0-9])(?=[0-9]*+[A-Z])[A-Z0-9]{16,}+\b",
+    "material": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+",
     "endpoint": r"\b(?:https?|ftp|postgres|mysql|redis|amqp)://[^\s\"'<>]+",
 }
 REACH = 200

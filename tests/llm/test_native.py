@@ -203,6 +203,24 @@ def test_secret_links_at_all_offsets_and_gaps(docs_of):
     assert rows(secret_scan.find_secrets(docs_of([(1, text)])))[0]["spans"] == "identifier:190:210,material:400:420"
 
 
+def test_secret_parts_of_any_length(docs_of):
+    url, name = "https://store.example.com/x", "ABCDEFGH12345678"
+    run = lambda n: ("qX7w9Zk2LmN4pR8sT1vY+/_-" * 50)[:n]
+    lengths = (20, 64, 65, 88, 1000, 1200)
+    texts = [(n, f"{url} {run(n)} {name}") for n in lengths] + [(5000 + n, f"{('A1' + 'BCDEFGHJ' * 200)[:n]} {url}") for n in (16, 32, 33, 100, 1000)]
+    # The digit or the letter may come after any number of the others.
+    texts += [(9000, f"{url} {'k' * 100}7"), (9001, f"{url} {'7/' * 50}g"), (9002, f"{url} {'k' * 100}"), (9003, f"{'A' * 100}7 {url}"),
+              (9004, f"{url} " + "aZ-" * 300_000)]
+    out = {r["doc_id"]: r["spans"].split(",") for r in rows(secret_scan.find_secrets(docs_of(texts)))}
+    at = len(url) + 1
+    for n in lengths:
+        assert out[n] == [f"endpoint:0:{at - 1}", f"material:{at}:{at + n}", f"identifier:{at + n + 1}:{at + n + 17}"], n
+    for n in (16, 32, 33, 100, 1000):
+        assert f"identifier:0:{n}" in out[5000 + n] and f"endpoint:{n + 1}:{n + 1 + len(url)}" in out[5000 + n], n
+    assert out[9000] == out[9001] == [f"endpoint:0:{at - 1}", f"material:{at}:{at + 101}"]
+    assert "identifier:0:101" in out[9003] and out[9002] == out[9004] == [""]
+
+
 # -- URLs ------------------------------------------------------------------------
 
 def test_urls(spark):

@@ -38,9 +38,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TAGS = ("O",) + tuple(f"{p}-{k}" for k in KINDS for p in "BI")
 FEATURES, CONTEXT = 1 << 13, 3
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: A word that can be part of personal data, or that spells out a separator.
-TRIGGER = re.compile(r"[0-9@]|^[\[(]?(?:at|dot)[\])]?$")
-ANY_TRIGGER = r"[0-9@]|[\[(](?:at|dot)[\])]|[\x20\x09-\x0D]dot[\x20\x09-\x0D]"
+#: A word that can be part of personal data, or that spells out a separator, in brackets also inside a word.  In lower case.
+TRIGGER = re.compile(r"[0-9@]|[\[(](?:at|dot)[\])]|^[\[(]?(?:at|dot)[\])]?$")
+#: A text with such a word: the same with a word's ends spelled out, for texts as they are.
+ANY_TRIGGER = r"(?i)[0-9@]|[\[(](?:at|dot)[\])]|(?:^|[\x20\x09-\x0D])[\[(]?(?:at|dot)[\])]?(?:$|[\x20\x09-\x0D])"
 
 #: The labelled table: words, with a span's words in braces after its kind.
 LABELLED = tuple("""
@@ -295,7 +296,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def _pieces(text: str) -> list[list[tuple[int, int]]]:
     """Runs of words near a trigger, as offsets."""
     near, out, since = [(m.start(), m.end()) for m in WORD.finditer(text)], [], -1
-    hot = [k for k, (s, e) in enumerate(near) if TRIGGER.search(text[s:e].lower() if e - s < 8 else text[s:e])]
+    low = text.lower()
+    if len(low) != len(text):  # A character with a longer lower case would move the offsets.
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+    hot = [k for k, (s, e) in enumerate(near) if TRIGGER.search(low[s:e])]
     for k in hot:
         a, b = max(0, k - CONTEXT), min(len(near), k + CONTEXT + 1)
         if out and a <= since:

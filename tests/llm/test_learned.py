@@ -2,9 +2,12 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 import brute as B
@@ -187,6 +190,39 @@ def test_field_adds_written_out_variants(docs_of):
     assert pii_crf.find_personal(docs_of([])).count() == 0
 
 
+def test_field_sees_every_labelled_variant(docs_of):
+    """Spans of the labelled table are found in texts with no digit, sign or separator but their own, in any case."""
+    texts, want = {}, {}
+    for row in pii_crf.LABELLED:
+        m = re.search(r"\{(\w+) (.*?)\}", row)
+        if not m:
+            continue
+        before, after = (" ".join(w for w in part.split(" ") if not pii_crf.TRIGGER.search(w)) for part in (row[:m.start()], row[m.end():]))
+        for span in {m[2], re.sub(r"(?<=[\[(])(at|dot)(?=[\])])", lambda x: x[0].upper(), m[2])}:
+            k = len(texts)
+            texts[k] = f"{before}{span}{after}"
+            want[k] = f"{m[1]}:{len(before)}:{len(before) + len(span)}"
+    assert sum(not re.search("[0-9]", t) for t in texts.values()) >= 8
+    out = {r["doc_id"]: r["spans"] for r in rows(pii_crf.find_personal(docs_of(list(texts.items()))))}
+    assert {texts[k]: out[k] for k in texts} == {texts[k]: want[k] for k in texts}
+
+
+def test_gates_agree(docs_of):
+    """A text is looked at whenever one of its words is, wherever the word stands."""
+    seps = ["at", "dot", "[at]", "(dot)", "AT", "(AT)", "[Dot]", "(at", "dot]", "anna[at]mail", "x(DOT)y", "7", "a@b", "\u0130(AT)x"]
+    none = ["kim", "that", "dots", "(cat)", "at.", "\u0130"]
+    for w in seps + none:
+        for text in (w, f"see {w} now", f"see\n{w}", f"{w}\tsee", f"\u0130\u0130 {w} \u0130"):
+            pieces = pii_crf._pieces(text)
+            assert bool(pieces) == bool(pc.match_substring_regex(pa.array([text]), pii_crf.ANY_TRIGGER)[0].as_py()) == (w in seps), text
+            assert all(text[s:e] == text[s:e].strip() for p in pieces for s, e in p)
+    here, far = "sales (AT) shop (DOT) com", "kim at example.net"
+    plain = {1: f"write to {here} today", 2: f"mail {far} now"}
+    out = {r["doc_id"]: r["spans"] for r in rows(pii_crf.find_personal(docs_of(
+        [*plain.items(), *((k + 10, t + " and so on and on and on and on until 5") for k, t in plain.items())])))}
+    assert out[1] == out[11] == "email:9:34" and out[2] == out[12]
+
+
 def test_viterbi_equals_all_sequences():
     import itertools
     emit, move = pii_crf.train()

@@ -5,15 +5,16 @@ documents that hold a line are counted; lines above the limits are taken out,
 and a document that loses too many of its words is rejected.  Per-document
 rules (word count, repeated 3-word windows) are computed in the same pass.
 
-Scale: the text is read once and never shuffled -- the stored digest has
-counts and one ``(hash, words, times)`` entry per distinct line.  Line counts
-are pre-aggregated per task; the frequent lines are a stored table of their
-own, so the join back is a plain two-sided join whose hot keys AQE splits (or
-a broadcast when that table's files are small).
+Scale: the stored digest has counts and one ``(place, hash)`` entry per line.
+Line counts are pre-aggregated per task; the frequent lines are a stored table
+of their own, so the join back is a plain two-sided join whose hot keys AQE
+splits (or a broadcast when that table's files are small).  The lines to take
+out go back to the texts by document and text hash: the texts are read a second
+time and shuffled once at most, and nothing else of their size is written.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import SPACE, SPACE_CHARS, WORD, stored, table, text_or_empty, word_count, words
 
@@ -27,11 +28,16 @@ MAX_DOCS, MAX_SHARE = 10, 0.0
 MIN_LEFT = 0.5
 
 
+def _mark() -> Column:
+    """Tells a document's rows of different texts or hosts apart; equal rows lose equal lines."""
+    return F.xxhash64("source", F.col("source").isNull(), text_or_empty())
+
+
 def _digest(docs: DataFrame) -> DataFrame:
-    """Counts of every document and its distinct normalised lines."""
+    """Counts of every document and its normalised lines with their places."""
     text = F.col("text")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("host"),
-                       text_or_empty().alias("text"))
+                       text_or_empty().alias("text"), _mark().alias("mark"))
     # Windows of three words by hash; a window's place is kept, so windows found
     # again are those with an equal neighbour once sorted by hash.
     grams = (base.withColumn("w", words(text))
@@ -48,10 +54,11 @@ def _digest(docs: DataFrame) -> DataFrame:
     ).drop("s")
     covered = F.expr("coalesce(aggregate(transform(p, (x, j) -> CASE WHEN j < size(p) - 1 THEN least(3, p[j + 1] - x) ELSE 3 END),"
                      " 0L, (a, x) -> a + x), 0L)")
-    norm = F.expr(rf"transform(lines, l -> struct(xxhash64(trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0'), '[{SPACE}]+', ' '))) AS line,"
-                  rf" regexp_count(l, '{WORD}') AS words))".replace("\\", "\\\\"))
+    norm = F.expr(rf"filter(transform(split(text, '\n'), (l, i) -> struct(i AS at, CASE WHEN l RLIKE '{WORD}' THEN"
+                  rf" xxhash64(trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0'), '[{SPACE}]+', ' '))) END AS line)),"
+                  " x -> x.line IS NOT NULL)".replace("\\", "\\\\"))
     return found.select(
-        "doc_id", "host", "n_words",
+        "doc_id", "host", "mark", "n_words",
         F.char_length(F.translate(text, SPACE_CHARS, "")).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -60,11 +67,13 @@ def _digest(docs: DataFrame) -> DataFrame:
 
 def line_quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE,
                  min_left: float = MIN_LEFT) -> DataFrame:
-    """Judges every document.
+    """Takes the lines above the limits out of every document and judges it.
 
     Input: ``doc_id, text, source`` (others are ignored).  Output, one row per
     input row: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, kept, boiler_words``.
+    n_repeat_words, base_failed, kept, boiler_words, text``.  ``text`` is what
+    remains: the lines that are not above the limits, blank ones included, in
+    order and unchanged; the counts but ``boiler_words`` are of the text as it came.
 
     Null and empty texts have zero counts and fail (no words); null hosts are
     one host; repeated rows count as documents of their own; lines are compared
@@ -73,7 +82,7 @@ def line_quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = M
     """
     # The row number only ties a stored row to its lines; it is fixed once written.
     digest = stored(_digest(docs).withColumn("row", F.monotonically_increasing_id()), "lines-digest")
-    lines = digest.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.line", "l.words")
+    lines = digest.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.line", "l.at")
     distinct = digest.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
     limits = digest.groupBy("host").agg(F.greatest(F.lit(float(max_docs)), F.count("*") * F.lit(max_share)).alias("limit"))
     counted = distinct.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
@@ -81,20 +90,26 @@ def line_quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = M
         counted = (counted.join(limits.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
                    .where("n_docs > limit").select("host", "line", "n_docs"))
     frequent = stored(counted.select(F.xxhash64("host", F.col("host").isNull(), "line").alias("key")), "lines-frequent")
-    boiler = (lines.select("row", "words", F.xxhash64("host", F.col("host").isNull(), "line").alias("key"))
-              .join(frequent, "key").groupBy("row").agg(F.sum("words").alias("boiler_words")))
+    gone = (lines.select("row", "at", F.xxhash64("host", F.col("host").isNull(), "line").alias("key"))
+            .join(frequent, "key").groupBy("row").agg(F.collect_list("at").alias("gone")))
+    # One row for equal rows of a document; stored, so the texts meet a plain exchange.
+    judged = stored(digest.drop("lines", "host").join(gone, "row", "left").drop("row").dropDuplicates(["doc_id", "mark"]), "lines-judged")
+    left_lines = F.expr("transform(array_except(sequence(0, size(parts) - 1), gone), i -> parts[i])")
+    rest = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left_lines, "\n"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), _mark().alias("m"), text_or_empty().alias("text"))
+    left = (texts.join(judged, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark")))
+            .withColumn("parts", F.when(F.col("gone").isNotNull(), F.split("text", "\n"))).withColumn("text", rest)
+            .withColumn("n_left", word_count(F.col("text"))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    boiler_words = F.coalesce(F.col("boiler_words"), F.lit(0)).cast("long")
-    return (digest.drop("lines", "host").join(boiler, "row", "left")
-            .withColumn("base_failed", failed).withColumn("boiler_words", boiler_words)
-            .withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("boiler_words") >= F.lit(min_left) * F.col("n_words")))
+    return (left.withColumn("base_failed", failed).withColumn("boiler_words", F.col("n_words") - F.col("n_left"))
+            .withColumn("kept", ~F.col("base_failed") & (F.col("n_left") >= F.lit(min_left) * F.col("n_words")))
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                    "base_failed", "kept", "boiler_words"))
+                    "base_failed", "kept", "boiler_words", "text"))
 
 
 def op4_line_quality(spark, sf_dir):
-    """Verdict of :func:`line_quality` on all documents."""
-    return line_quality(table(spark, sf_dir, "documents"))
+    """Verdict of :func:`line_quality` on all documents; words taken out are counted on the texts it leaves."""
+    return line_quality(table(spark, sf_dir, "documents")).drop("text")
 
 
 SQL = r"""

@@ -44,6 +44,33 @@ def test_line_quality_edges_and_hosts(docs_of):
     assert not any(kept[i] for i in range(12)) and all(kept[100 + i] for i in range(10)) and kept[200]
 
 
+def plain_rest(rows_, limit=10):
+    """rows_: (host, text); the texts without lines that over ``limit`` rows of the host hold."""
+    held = collections.Counter()
+    lines = [(h, [(x, B.norm_line(x) if B.WORD.search(x) else None) for x in (t or "").split("\n")]) for h, t in rows_]
+    for h, xs in lines:
+        held.update({(h, n) for _, n in xs if n is not None})
+    return ["\n".join(x for x, n in xs if n is None or held[h, n] <= limit) for h, xs in lines]
+
+
+def test_line_quality_takes_lines_out(spark, sf, given, docs_of):
+    docs = given("documents")
+    want = collections.Counter(zip((d["doc_id"] for d in docs), plain_rest([(d["source"], d["text"]) for d in docs])))
+    out = rows(line_quality.line_quality(common.table(spark, sf, "documents")))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in out) == want
+    # Places, blank lines, repeated lines, repeated rows, a null host, one id with two texts, a document of such lines alone.
+    body = lambda i: " ".join(f"own{chr(97 + i)}q{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(70))
+    made = [(i, f"Menu {i}\n\n{body(i)}\n menu  7\n \n{body(i).upper()[:50]}\nfoot\n", h) for h in ("h1", None) for i in range(12)]
+    made += [(3, f"menu 1\n{body(3)}", "h1"), (20, "menu 5\nFOOT", "h1"), (21, f"menu 5\n{body(21)}", "h2"), (None, f"{body(5)}\nfoot", None)]
+    made += made[:2] + made[-1:] + [(r[0], *r[1:3]) for r in EDGE]
+    out = rows(line_quality.line_quality(docs_of(made)))
+    want = plain_rest([(h, t) for _, t, h in made])
+    assert collections.Counter((r["doc_id"], r["text"]) for r in out) == collections.Counter((m[0], w) for m, w in zip(made, want, strict=True))
+    assert f"\n{body(4)}\n \n{body(4).upper()[:50]}\n" in {r["text"] for r in out} and [r["text"] for r in out if r["doc_id"] == 20] == [""]
+    assert all(r["boiler_words"] == r["n_words"] - len(B.words(r["text"])) for r in out)
+    assert any(r["kept"] and r["boiler_words"] for r in out)
+
+
 def test_line_quality_empty(docs_of):
     assert line_quality.line_quality(docs_of([])).count() == 0
 

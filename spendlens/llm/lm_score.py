@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import table, text_or_empty
 from .tokens import find_words, hash_words, mix, slices, text_buffer, windows
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 #: Bytes of text in a block; n-grams of a range.
 BLOCK_BYTES, RANGE_GRAMS = 6 << 20, 1 << 20

@@ -97,6 +97,13 @@ def test_scores_of_given_documents(spark, sf, given):
         assert math.isclose(got[i], want, rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_registered_scores_have_trigram_evidence(spark, sf, given):
+    docs = [(d["doc_id"], d["text"]) for d in given("documents")]
+    got = {r["doc_id"]: r["log_score"] for r in rows(catalog.queries()["op1_stupid_backoff"](spark, sf))}
+    for (i, _), want in zip(docs, plain_scores(docs, 3)):
+        assert math.isclose(got[i], want, rel_tol=1e-9, abs_tol=1e-9)
+
+
 # -- toxicity -----------------------------------------------------------------------------
 
 def test_label_model_recovers_rates():

@@ -37,8 +37,8 @@ def mix(spark, docs, sf_dir):
 
 
 def shard(spark, docs, sf_dir):
-    """Shard and slot of every row along the Hilbert curve."""
-    return hilbert.shard(docs)
+    """Whole rows in files of shards along the Hilbert curve; every row's shard and slot from them."""
+    return hilbert.sharded(docs)
 
 
 STAGES = [

@@ -2,20 +2,22 @@
 
 Source, language and text size are quantised to equally filled levels, each
 document gets the Hilbert index of its cell, documents are ordered by cell,
-and the order is cut into shards of equally many rows.  A shard therefore
-spans a small box of every dimension and its file statistics prune filters on
-any of them.
+and the order is cut into shards of equally many rows; ``write_shards`` moves
+whole rows into files of one shard each.  A file therefore spans a small box of
+every dimension and its statistics prune filters on any of them.
 
 Scale: the global rank is a prefix sum over cells plus one over pseudo-random
 ranges inside the cell plus a rank in the range, so neither one cell with most
 rows nor one huge group of copies meets in one task.  Only the per-cell counts
-(``LEVELS ** 3`` at most) pass through a single window.  Texts are read once
-and are not shuffled.
+(``LEVELS ** 3`` at most) pass through a single window.  Texts are read twice
+and shuffled twice, to their places and into the ranges that become files; both
+sides of the first are stored, so nothing else of their size is kept.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..config import shared_path
 from .common import SPREAD, spread_key, stored, table, text_or_empty
 
 BITS = 4
@@ -23,6 +25,9 @@ LEVELS = 1 << BITS
 DIMS = ("source", "lang", "size_bin")
 #: About so many rows share one range of the pseudo-random key.
 RANGE_ROWS = 1000
+#: Bytes of text in a file, about.
+FILE_BYTES = 64 << 20
+PLACE = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve_index")
 
 
 def curve(bits: int = BITS, dims: int = len(DIMS)) -> list[int]:
@@ -79,6 +84,11 @@ def _levels(df: DataFrame, column: str) -> DataFrame:
             .select(F.col(column).alias(f"{column}_value"), f"{column}_level"))
 
 
+def _mark(docs: DataFrame) -> Column:
+    """Tells rows of one id with different content apart."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], F.concat_ws("", *[F.col(f"`{c}`").isNull().cast("string") for c in docs.columns]))
+
+
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Shard and slot of every document.
 
@@ -91,11 +101,16 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     places of their own; ties fall by id, then by text.  An empty table gives an
     empty result.
     """
+    return _places(docs, shards).select("doc_id", *PLACE)
+
+
+def _places(docs: DataFrame, shards: int) -> DataFrame:
+    """The columns of :func:`shard` and each row's ``mark``."""
     text = text_or_empty()
     digest = stored(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "source", "lang",
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        spread_key(F.col("doc_id")).alias("key")
+        spread_key(F.col("doc_id")).alias("key"), _mark(docs).alias("mark")
     ).withColumn("size_bin", F.floor(F.log2("size") * 8)), "shard-docs")
     n = digest.count()
     parts = n // RANGE_ROWS + 1
@@ -108,7 +123,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
              .select(F.col("pos").cast("long").alias("cell"), F.col("col").cast("long").alias("curve_index")))
     cells = (cells.withColumn("cell", cell.cast("long")).join(F.broadcast(index), "cell")  # LEVELS ** 3 rows
              .withColumn("part", F.floor(F.col("key") / F.lit(SPREAD // parts + 1)))
-             .select("doc_id", "size", "text_crc32", "key", "curve_index", "part"))
+             .select("doc_id", "size", "text_crc32", "key", "mark", "curve_index", "part"))
     cells = stored(cells, "shard-cells")
 
     before = W.rowsBetween(W.unboundedPreceding, -1)
@@ -120,15 +135,50 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
                   .drop("n"))
     starts = stored(part_start.join(cell_start, "curve_index")
                     .select("curve_index", "part", (F.col("part_start") + F.col("cell_start")).alias("start")), "shard-starts")
-    inside = W.partitionBy("curve_index", "part").orderBy("key", "doc_id", "size", "text_crc32")
+    inside = W.partitionBy("curve_index", "part").orderBy("key", "doc_id", "size", "text_crc32", "mark")
     rank = F.col("start") + F.row_number().over(inside) - 1
     ranked = cells.join(starts, ["curve_index", "part"]).withColumn("rank", rank.cast("long"))
     return (ranked.withColumn("shard", F.expr(f"int(rank * {shards} div {max(n, 1)})"))
-            .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
+            .select("doc_id", "mark", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
                     (F.col("rank") - F.expr(f"(shard * {n}L + {shards - 1}) div {shards}")).cast("long").alias("slot"),
                     F.lit(None).cast("int").alias("grown_shard"), "curve_index"))
 
 
+def write_shards(docs: DataFrame, path: str, shards: int = 16) -> DataFrame:
+    """Writes whole rows as Parquet, one folder ``shard=<k>`` per shard, each file
+    a range of slots in order, and returns a reader of them.
+
+    The files have the columns of ``docs`` and ``slot, curve_index``.  Rows meet
+    their places by id and content; the k-th of equal rows takes the k-th place.
+    """
+    spark = docs.sparkSession
+    places = stored(_places(docs, shards).select(
+        F.coalesce("doc_id", F.lit(0)).alias("id"), "mark", F.struct("shard", "slot", "curve_index").alias("place"), "size"), "shard-places")
+    size = places.agg(F.sum("size")).first()[0] or 0
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), _mark(docs).alias("mark"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    both = rows.unionByName(places.drop("size"), allowMissingColumns=True)
+    turn = W.partitionBy("id", "mark", F.col("place").isNull()).orderBy("place")
+    # One shuffle by id and mark serves the numbers and the pairs.
+    pairs = (both.repartition("id", "mark").withColumn("k", F.row_number().over(turn)).groupBy("id", "mark", "k")
+             .agg(F.first("row", True).alias("row"), F.first("place", True).alias("place")))
+    placed = pairs.select("row.*", "place.slot", "place.curve_index", "place.shard")
+    files = shards * (size // (shards * FILE_BYTES) + 1)
+    (placed.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot")
+     .write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path))
+    return spark.read.schema(placed.schema).parquet(path)
+
+
+def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """The columns of :func:`shard`, derived from the files of :func:`write_shards`
+    in the shared folder."""
+    out = write_shards(docs, shared_path(docs.sparkSession, "shards"), shards)
+    text = text_or_empty()
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
+                      F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), "curve_index")
+
+
 def op6_hilbert_shards(spark, sf_dir):
-    """Digest of :func:`shard` over all documents."""
-    return shard(table(spark, sf_dir, "documents"))
+    """Digest of the files of :func:`write_shards` over all documents."""
+    return sharded(table(spark, sf_dir, "documents"))

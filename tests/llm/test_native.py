@@ -1,6 +1,8 @@
 """Line quality, mixing, Hilbert shards, containment search, secrets, URLs."""
 import collections
 
+import pyarrow.parquet as pq
+
 import brute as B
 from spendlens.llm import catalog, common, decontaminate, hilbert, line_quality, mixing, secret_scan, url_filter
 
@@ -154,6 +156,30 @@ def test_shards_of_given_documents_and_edges(spark, sf, given, docs_of):
     assert hilbert.shard(docs_of([])).count() == 0
 
 
+def test_shards_are_written_with_whole_rows(spark, docs_of, tmp_path):
+    docs = [(i, f"text {i} " * (1 + i % 90), f"s{i % 8}", ("en", "de", "fr")[i % 3]) for i in range(2000)] + EDGE
+    df = docs_of(docs)
+    out = rows(hilbert.write_shards(df, str(tmp_path / "shards")))
+    # Null and empty ids, texts, sources and repeated rows come through as they were.
+    assert collections.Counter((r["doc_id"], r["text"], r["source"], r["lang"], r["key"]) for r in out) == collections.Counter((*d, "x") for d in docs)
+    check_shards(rows(hilbert.sharded(df)), docs)
+    place = lambda rs: sorted((r["shard"], r["slot"], r["doc_id"] or 0, r["curve_index"]) for r in rs)
+    assert place(out) == place(rows(hilbert.shard(df)))
+    files = []
+    for f in sorted((tmp_path / "shards").glob("shard=*/*.parquet")):
+        meta = pq.ParquetFile(f).metadata
+        at = {meta.schema.column(k).name: k for k in range(meta.num_columns)}
+        stats = lambda c: [meta.row_group(g).column(at[c]).statistics for g in range(meta.num_row_groups)]  # noqa: E731, B023
+        files.append((int(f.parent.name[6:]), *((min(s.min for s in stats(c)), max(s.max for s in stats(c))) for c in ("slot", "curve_index", "source"))))
+    files.sort()
+    assert {k for k, *_ in files} == set(range(16))
+    # Files follow each other along the curve, and a filter on a source leaves files out.
+    assert all(a[2][1] <= b[2][0] for a, b in zip(files, files[1:])) and all(a[1][1] < b[1][0] for a, b in zip(files, files[1:]) if a[0] == b[0])
+    for k in range(8):
+        assert sum(lo <= f"s{k}" <= hi for *_, (lo, hi) in files) <= 0.75 * len(files)
+    assert hilbert.sharded(docs_of([])).count() == 0
+
+
 # -- decontamination ---------------------------------------------------------------
 
 def found(df):

@@ -45,17 +45,20 @@ def read_csv_extract(spark: SparkSession, path: str, na_tokens=NA_TOKENS,
 
 
 def _files_by_header(spark: SparkSession, path, encoding: str) -> list[list[str]]:
-    """The files of a CSV source grouped by header line: columns are matched
-    by name, so files with another column order are read apart.  Only the file
-    names and headers reach the driver."""
+    """The files of a CSV source grouped by header line, the first that is not
+    blank: columns are matched by name, so files with another column order are
+    read apart.  Files with blank lines only have no rows.  Only the file names
+    and headers reach the driver."""
     lines = spark.read.option("encoding", encoding).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
         F.monotonically_increasing_id().alias("i"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    heads = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "i").alias("header")).collect()
+    # Blank as Spark's header inference has it: nothing but spaces.
+    heads = (lines.where(F.trim("value") != "").groupBy("file")
+             .agg(F.min_by("value", F.struct("at", "i")).alias("header")).collect())
     groups: dict[str, list[str]] = {}
     for row in sorted(heads, key=lambda r: r["file"]):
-        groups.setdefault((row["header"] or "").rstrip("\r"), []).append(row["file"])
-    return [files for header, files in sorted(groups.items()) if header.strip()]
+        groups.setdefault(row["header"].rstrip("\r"), []).append(row["file"])
+    return [files for _, files in sorted(groups.items())]
 
 
 def _json_rows(spark: SparkSession, path: str, multi_line: bool, mode: str = "FAILFAST") -> DataFrame:

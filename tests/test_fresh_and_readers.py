@@ -63,6 +63,16 @@ def test_csv_with_too_many_fields_fails(spark, tmpdir_fresh):
         read_csv_extract(spark, tmpdir_fresh).select("y", "x").collect()
 
 
+def test_csv_files_that_begin_with_blank_lines(spark, tmpdir_fresh):
+    put(tmpdir_fresh, a__csv="x,y\n1,2\n", b__csv="\ny,x\n4,3\n", c__csv=" \r\n\r\n\nx,y\n5,6\n", d__csv="\n\n", e__csv="", f__csv="\ufeff\nx,y\n7,8\n")
+    got = sorted((r.x, r.y) for r in read_csv_extract(spark, tmpdir_fresh).select("x", "y").collect())
+    assert got == [("1", "2"), ("3", "4"), ("5", "6"), ("7", "8")]
+    # A line of tabs is a header for Spark; the rows below it fail the read instead of going missing.
+    put(tmpdir_fresh, g__csv="\t\nx,y\n9,10\n")
+    with pytest.raises(Exception, match="more fields"):
+        read_csv_extract(spark, tmpdir_fresh).collect()
+
+
 def test_json_layout_of_every_file(spark, tmpdir_fresh):
     rec = lambda k: {"a": str(k), "b": "v"}
     put(tmpdir_fresh, w1__json=json.dumps({"meta": "m", "records": [rec(1), rec(2)]}), w2__json=json.dumps({"meta": "m", "records": [rec(3)]}, indent=1),

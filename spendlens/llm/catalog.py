@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import functools
 
-from . import decontaminate, hilbert, jaccard_join, line_quality, lm_score, mixing, pii_crf, secret_scan, toxicity, url_filter
+from . import decontaminate, hilbert, hyperminhash, jaccard_join, line_quality, lm_score, mixing, pii_crf, prefix_trie, secret_scan, text_tries, toxicity, url_filter
 from .common import ship_code
 
 _QUERIES = (
@@ -17,6 +17,9 @@ _QUERIES = (
     (decontaminate.op8_contained_items, decontaminate.SQL),
     (secret_scan.op9_secret_scan, None),
     (jaccard_join.op10_token_groups, None),
+    (hyperminhash.op11_hyperminhash, None),
+    (prefix_trie.op12_prefix_trie, prefix_trie.SQL),
+    (text_tries.op13_filter_audit, text_tries.SQL),
 )
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stored, table
-from .linking import confirmed, link_lists
+from .linking import COMPONENTS_SQL, confirmed, link_lists
 from .tokens import mix, shingle_sets, slices, text_buffer
 
 WIDTH, PERCENT = 3, 85
@@ -158,3 +158,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 def op11_hyperminhash(spark, sf_dir):
     """Components over all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL = COMPONENTS_SQL.format(width=WIDTH, percent=PERCENT, more=", doc_id = component_id AS kept")

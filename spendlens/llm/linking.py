@@ -119,3 +119,26 @@ def link_lists(lists: DataFrame, check: Callable[[DataFrame], DataFrame], rounds
         pairs = pairs.withColumns({"x": F.least("rep", "leader"), "y": F.greatest("rep", "leader")}).join(one(tested).distinct(), ["x", "y"], "left_anti").select("rep", "leader")
         rest = open_.where("not leads").select("key", "rep")
     return links, labels
+
+
+#: Components over links of shingle sets, for DuckDB; ``width``, ``percent`` and the last columns are filled in.
+COMPONENTS_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + {width} - 1), ' ') AS s
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {width} + 1, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= {percent} * (x.n + y.n - k)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT node, b FROM reach JOIN edges ON other = a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id{more}
+FROM w LEFT JOIN sizes USING (doc_id) JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) ON node = doc_id
+"""

@@ -4,10 +4,8 @@ A list holds documents that may be similar.  Only components are wanted, so
 a pair that is already connected needs no look.  Each round, a few members of a
 list lead: every other member of another component is compared with them, and
 then the leaders leave the list, all their pairs being settled.  Lists whose
-members are one component are finished.  Leaders start at one a list and
-grow by a factor each round, so that every list ends, and a list of near copies
-of one text ends after one or two rounds.  No pair of different components
-is left out.
+members are one component are finished, so a list of near copies of one text
+is short after the first round.  What is left is returned, for the caller to finish.
 """
 from __future__ import annotations
 
@@ -75,50 +73,40 @@ def confirmed(texts: DataFrame, pairs: DataFrame, sizes: DataFrame, width: int,
     return stored(tokens.join(roles, "rep").groupBy("home", "part").applyInArrow(lambda t: _compare(t, percent), "a long, b long"), "pairs-linked")
 
 
-def link_lists(lists: DataFrame, check: Callable[[DataFrame], DataFrame], rounds: int | None = None,
-               leaders: int = LEADERS, growth: int = GROWTH) -> tuple[DataFrame, DataFrame | None]:
-    """Links between members of ``lists`` (``key, rep``, distinct rows) that
-    ``check`` finds, and the components they make (``node, component``; None if there is no link).
+def link_lists(lists: DataFrame, check: Callable[[DataFrame], DataFrame], rounds: int, leaders: int = LEADERS,
+               growth: int = GROWTH) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+    """Links between members of ``lists`` (``key, rep, n``, distinct rows) that ``check``
+    finds in some rounds, the components they make (``node, component``), and
+    the rows of lists not settled by then, with each member's ``label``.  Links and
+    components are None if there is no link.
 
-    ``check`` takes distinct ``rep, leader`` and returns links ``a, b``.  Every
-    pair of a list is checked or lies in one component, unless ``rounds`` ends it before."""
+    ``check`` takes distinct ``rep, leader`` and returns links ``a, b``.  Every pair of
+    a list is checked, lies in one component or is in the rows returned."""
     several = lists.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("most")).where("leader <> most").drop("most")
-    met = stored(lists.join(stored(several, "lists-first"), "key"), "lists-open")
-    pairs = met.where("rep <> leader").select("rep", "leader").distinct()
-    rest = met.where("rep <> leader").select("key", "rep")
-    links = labels = tested = None
+    met = stored(lists.join(stored(several, "lists-first"), "key").where("rep <> leader"), "lists-open")
+    pairs, rest = stored(met.select("rep", "leader").distinct(), "pairs"), met.drop("leader")
+    links = labels = None
     done = 0
     while True:
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            found = None
-        else:
+        if not pairs.isEmpty():
             found = check(pairs)
             links = found if links is None else stored(links.unionByName(found), "links-all")
             labels = components(links)
-        tested = pairs if tested is None else tested.unionByName(pairs)
         done += 1
-        if rounds is not None and done >= rounds:
-            break
-        if labels is not None:
-            named = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-        else:
-            named = rest.withColumn("label", F.col("rep"))
+        named = rest.withColumn("label", F.col("rep")) if labels is None else (
+            rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component"))
         named = stored(named, "lists-named")
-        still = stored(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
-                       .where("low < high").select("key", "members"), "lists-still")
-        if still.isEmpty():
-            break
+        still = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).where("low < high")
+        named = stored(named.join(stored(still.select("key", "members"), "lists-still"), "key"), "lists-left")
+        if done >= rounds or named.isEmpty():
+            return links, labels, named.drop("members")
         # A member leads if its hash is in the round's share of the list.
         lead = F.pmod(F.xxhash64("rep", F.lit(done)), F.lit(1 << 40)) * F.col("members") < F.lit(leaders * growth ** (done - 1)) * F.lit(1 << 40)
-        open_ = stored(named.join(still, "key").withColumn("leads", lead).drop("members"), "lists-open")
+        open_ = stored(named.withColumn("leads", lead).drop("members"), "lists-open")
         tops = open_.where("leads").select("key", F.col("rep").alias("leader"), F.col("label").alias("top"))
         fresh = open_.join(tops, (open_["key"] == tops["key"]) & (open_["label"] != tops["top"]) & (~open_["leads"] | (open_["rep"] > tops["leader"])))
-        one = lambda df: df.select(F.least("rep", "leader").alias("x"), F.greatest("rep", "leader").alias("y"))
-        pairs = fresh.select("rep", "leader").distinct()
-        pairs = pairs.withColumns({"x": F.least("rep", "leader"), "y": F.greatest("rep", "leader")}).join(one(tested).distinct(), ["x", "y"], "left_anti").select("rep", "leader")
-        rest = open_.where("not leads").select("key", "rep")
-    return links, labels
+        pairs = stored(fresh.select("rep", "leader").distinct(), "pairs")
+        rest = open_.where("not leads").select("key", "rep", "n")
 
 
 #: Components over links of shingle sets, for DuckDB; ``width``, ``percent`` and the last columns are filled in.

@@ -164,8 +164,8 @@ def filter_masks(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """
     text = text_or_empty()
     weight = F.octet_length("text") + F.lit(256)
-    # A level counts only if the text is longer than the level before: else it is the same prefix.
-    keys = F.array_compact(F.array(*[F.when(F.lit(k == 0) | (F.char_length("text") > PREFIXES[k - 1]), F.xxhash64(F.lit(k), F.left("text", F.lit(n))))
+    # A level counts only if the text may be longer than the level before: else it is the same prefix.
+    keys = F.array_compact(F.array(*[F.when(F.lit(k == 0) | (F.octet_length("text") > PREFIXES[k - 1]), F.xxhash64(F.lit(k), F.left("text", F.lit(n))))
                                      for k, n in enumerate(PREFIXES)]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"))
     levels = rows.select(weight.cast("long").alias("weight"), F.explode(keys).alias("key"))

@@ -104,17 +104,48 @@ def write_table(df, path: str, partition_by: str | None = None):
     return df.sparkSession.read.parquet(path)
 
 
+# Up to so many files are told apart one by one; more by their names, their size together and their folders' marks.
+LISTED_FILES = 64
+
+
+def path_mark(spark: SparkSession, path: str) -> str | None:
+    """What tells the state of a table from one file status: the time of the
+    ``_SUCCESS`` file that every committed write renews, or of a single file.
+    None for a folder without one."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(where)
+    if status.isFile():
+        return f"{status.getLen()}@{status.getModificationTime()}"
+    done = jvm.org.apache.hadoop.fs.Path(where, "_SUCCESS")
+    return f"done@{fs.getFileStatus(done).getModificationTime()}" if fs.exists(done) else None
+
+
 def data_version(*tables) -> str:
-    """A hash of the names, sizes and modification times of the files behind
-    the given file-based DataFrames.  Reads no column."""
-    from pyspark.sql import functions as F
-    total = 0
+    """A hash of the files behind the given file-based DataFrames.
+
+    It comes from the listing the DataFrame already holds and from file
+    statuses; no Spark job runs and no column is read."""
+    import hashlib
+
+    seen = hashlib.sha256()
     for df in tables:
-        files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-        row = files.agg(F.sum(F.xxhash64("file_path", "file_size", F.col("file_modification_time").cast("string"))
-                              .cast("decimal(38,0)"))).first()
-        total = (total * 31 + int(row[0] or 0)) % (1 << 64)
-    return f"{total:016x}"
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        for k in range(leaves.size()):
+            location = leaves.apply(k).relation().location()
+            names = location.inputFiles()
+            seen.update(f"{len(names)},{location.sizeInBytes()}".encode())
+            if len(names) <= LISTED_FILES:
+                files = location.allFiles()
+                each = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in (files.apply(i) for i in range(files.size())))
+                seen.update(repr(each).encode())
+                continue
+            seen.update(str(location.allFiles().hashCode()).encode())  # of the paths
+            roots = location.rootPaths()
+            for i in range(roots.size()):
+                seen.update(str(path_mark(df.sparkSession, roots.apply(i).toString())).encode())
+    return seen.hexdigest()[:16]
 
 
 def session_table(spark: SparkSession, name: str, source: str, build) -> "DataFrame":  # noqa: F821

@@ -19,6 +19,10 @@ from .quantiles import approx_medians, bracket_exprs, exact_medians, middle_valu
 log = logging.getLogger(__name__)
 
 
+#: Amounts from here on do not fit a bigint.
+BIGINT_BOUND = 2.0 ** 63
+
+
 def rename_headers(df: DataFrame, mapping: dict[str, str] = HEADER_MAP) -> DataFrame:
     """Source headers -> canonical names; unknown columns are kept as is."""
     return df.withColumnsRenamed({k: v for k, v in mapping.items() if k in df.columns})
@@ -38,8 +42,10 @@ def project(df: DataFrame, expected=FACT_COLUMNS) -> DataFrame:
 
 
 def parse_metrics(df: DataFrame, cols=METRIC_COLUMNS, thousands: str = "strip") -> DataFrame:
-    """C4: metric text -> double (unparsable -> NULL)."""
-    return df.withColumns({c: parse_number(F.col(c), thousands) for c in cols})
+    """C4: metric text -> double (unparsable -> NULL).  A number that no
+    ``bigint`` can hold counts as missing, like one that cannot be parsed."""
+    number = {c: parse_number(F.col(c), thousands) for c in cols}
+    return df.withColumns({c: F.when(F.abs(v) < F.lit(BIGINT_BOUND), v) for c, v in number.items()})
 
 
 def missing_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -170,9 +176,9 @@ def duplicate_stats(df: DataFrame) -> DataFrame:
 
 
 def final_types(df: DataFrame) -> DataFrame:
-    """Text columns as string, metrics as bigint (truncating)."""
+    """Text columns as string, metrics as bigint (truncating; NULL where none fits)."""
     return df.select(*[F.col(c).cast("string").alias(c) for c in TEXT_COLUMNS],
-                     *[F.col(c).cast("bigint").alias(c) for c in METRIC_COLUMNS])
+                     *[F.col(c).try_cast("bigint").alias(c) for c in METRIC_COLUMNS])
 
 
 def parsed_extract(df: DataFrame, thousands: str = "strip") -> DataFrame:

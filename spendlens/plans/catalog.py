@@ -19,7 +19,7 @@ from ..operators import aggregates as A
 from ..operators import reshape as P
 from ..operators import windows as W
 from ..operators.filters import ChartFilter, default_filters_row, extent, period_row
-from ..sources.tables import fact_table
+from ..sources.tables import fact_months, fact_table
 from . import charts, dashboard
 
 
@@ -286,12 +286,14 @@ def q_heatmap_domain(spark, sf_dir):
 
 @register("meta_extent", with_fact("SELECT min(ym) AS earliest_ym, max(ym) AS latest_ym FROM fact"))
 def q_meta_extent(spark, sf_dir):
-    return extent(_fact(spark, sf_dir))
+    """A8 from the months alone: folders and footers of a materialised fact."""
+    return extent(fact_months(spark, sf_dir))
 
 
 @register("meta_ym", with_fact("SELECT DISTINCT ym FROM fact"))
 def q_meta_ym(spark, sf_dir):
-    return A.distinct_values(_fact(spark, sf_dir), "ym")
+    """A9 for months: from folders and footers of a materialised fact."""
+    return fact_months(spark, sf_dir).select("ym").orderBy("ym")
 
 
 @register("meta_industry", with_fact("SELECT DISTINCT industry FROM fact"))
@@ -461,7 +463,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all():
     """Import the modules that register further queries."""
-    from . import catalog_clean, catalog_requests, catalog_results  # noqa: F401
+    from . import catalog_clean, catalog_requests, catalog_results, catalog_stream  # noqa: F401
 
 
 # ---------------------------------------------------------------------------

@@ -79,6 +79,15 @@ def stored_lookup(spark, fact: DataFrame, source: str) -> DataFrame:
     return session_table(spark, "serving_lookup", f"{source}@{fact_version(spark, source)}", lambda: rollup_lookup(fact))
 
 
+def maintained_lookup(spark, fact_path: str, state_path: str) -> tuple[DataFrame, list[str | None]]:
+    """The lookup of a stored, growing fact, and the months derived anew for it.
+
+    Every grain of the lookup has the month, so its rows are derived month by
+    month: after an append only the months that it touched are read."""
+    from ..operators.monthly import refresh_by_month
+    return refresh_by_month(spark, fact_path, state_path, rollup_lookup)
+
+
 def _matched(fact: DataFrame, requests: DataFrame, chart_types: tuple[str, ...],
              lookup: DataFrame | None = None) -> DataFrame:
     """Each distinct request joined to the lookup rows it aggregates."""

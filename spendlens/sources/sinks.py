@@ -3,11 +3,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
 from ..schema import FACT_COLUMNS, FACT_SCHEMA
 
+#: Text of a month that is none; such rows share the folder of rows without a month.
+MONTH_TEXT = "ym_text"
+_NO_MONTH = "__HIVE_DEFAULT_PARTITION__"  # the folder's name is fixed by Spark
+
 
 def write_fact(df: DataFrame, path: str, mode: str = "append",
                partition_by: str = "ym") -> None:
@@ -15,16 +19,34 @@ def write_fact(df: DataFrame, path: str, mode: str = "append",
 
     ``rebalance`` lets AQE size the write tasks: a month holding a third of
     all rows is split over several tasks/files instead of one, and small
-    months are coalesced instead of producing a file per input task.
+    months are coalesced instead of producing a file per input task.  A month that
+    is not ``YYYYMM`` makes no folder of its own: its text is kept beside the row.
     """
+    if partition_by == "ym":
+        valid = F.col("ym").rlike("^[0-9]{6}$")
+        df = df.withColumn(MONTH_TEXT, F.when(~valid, F.col("ym"))).withColumn("ym", F.when(valid, F.col("ym")))
     (df.hint("rebalance", partition_by)
        .write.mode(mode).partitionBy(partition_by).parquet(path))
 
 
+def has_other_months(spark: SparkSession, path: str) -> bool:
+    """Whether a fact holds rows without a valid month."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"ym={_NO_MONTH}")
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_fact(spark: SparkSession, path: str) -> DataFrame:
     """Read a month-partitioned fact table with its declared schema (the
-    partition column stays text instead of being inferred as a number)."""
-    return spark.read.schema(FACT_SCHEMA).parquet(path).select(*FACT_COLUMNS)
+    partition column stays text instead of being inferred as a number).
+
+    Rows without a valid month, if there are any, are a branch of their own, so
+    that month filters prune folders in the other one."""
+    if not has_other_months(spark, path):
+        return spark.read.schema(FACT_SCHEMA).parquet(path).select(*FACT_COLUMNS)
+    schema = T.StructType([*FACT_SCHEMA.fields, T.StructField(MONTH_TEXT, T.StringType())])
+    rows = spark.read.schema(schema).parquet(path)
+    other = [F.col(MONTH_TEXT).alias("ym") if c == "ym" else F.col(c) for c in FACT_COLUMNS]
+    return rows.where("ym is not null").select(*FACT_COLUMNS).unionByName(rows.where("ym is null").select(*other))
 
 
 def _read_existing(spark: SparkSession, path: str) -> DataFrame | None:

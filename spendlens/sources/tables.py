@@ -5,7 +5,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..schema import AGE_FIRST_LABEL, FACT_COLUMNS
+from ..schema import AGE_FIRST_LABEL, FACT_COLUMNS, FACT_SCHEMA
 
 # Session keys naming a materialised fact table (see ``materialize_fact``).
 FACT_PATH_KEY = "spendlens.fact.path"
@@ -142,22 +142,64 @@ def _registered_fact(spark: SparkSession, sf_dir: str) -> str | None:
 
 def fact_version(spark: SparkSession, sf_dir: str) -> str:
     """Changes whenever the files behind ``fact_table`` do."""
-    from ..config import data_version
+    from ..config import data_version, path_mark
     path = _registered_fact(spark, sf_dir)
     if path:
-        return data_version(spark.read.parquet(path))
+        return path_mark(spark, path) or data_version(spark.read.parquet(path))
     return data_version(*[read_table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation", "part")])
 
 
+# The listing of a materialised fact, kept while its mark stays: application, path, kind -> (mark, DataFrame).
+_listed: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
+
+
+def _kept(spark: SparkSession, path: str, kind: str, read) -> DataFrame:
+    """``read()``, or what it returned before if no write has been committed since."""
+    from ..config import path_mark
+    key, mark = (spark.sparkContext.applicationId, path, kind), path_mark(spark, path)
+    if mark is None:
+        return read()
+    if _listed.get(key, (None,))[0] != mark:
+        _listed[key] = (mark, read())
+    return _listed[key][1]
+
+
 def fact_table(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """The fact for ``sf_dir``: the materialised copy when one is registered
     for this source, otherwise derived lazily from the driver tables.  Month
-    bounds (``YYYYMM``) limit what is read, by partition or by ship date."""
+    bounds (``YYYYMM``) limit what is read, by partition or by ship date.
+
+    The month folders are listed anew only after a committed write, so rows
+    appended since are seen."""
     path = _registered_fact(spark, sf_dir)
     if path:
-        # Read by path every time, so rows appended since are seen.
         from .sinks import read_fact
-        fact = read_fact(spark, path)
+        fact = _kept(spark, path, "rows", lambda: read_fact(spark, path))
         fact = fact if start is None else fact.where(F.col("ym") >= start)
         return fact if end is None else fact.where(F.col("ym") <= end)
     return fact_from_tables(spark, sf_dir, start, end)
+
+
+def stored_months(spark: SparkSession, path: str, schema=FACT_SCHEMA) -> DataFrame:
+    """``ym, rows`` of a month-partitioned table from its folders and parquet
+    footers alone: the count per partition value is pushed into the scan, so no
+    data page is read."""
+    def read():
+        spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+        sources = spark.conf.get("spark.sql.sources.useV1SourceList")
+        # Only the newer parquet source takes aggregates; which one a table is read by is settled when it is loaded.
+        spark.conf.set("spark.sql.sources.useV1SourceList", ",".join(x for x in sources.split(",") if x != "parquet"))
+        try:
+            return spark.read.schema(schema).parquet(path)
+        finally:
+            spark.conf.set("spark.sql.sources.useV1SourceList", sources)
+    return _kept(spark, path, "months", read).groupBy("ym").agg(F.count("*").alias("rows"))
+
+
+def fact_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The months of the fact (``ym, rows``), without reading rows where the fact is materialised."""
+    from .sinks import has_other_months
+    path = _registered_fact(spark, sf_dir)
+    if path and not has_other_months(spark, path):
+        return stored_months(spark, path)
+    return fact_table(spark, sf_dir).groupBy("ym").agg(F.count("*").alias("rows"))

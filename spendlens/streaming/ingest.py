@@ -7,6 +7,10 @@ imputation needs statistics over the whole table and stays a batch step
 (``operators.clean.impute`` over the table).  Each micro-batch is
 de-duplicated and anti-joined against the stored table inside
 ``foreachBatch``, so a batch replayed after a failure appends nothing twice.
+
+A CSV stream is a stream of file names: each batch's files are read by the batch
+reader, which matches columns by each file's own header, so files may name
+their columns in any order.
 """
 from __future__ import annotations
 
@@ -14,8 +18,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.clean import final_types, parse_metrics, project, rename_headers, require_columns
 from ..schema import NA_TOKENS, RAW_SCHEMA
+from ..sources.extracts import read_csv_extract
 from ..sources.sinks import append_new_rows
 
+#: Files of one micro-batch unless stated: so many names at most reach the driver.
+FILES_PER_BATCH = 1000
+
 
 def clean_stream(raw: DataFrame, thousands: str = "strip") -> DataFrame:
     """Row-level cleaning of a raw (text) stream or batch."""
@@ -31,21 +39,25 @@ def ingest_stream(spark: SparkSession, source_dir: str, table_path: str, checkpo
                   max_files_per_trigger: int | None = None):
     """Start the ingest query; with ``available_now`` it processes every file
     present and stops (call ``.awaitTermination()`` on the result)."""
-    reader = spark.readStream.schema(RAW_SCHEMA)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    files_per_batch = max_files_per_trigger or FILES_PER_BATCH
     if fmt == "csv":
-        # Columns are matched against the header: a file in another order fails instead of being read by position.
-        raw = reader.option("header", True).option("enforceSchema", False).option("escape", '"').csv(source_dir)
+        # The contents are not read here: only the paths are asked for.
+        files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+        stream = files.option("maxFilesPerTrigger", files_per_batch).load(source_dir).select("path")
     elif fmt == "json":
-        raw = reader.json(source_dir)
+        stream = clean_stream(spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(source_dir), thousands)
     else:
         raise ValueError("fmt must be 'csv' or 'json'")
-    cleaned = clean_stream(raw, thousands)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        append_new_rows(batch.sparkSession, batch, table_path)
-
-    w = cleaned.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
+        rows = batch
+        if fmt == "csv":
+            files = sorted(r["path"] for r in batch.collect())
+            if not files:
+                return
+            rows = clean_stream(read_csv_extract(batch.sparkSession, files), thousands)
+        append_new_rows(batch.sparkSession, rows, table_path)
+
+    w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

@@ -16,8 +16,8 @@ _QUERIES = (
     (url_filter.op7_bloom_urls, url_filter.SQL),
     (decontaminate.op8_contained_items, decontaminate.SQL),
     (secret_scan.op9_secret_scan, None),
-    (jaccard_join.op10_token_groups, None),
-    (hyperminhash.op11_hyperminhash, None),
+    (jaccard_join.op10_token_groups, jaccard_join.SQL),
+    (hyperminhash.op11_hyperminhash, hyperminhash.SQL),
     (prefix_trie.op12_prefix_trie, prefix_trie.SQL),
     (text_tries.op13_filter_audit, text_tries.SQL),
 )

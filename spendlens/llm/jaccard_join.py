@@ -13,6 +13,11 @@ global order, two sets with Jaccard ``t`` share a token among the first
 order is correct; frequencies only keep the lists short), so passages shared
 by many documents do not bring those documents together.
 
+Only components are wanted, so a group whose members all lie in the query's own
+component stays closed.  In a cluster of near copies the lists of shared tokens are
+long; the members of a long list are first compared with one of them, which
+usually makes the list one component, before any of its groups is looked at.
+
 Scale: equal sets are one representative; frequencies are counted over all
 documents in hash-partitioned counters; the joins are on tokens and on groups,
 and a group is split so that its members and its queries each stay within a fixed
@@ -30,6 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import stored, table
 from .components import components
+from .linking import COMPONENTS_SQL, confirmed, link_lists
 from .tokens import shingle_sets, slices, text_buffer
 
 WIDTH, PERCENT = 4, 85
@@ -42,6 +48,8 @@ FREQUENT, FREQUENT_KEPT = 2, 1 << 22
 GROUP_TOKENS = 1 << 20
 #: Lists of tokens that more documents than this hold are met by a join, which splits them over tasks.
 LIST_ROWS = 1 << 13
+#: Lists longer than this are first compared with a leader, in so many rounds (with more leaders in a second).
+LED_ROWS, LED_ROUNDS = 1 << 5, 1
 SLICE = 8 << 20
 _KEY = np.uint64(32)
 
@@ -68,27 +76,37 @@ def _arrays(arrays, kind=pa.int64()):
 
 
 def _tally(batches, width, buckets):
-    """Tokens of some documents (each document once), 32 bits each, by bucket of the counters."""
+    """Tokens of some documents (each document once), 32 bits each, by bucket of the
+    counters: those that occur once, and the others with their counts."""
     for _, sets in _sets(batches, width):
         if not any(map(len, sets)):
             continue
-        keys = np.sort((np.concatenate(sets) >> _KEY).astype(np.uint32))
-        edges = np.searchsorted(keys, ((np.arange(buckets + 1, dtype=np.uint64) << _KEY) // np.uint64(buckets)).clip(0, (1 << 32) - 1).astype(np.uint32))
-        edges[-1] = len(keys)
-        some = np.flatnonzero(np.diff(edges))
-        yield pa.RecordBatch.from_arrays([
-            pa.array(some.astype(np.int32)),
-            pa.array([keys[edges[b]:edges[b + 1]].tobytes() for b in some], pa.binary())], ["bucket", "tokens"])
+        keys, times = np.unique((np.concatenate(sets) >> _KEY).astype(np.uint32), return_counts=True)
+        limits = ((np.arange(buckets + 1, dtype=np.uint64) << _KEY) // np.uint64(buckets)).clip(0, (1 << 32) - 1).astype(np.uint32)
+        once, often, counts = keys[times == 1], keys[times > 1], times[times > 1].astype(np.uint32)
+        cut = [np.searchsorted(k, limits) for k in (once, often)]
+        cut[0][-1], cut[1][-1] = len(once), len(often)
+        some = np.flatnonzero(np.diff(cut[0]) + np.diff(cut[1]))
+        piece = lambda k, e: pa.array([k[e[b]:e[b + 1]].tobytes() for b in some], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), piece(once, cut[0]), piece(often, cut[1]), piece(counts, cut[1])],
+                                         ["bucket", "once", "often", "counts"])
 
 
 def _count(rows: pa.Table, least: int) -> pa.Table:
     """Tokens of one bucket that more than ``least`` documents hold."""
-    keys = np.concatenate([np.frombuffer(b.as_py(), np.uint32) for b in rows.column("tokens")])
+    keys, often, counts = (np.concatenate([np.frombuffer(b.as_py(), np.uint32) for b in rows.column(c)]) for c in ("once", "often", "counts"))
     keys.sort()
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    times = np.diff(np.r_[first, len(keys)])
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    times, keys = np.diff(np.r_[first, len(keys)]), keys[first]
+    if len(often):
+        more, of = np.unique(often, return_inverse=True)
+        total = np.bincount(of, weights=counts).astype(np.int64)
+        at = np.searchsorted(keys, more).clip(0, max(len(keys) - 1, 0))
+        known = keys[at] == more if len(keys) else np.zeros(len(more), bool)
+        times[at[known]] += total[known]
+        keys, times = np.r_[keys[times > least], more[~known]], np.r_[times[times > least], total[~known]]
     many = times > least
-    return pa.table({"token": keys[first[many]].astype(np.int64), "times": times[many].astype(np.int64)})
+    return pa.table({"token": keys[many].astype(np.int64), "times": times[many].astype(np.int64)})
 
 
 def _least_times(counts: DataFrame) -> int:
@@ -130,9 +148,10 @@ def _prefixes(batches, width, percent, frequent):
             ["doc_id", "n", "same", "home", "prefix"])
 
 
-def _meet(batches):
+def _meet(batches, led):
     """From rows sorted by token: (query, group) of documents that share a token
-    with a member of a group numbered below their own, or with one of their own."""
+    with a member of a group numbered below their own, or with one of their own.
+    Lists of more than ``led`` documents come out as they are."""
     held = None
     for batch in batches:
         rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "home", "rep")])
@@ -142,12 +161,12 @@ def _meet(batches):
             continue
         last = int(np.searchsorted(rows[0], rows[0, -1], "left"))
         held, rows = rows[:, last:], rows[:, :last]
-        yield from _lists(rows)
+        yield from _lists(rows, led)
     if held is not None:
-        yield from _lists(held)
+        yield from _lists(held, led)
 
 
-def _lists(rows):
+def _lists(rows, led):
     token, home, rep = rows
     if len(token) < 2:
         return
@@ -155,9 +174,15 @@ def _lists(rows):
     again[1:] = token[1:] == token[:-1]
     again[:-1] |= again[1:]
     token, home, rep = token[again], home[again], rep[again]
-    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else []
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+    ends = np.r_[starts[1:], len(token)] if len(token) else starts
+    long = np.repeat(ends - starts > led, ends - starts)
+    if long.any():
+        yield pa.RecordBatch.from_arrays([pa.array(x[long]) for x in (token, home, rep)], ["token", "home", "rep"])
     queries, groups = [], []
-    for a, b in zip(starts, np.r_[starts[1:], len(token)] if len(token) else []):
+    for a, b in zip(starts, ends):
+        if b - a > led:
+            continue
         h, r = home[a:b], rep[a:b]
         edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
         for k in range(len(edge) - 1):
@@ -168,25 +193,44 @@ def _lists(rows):
                 groups.append(np.full(len(r) - since, h[edge[k]]))
     if queries:
         both = np.unique(np.stack([np.concatenate(queries), np.concatenate(groups)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["rep", "home"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(both.shape[1], pa.int64()), pa.array(both[1]), pa.array(both[0])], ["token", "home", "rep"])
 
 
-def _met(listed: DataFrame, counts: DataFrame, list_rows: int) -> DataFrame:
-    """Distinct (query, group) from the tokens' lists of (group, document).
+def _met(listed: DataFrame, counts: DataFrame, list_rows: int, led_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct (query, group) from the short ones of the tokens' lists of
+    (group, document), and the rows of the long ones.
 
-    Short lists are read by one task each.  A long list would be one task's too, so its
-    documents are joined to its distinct groups: both sides are plain
-    exchanges, which AQE splits, and no list is held anywhere."""
-    # One row per long list: ``list_rows`` times fewer than there are tokens.
+    Lists of up to ``list_rows`` documents are read by one task each.  A
+    longer one never is: it goes on as rows dealt by the joins that follow."""
+    # One row per such list: ``list_rows`` times fewer than there are tokens.
     long = stored(counts.where(F.col("times") > list_rows).select(F.col("token").alias("short")), "long-lists")
     listed = listed.withColumn("short", F.shiftrightunsigned("token", 32))
-    cold = (listed.join(long, "short", "left_anti").select("token", "home", "rep")
-            .repartition("token").sortWithinPartitions("token", "home").mapInArrow(_meet, "rep long, home long"))
-    hot = stored(listed.join(long, "short", "left_semi").select("token", "home", "rep"), "listed-long")
-    groups = hot.groupBy("token", "home").agg(F.count("*").alias("held")).withColumnRenamed("home", "group")
-    pairs = (hot.join(groups, "token").where("group < home or (group = home and held > 1)")
-             .select("rep", F.col("group").alias("home")))
-    return cold.unionByName(pairs).distinct()
+    cold = stored(listed.join(long, "short", "left_anti").select("token", "home", "rep").repartition("token").sortWithinPartitions("token", "home")
+                  .mapInArrow(lambda it: _meet(it, led_rows), "token long, home long, rep long"), "met-short")
+    hot = listed.join(long, "short", "left_semi").select("token", "home", "rep")
+    led = stored(cold.where("token is not null").unionByName(hot), "listed-long")
+    return cold.where("token is null").select("rep", "home").distinct(), led
+
+
+def _regrouped(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups for the members of lists that leaders have not made one component, and who asks them.
+
+    Their groups by smallest token are many, for they differ by an edit here and there.  Here a
+    group is made of the members whose lists begin with the same document, in parts of
+    bounded size: ``home, rep, n, label`` and distinct ``rep, home``."""
+    firsts = left.groupBy("key").agg(F.min("rep").alias("first"))
+    members = stored(left.join(stored(firsts, "led-firsts"), "key").groupBy("rep", "n", "label").agg(F.min("first").alias("first")), "led-members")
+    parts = members.groupBy("first").agg(F.ceil(F.sum("n") / GROUP_TOKENS).cast("long").alias("parts"))
+    grouped = stored(members.join(stored(parts, "led-parts"), "first")
+                     .withColumn("home", F.xxhash64(F.lit("again"), "first", F.pmod(F.xxhash64("rep"), "parts"))).select("home", "rep", "n", "label"), "led-grouped")
+    # A group is asked by the members of other components that share a list with it; its own
+    # largest component need not ask it, for everyone else of the group does.
+    largest = grouped.groupBy("home", "label").agg(F.count("*").alias("held")).groupBy("home").agg(F.max_by("label", "held").alias("largest"))
+    listed = stored(left.select("key", "rep", "label").join(grouped.select("rep", "home"), "rep"), "led-listed")
+    groups = listed.groupBy("key", "home").agg(F.min("label").alias("low"), F.max("label").alias("high")).withColumnRenamed("home", "group")
+    pairs = (listed.join(groups, "key").where("low <> high or low <> label").select("rep", "label", "home", "group").distinct()
+             .join(largest.withColumnRenamed("home", "group"), "group").where("home <> group or label <> largest"))
+    return grouped, pairs.select("rep", F.col("group").alias("home"))
 
 
 def _tokens(batches, width):
@@ -238,7 +282,7 @@ def _open(rows: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, list_rows: int = LIST_ROWS) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, list_rows: int = LIST_ROWS, led_rows: int = LED_ROWS) -> DataFrame:
     """Near-duplicate components by exact Jaccard similarity.
 
     Input: ``doc_id, text`` (others are ignored).  Output, one row per input
@@ -252,10 +296,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     An empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    # Some 32 MB of text per bucket of counters at most.
+    # Some 16 MB of text per bucket of counters at most.
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 12 + size // (32 << 20)
-    counts = (texts.where("doc_id is not null").mapInArrow(lambda it: _tally(it, width, buckets), "bucket int, tokens binary")
+    buckets = 12 + size // (16 << 20)
+    counts = (texts.where("doc_id is not null").mapInArrow(lambda it: _tally(it, width, buckets), "bucket int, once binary, often binary, counts binary")
               .groupBy("bucket").applyInArrow(lambda t: _count(t, FREQUENT), "token long, times long"))
     counts = stored(counts, "token-counts")
     frequent = np.sort(counts.where(F.col("times") >= _least_times(counts)).select("token").toArrow()
@@ -273,12 +317,24 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     ).drop("parts"), "grouped")
 
     listed = grouped.select(F.explode("prefix").alias("token"), "home", "rep")
-    met = stored(_met(listed, counts, list_rows), "met")
+    met, led = _met(listed, counts, list_rows, led_rows)
+    led_links, labels, left = link_lists(led.select(F.col("token").alias("key"), "rep").join(grouped.select("rep", "n"), "rep"),
+                                         lambda pairs: confirmed(texts, pairs, grouped, width, percent), rounds=LED_ROUNDS)
+    known_as = grouped.select("home", "rep", "n")
+    if labels is not None:
+        known_as = known_as.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+    else:
+        known_as = known_as.withColumn("label", F.col("rep"))
+    again, asked_again = _regrouped(left)
+    met = stored(met.unionByName(asked_again).distinct(), "met")
+    known_as = stored(known_as, "grouped-named")
+    names, grouped = known_as.select("rep", "n", "label"), known_as.unionByName(again)
     # Queries of a group in parts of bounded size; its members go to each part.
-    # A pair of sizes that cannot reach the threshold is dropped here.
-    ranges = grouped.groupBy("home").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    sized = stored(met.join(grouped.select("rep", "n"), "rep").join(ranges, "home")
-                   .where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100))
+    # A pair of sizes that cannot reach the threshold, or of one component, is dropped here.
+    ranges = grouped.groupBy("home").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("low"), F.max("label").alias("high"))
+    sized = stored(met.join(names, "rep").join(ranges, "home")
+                   .where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100)
+                          & ((F.col("low") != F.col("high")) | (F.col("low") != F.col("label"))))
                    .select("home", "rep", "n"), "sized")
     parts = stored(sized.groupBy("home").agg(F.ceil(F.sum("n") / GROUP_TOKENS).cast("long").alias("parts")), "openings")
     members = grouped.join(parts, "home").select("home", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
@@ -290,7 +346,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
               .repartition("rep").dropDuplicates(["rep", "tokens"]))
     links = stored(tokens.join(roles, "rep").groupBy("home", "part")
                    .applyInArrow(lambda t: _open(t, percent), "a long, b long"), "links-found")
-    found = components(links)
+    found = components(links if led_links is None else links.unionByName(led_links))
     named = sets.join(reps, "same", "left")
     return (named.join(found, named["rep"] == found["node"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
@@ -313,3 +369,6 @@ def one_of_each(docs: DataFrame, width: int = DROP_WIDTH, percent: int = DROP_PE
 def op10_token_groups(spark, sf_dir):
     """Components over all documents."""
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+SQL = COMPONENTS_SQL.format(width=WIDTH, percent=PERCENT, more="")

@@ -52,6 +52,23 @@ def spread_key(*columns: Column) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def content_key(df: DataFrame) -> Column:
+    """A hash of a whole row.  Columns of types that cannot be hashed (maps and
+    what holds them) go in as JSON."""
+    def hashable(kind) -> bool:
+        text = kind.simpleString()
+        return not any(x in text for x in ("map<", "variant", "interval"))
+
+    # A hash passes over nulls, so which columns are null goes in as well.
+    nulls = F.concat_ws("", *[column(c).isNull().cast("string") for c in df.columns])
+    return F.xxhash64(*[column(f.name) if hashable(f.dataType) else F.to_json(F.struct(column(f.name).alias("v"))) for f in df.schema.fields], nulls)
+
+
 #: One above the largest ``spread_key``.
 SPREAD = 1 << 60
 

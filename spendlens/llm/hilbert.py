@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import shared_path
-from .common import SPREAD, spread_key, stored, table, text_or_empty
+from .common import SPREAD, column, content_key, spread_key, stored, table, text_or_empty
 
 BITS = 4
 LEVELS = 1 << BITS
@@ -84,9 +84,22 @@ def _levels(df: DataFrame, column: str) -> DataFrame:
             .select(F.col(column).alias(f"{column}_value"), f"{column}_level"))
 
 
-def _mark(docs: DataFrame) -> Column:
-    """Tells rows of one id with different content apart."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], F.concat_ws("", *[F.col(f"`{c}`").isNull().cast("string") for c in docs.columns]))
+#: Columns that the files have besides those of the rows.
+FILE_COLUMNS = ("slot", "curve_index", "shard")
+
+
+def _own_names(names: list[str]) -> list[str]:
+    """Names of the rows' columns in the files: one that is also a name of a place
+    (in any case) gets ``_1`` appended until it is free."""
+    used, out = {c.lower() for c in FILE_COLUMNS}, []
+    others = [c.lower() for c in names]
+    for name in names:
+        new = name
+        while new.lower() in used or (new != name and new.lower() in others):
+            new += "_1"
+        used.add(new.lower())
+        out.append(new)
+    return out
 
 
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -110,7 +123,7 @@ def _places(docs: DataFrame, shards: int) -> DataFrame:
     digest = stored(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "source", "lang",
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        spread_key(F.col("doc_id")).alias("key"), _mark(docs).alias("mark")
+        spread_key(F.col("doc_id")).alias("key"), content_key(docs).alias("mark")
     ).withColumn("size_bin", F.floor(F.log2("size") * 8)), "shard-docs")
     n = digest.count()
     parts = n // RANGE_ROWS + 1
@@ -148,15 +161,18 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16) -> DataFrame:
     """Writes whole rows as Parquet, one folder ``shard=<k>`` per shard, each file
     a range of slots in order, and returns a reader of them.
 
-    The files have the columns of ``docs`` and ``slot, curve_index``.  Rows meet
+    The files have the columns of ``docs`` and ``slot, curve_index``; a column of
+    ``docs`` that is named like one of these or like ``shard`` gets ``_1`` appended.  Rows meet
     their places by id and content; the k-th of equal rows takes the k-th place.
+    Nulls and empty texts are as in :func:`shard`; columns of any type pass
+    through; an empty table gives files without rows.
     """
     spark = docs.sparkSession
     places = stored(_places(docs, shards).select(
         F.coalesce("doc_id", F.lit(0)).alias("id"), "mark", F.struct("shard", "slot", "curve_index").alias("place"), "size"), "shard-places")
     size = places.agg(F.sum("size")).first()[0] or 0
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), _mark(docs).alias("mark"),
-                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), content_key(docs).alias("mark"),
+                       F.struct(*[column(c).alias(n) for c, n in zip(docs.columns, _own_names(docs.columns))]).alias("row"))
     both = rows.unionByName(places.drop("size"), allowMissingColumns=True)
     turn = W.partitionBy("id", "mark", F.col("place").isNull()).orderBy("place")
     # One shuffle by id and mark serves the numbers and the pairs.
@@ -171,7 +187,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16) -> DataFrame:
 
 def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
     """The columns of :func:`shard`, derived from the files of :func:`write_shards`
-    in the shared folder."""
+    in the shared folder; nulls, repeated rows, empty tables and further columns are as there."""
     out = write_shards(docs, shared_path(docs.sparkSession, "shards"), shards)
     text = text_or_empty()
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),

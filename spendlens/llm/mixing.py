@@ -15,9 +15,11 @@ number of slots is a fixed resolution and the block grows with the corpus.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import SPREAD, spread_key, stored, text_or_empty, word_count
+from .common import SPREAD, column, content_key, spread_key, stored, table, text_or_empty, word_count
 
 PHI = 0.6180339887498949
 #: Weights of the sources in code point order, repeating.
@@ -85,8 +87,8 @@ def mix(docs: DataFrame, cycle=CYCLE, share: float = SHARE, epochs: int = EPOCHS
 
     Input: ``doc_id, text, source`` (other columns are ignored).  Output, one
     row per input row: ``doc_id, source, size, source_size, target, taken,
-    first_slot, text_key`` (the slot of the document's first use, null if unused)
-    and the input columns named in ``keep``.
+    first_slot, last_slot, text_key`` (the slots of the document's first and last use, null if
+    unused) and the input columns named in ``keep``.
 
     Null texts and texts without words have size 0 and ``taken`` 0; null
     sources are one source, the last; repeated rows are documents of their
@@ -100,8 +102,10 @@ def mix(docs: DataFrame, cycle=CYCLE, share: float = SHARE, epochs: int = EPOCHS
         digest.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n")), cycle, share, epochs)
         , "mix-sources")
     totals = sources.agg(F.sum("target").alias("words")).first()
-    block = max(1, -int(-(totals["words"] or 0.0) // slots))
-    n_slots = max(1, -int(-(totals["words"] or 0.0) // block))
+    # The targets add up to a whole or a half number of words, but for rounding errors.
+    words = math.floor((totals["words"] or 0.0) + 0.25)
+    block = max(1, -(-words // slots))
+    n_slots = max(1, -(-words // block))
     parts = digest.count() // RANGE_ROWS + 1
 
     # Needs of each source: whole epochs, then a remainder that ends inside a block.
@@ -158,25 +162,34 @@ def mix(docs: DataFrame, cycle=CYCLE, share: float = SHARE, epochs: int = EPOCHS
     taken = (pieces.join(uses, ["source_no", "block"])
              .withColumn("n", F.greatest(F.lit(0), F.least(F.col("limit") - F.col("offset"), F.col("n"))))
              .where("n > 0").groupBy("source_no", "part", "rn")
-             .agg(F.sum("n").alias("taken"), F.min("slot").alias("first_slot")))
+             .agg(F.sum("n").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot")))
     return (placed.join(taken, ["source_no", "part", "rn"], "left")
             .select("doc_id", "source", "size", "source_size", "target",
-                    F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"), "first_slot", "text_key", *(keep or [])))
+                    F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"), "first_slot", "last_slot", "text_key", *(keep or [])))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix as rows: every document as often as the mix takes it, its words
-    taken over its size rounded to whole copies; all columns kept.  Documents
-    without words are not taken."""
-    key = F.xxhash64(*docs.columns)
-    taken = mix(docs.withColumn("row_key_", key), keep=["row_key_"], **options)
+    """The mix as rows, in its order: every document as often as the mix takes it, its
+    words taken over its size rounded to whole copies; all columns kept.
+
+    The first copy stands where the schedule first uses the document, further ones where
+    it last does; rows are range-partitioned and sorted by these slots.  Documents without words
+    are not taken; rows equal in all columns share their copies; columns of any
+    name and type pass through.  An empty table gives an empty result.
+    """
+    key = content_key(docs)
+    taken = mix(docs.select("doc_id", "text", "source", key.alias("row_key")), keep=["row_key"], **options)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
-    wanted = stored(taken.groupBy("row_key_").agg(F.sum(copies).cast("int").alias("copies_"), F.count("*").alias("rows_"))
-                    .where("copies_ > 0"), "mix-copies")
-    keyed = docs.withColumn("row_key_", key).join(wanted, "row_key_")
+    wanted = stored(taken.groupBy("row_key").agg(F.sum(copies).cast("int").alias("copies"), F.count("*").alias("rows"),
+                                                 F.min("first_slot").alias("first_slot"), F.max("last_slot").alias("last_slot"))
+                    .where("copies > 0"), "mix-copies")
+    # The row travels as one column, so no name of its own can clash.
+    keyed = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), key.alias("row_key")).join(wanted, "row_key")
     # Rows equal in all columns share their copies; only those are compared.
-    rows = keyed.where("rows_ = 1").unionByName(keyed.where("rows_ > 1").dropDuplicates(["row_key_"]))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies_"))).alias("copy_")).select(docs.columns)
+    rows = keyed.where("rows = 1").unionByName(keyed.where("rows > 1").dropDuplicates(["row_key"]))
+    slot = F.expr("if(copy = 1, first_slot, last_slot)")
+    each = rows.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select("row", slot.alias("slot"), "copy", "row_key")
+    return each.repartitionByRange("slot", "row_key").sortWithinPartitions("slot", "row_key", "copy").select("row.*")
 
 
 def _few(sources: DataFrame, rows: int = 10_000) -> bool:
@@ -185,13 +198,13 @@ def _few(sources: DataFrame, rows: int = 10_000) -> bool:
 
 
 def op5_mix_sources(spark, sf_dir):
-    """Digest of :func:`mix` over all documents."""
-    from .common import table
+    """Digest of :func:`mix` over all documents; ``first_slot`` is where the mix first uses a document."""
     return mix(table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken")
+        "doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
-#: The words a source's quota covers of a document that begins at ``start`` of its line.
+#: The words a source's quota covers of a document that begins at ``start`` of its line, and the
+#: slot of the schedule that has the rank of the block it begins in.
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -208,12 +221,28 @@ l AS (
          / sum(weight) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
   FROM s),
 t AS (
-  SELECT source, source_size, least((SELECT min_by(lev, cap / weight) FROM l WHERE lev * weight < cap) * weight, cap) AS target FROM l),
+  SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no, least((SELECT min_by(lev, cap / weight) FROM l WHERE lev * weight < cap) * weight, cap) AS target FROM l),
+b AS (
+  SELECT *, greatest(1, CAST(ceil(words / n_blocks) AS BIGINT)) AS block
+  FROM (SELECT CAST(floor(sum(target) + 0.25) AS BIGINT) AS words, 1048576::DOUBLE AS n_blocks FROM t)),
+n AS (SELECT block, greatest(1, CAST(ceil(words / block::DOUBLE) AS BIGINT)) AS n_slots FROM b),
+bounds AS (
+  SELECT no, source, target, sum(target) OVER (ORDER BY no) AS upto, sum(target) OVER () AS total FROM t),
+shares AS (
+  SELECT no, source, (upto - target) / total AS low, CASE WHEN upto >= total THEN 1.0::DOUBLE ELSE upto / total END AS high
+  FROM bounds WHERE target > 0),
+points AS (
+  SELECT i AS slot, i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS u
+  FROM n, range(0, (SELECT n_slots FROM n)) r(i)),
+slots AS (
+  SELECT source, slot, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS rank
+  FROM points JOIN shares ON u >= low AND u < high),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, least(CAST(round(t.target) AS BIGINT), 2 * t.source_size) AS quota,
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, least(CAST(round(t.target) AS BIGINT), 2 * t.source_size) AS quota,
          CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - source_size - start)) AS BIGINT) AS taken
-FROM p
+SELECT doc_id, size, source_size, target, taken,
+       CASE WHEN taken > 0 THEN coalesce(slot, n_slots + start // block) END AS first_slot
+FROM (SELECT p.*, CAST(greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - source_size - start)) AS BIGINT) AS taken FROM p) p
+CROSS JOIN n LEFT JOIN slots ON slots.source IS NOT DISTINCT FROM p.source AND slots.rank = p.start // n.block
 """

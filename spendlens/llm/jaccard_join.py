@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import stored, table
 from .components import components
 from .linking import COMPONENTS_SQL, confirmed, link_lists
-from .tokens import shingle_sets, slices, text_buffer
+from .tokens import shingle_sets, slices, text_buffer, trimmed
 
 WIDTH, PERCENT = 4, 85
 #: Words of a shingle and percent of similarity where documents are dropped as near duplicates.
@@ -50,7 +50,7 @@ GROUP_TOKENS = 1 << 20
 LIST_ROWS = 1 << 13
 #: Lists longer than this are first compared with a leader, in so many rounds (with more leaders in a second).
 LED_ROWS, LED_ROUNDS = 1 << 5, 1
-SLICE = 8 << 20
+SLICE = 4 << 20
 _KEY = np.uint64(32)
 
 
@@ -75,6 +75,7 @@ def _arrays(arrays, kind=pa.int64()):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat).cast(kind) if flat.dtype != np.int64 else pa.array(flat))
 
 
+@trimmed
 def _tally(batches, width, buckets):
     """Tokens of some documents (each document once), 32 bits each, by bucket of the
     counters: those that occur once, and the others with their counts."""
@@ -122,6 +123,7 @@ def _least_times(counts: DataFrame) -> int:
     return least
 
 
+@trimmed
 def _prefixes(batches, width, percent, frequent):
     """Per document: size, identity of the set, home group and prefix."""
     for ids, sets in _sets(batches, width):
@@ -148,6 +150,7 @@ def _prefixes(batches, width, percent, frequent):
             ["doc_id", "n", "same", "home", "prefix"])
 
 
+@trimmed
 def _meet(batches, led):
     """From rows sorted by token: (query, group) of documents that share a token
     with a member of a group numbered below their own, or with one of their own.
@@ -233,6 +236,7 @@ def _regrouped(left: DataFrame) -> tuple[DataFrame, DataFrame]:
     return grouped, pairs.select("rep", F.col("group").alias("home"))
 
 
+@trimmed
 def _tokens(batches, width):
     for ids, sets in _sets(batches, width):
         yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "tokens"])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import stored
 from .components import components
-from .tokens import shingle_sets, slices, text_buffer
+from .tokens import shingle_sets, slices, text_buffer, trimmed
 
 #: Tokens of the documents compared with one leader in one task.
 TASK_TOKENS = 1 << 20
@@ -26,6 +26,7 @@ LEADERS, GROWTH = 8, 4
 SLICE = 8 << 20
 
 
+@trimmed
 def token_sets(batches, width):
     """Ids and sorted shingle hashes of documents, a few megabytes of text at a time."""
     for batch in batches:

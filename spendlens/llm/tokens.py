@@ -7,6 +7,8 @@ small multiple of ``CHUNK`` plus eight bytes per word.
 """
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -26,6 +28,26 @@ _FOLD[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def trimmed(function):
+    """For functions over batches: the worker, which lives on after the task, keeps none of the memory the task used."""
+    @functools.wraps(function)
+    def run(*args):
+        try:
+            yield from function(*args)
+        finally:
+            _give_back()
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> np.uint64(33))

@@ -345,8 +345,10 @@ def prefix_trie(conversations: DataFrame, batches: int = BATCHES, growth: int =
         (F.col("saved") + (F.col("n_convs") - 1) * (F.col("node_since") - F.col("since"))).alias("saved_tokens"),
         F.when(inner | F.col("sha").isNull(), F.lit(_empty_hash())).otherwise(F.col("sha")).alias("ends_sha256"))
     at_root = lambda df: df.where("x1 = 0 and x2 = 0")
-    root = (root.join(at_root(children).select(zero.alias("depth"), "n_children"), "depth", "left")
-            .join(at_root(hashed).select(zero.alias("depth"), "sha"), "depth", "left")
+    # One row of each, put together by an aggregate.
+    root = (root.unionByName(at_root(children).select("n_children"), allowMissingColumns=True)
+            .unionByName(at_root(hashed).select("sha"), allowMissingColumns=True))
+    root = (root.agg(*[F.max(c).alias(c) for c in root.columns]).where("conv_id is not null")
             .withColumn("n_children", F.coalesce("n_children", zero)).withColumn("ends_sha256", F.coalesce("sha", F.lit(_empty_hash()))))
     return expanded.unionByName(root.select(expanded.columns))
 

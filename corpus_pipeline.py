@@ -7,6 +7,10 @@ as the next stage's documents.  All stages but the last return the columns of
 
 The toxicity model is a trained classifier, which SQL cannot express, so there
 is no oracle; the stages are tested one by one against plain versions.
+
+In every stage null texts are empty and without words, rows without an id stay where
+nothing else takes them, an empty table gives an empty result, and further columns of
+any name and type pass through; the operators' docstrings say more.
 """
 from __future__ import annotations
 
@@ -32,7 +36,7 @@ def drop_contaminated(spark, docs, sf_dir):
 
 
 def mix(spark, docs, sf_dir):
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, in the order of its schedule."""
     return mixing.mixed_rows(docs)
 
 

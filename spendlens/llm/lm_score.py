@@ -7,11 +7,16 @@ asked; and a block scores its documents.  A document is scored by the counts of
 all *other* documents: its own occurrences are taken off, otherwise every
 n-gram would have been seen.
 
+An n-gram of three words or more can only occur in another document if both
+shorter n-grams it is made of do.  So words and pairs are asked for first, and
+longer n-grams, order by order, only where both parts have been found elsewhere.
+All others have a count of zero without being asked for.
+
 ``S(w | h) = c(h w) / c(h)`` if ``c(h w) > 0``, else ``0.4 * S(w | shorter h)``,
 down to ``c(w) / N``; a word no other document has scores ``0.4 / (N + 1)``.
 
-Scale: what is shuffled is eight bytes and a small count per distinct n-gram
-of a block, and the texts once (both steps read the same exchange).  A frequent
+Scale: what is shuffled is less than eight bytes and a small count per n-gram that a
+block asks for, and the texts once (all steps read the same exchange).  A frequent
 n-gram is one entry per block, so the hottest word adds as many entries to its
 range as there are blocks.  Blocks and ranges are sized in bytes and n-grams,
 not in number, so tasks stay the same size as the corpus grows.
@@ -27,6 +32,8 @@ from .tokens import find_words, hash_words, mix, slices, text_buffer, windows
 
 ORDER = 3
 BACKOFF = 0.4
+#: N-grams of up to so many words are all asked for at once.
+FIRST_ASKED = 2
 #: Bytes of text in a block; n-grams of a range.
 BLOCK_BYTES, RANGE_GRAMS = 6 << 20, 1 << 20
 
@@ -77,36 +84,77 @@ def _ranges(distinct: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Values byte plane by byte plane: high bytes that are mostly zero lie
-    together, where the shuffle's compression removes them."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    """Values byte plane by byte plane, compressed: high bytes that are mostly
+    zero and counts that are mostly one lie together and nearly vanish."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.data, codec="zstd", asbytes=True)
 
 
 def _values(planes: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    size, n = np.dtype(kind).itemsize, int.from_bytes(planes[:8], "little")
+    raw = pa.decompress(planes[8:], decompressed_size=n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
-def _ask(rows: pa.Table, order: int, ranges: int) -> pa.Table:
-    """A block's n-grams by hash range."""
-    grams = _Grams(rows.column("text"), order)
-    block = rows.column("block")[0].as_py()
+def _asks(grams: _Grams, block: int, orders, asked: list, ranges: int) -> pa.Table:
+    """A block's n-grams of the given orders by hash range."""
     out = {"block": [], "n": [], "range": [], "grams": [], "times": []}
-    for n in range(1, order + 1):
-        edges = _ranges(grams.distinct[n - 1], ranges)
+    for n in orders:
+        distinct, times = grams.distinct[n - 1][asked[n - 1]], grams.times[n - 1][asked[n - 1]]
+        edges = _ranges(distinct, ranges)
         for r in np.flatnonzero(np.diff(edges)).tolist():
             part = slice(edges[r], edges[r + 1])
             out["block"].append(block)
             out["n"].append(n)
             out["range"].append(r)
             # Sorted hashes travel as differences.
-            out["grams"].append(_planes(np.diff(grams.distinct[n - 1][part], prepend=np.uint64(0))))
-            out["times"].append(_planes(grams.times[n - 1][part].astype(np.uint32)))
+            out["grams"].append(_planes(np.diff(distinct[part], prepend=np.uint64(0))))
+            out["times"].append(_planes(times[part].astype(np.uint32)))
     return pa.table({"block": pa.array(out["block"], pa.int64()), "n": pa.array(out["n"], pa.int32()),
                      "range": pa.array(out["range"], pa.int64()), "grams": pa.array(out["grams"], pa.binary()),
                      "times": pa.array(out["times"], pa.binary())})
 
 
+def _others(grams: _Grams, answers: pa.Table, order: int) -> tuple[list, list]:
+    """By order: which distinct n-grams are asked for, and how often each word's
+    n-gram occurs in other documents.  The first list has one order more than
+    the answers given, that of the n-grams to ask for next."""
+    found: dict[int, list] = {}
+    for n, r, wide, counts in zip(*(answers.column(k).to_pylist() for k in ("n", "range", "wide", "counts"))):
+        found.setdefault(n, []).append((r, _values(counts, np.uint64 if wide else np.uint32)))
+    asked, others = [], []
+    for n in range(1, order + 1):
+        at = grams.index[n - 1]
+        mask = np.ones(len(grams.distinct[n - 1]), bool)
+        if n >= FIRST_ASKED + 1:
+            shorter = others[n - 2] > 0
+            both = shorter & np.r_[False, shorter[:-1]] if len(shorter) else shorter
+            mask[:] = False
+            mask[at[both & (at >= 0)]] = True
+        asked.append(mask)
+        counts = np.zeros(len(mask), np.int64)
+        if n in found:
+            counts[mask] = np.concatenate([c for _, c in sorted(found[n], key=lambda x: x[0])])
+        here = np.where(at >= 0, counts[at] - grams.own(n), 0) if len(counts) else np.zeros(len(at), np.int64)
+        # What was not asked for has no occurrence elsewhere; its own are not to be taken off.
+        others.append(np.maximum(here, 0))
+    return asked, others
+
+
+def _ask_first(rows: pa.Table, order: int, ranges: int) -> pa.Table:
+    """A block's words and pairs."""
+    grams = _Grams(rows.column("text"), order)
+    return _asks(grams, rows.column("block")[0].as_py(), range(1, order + 1), [slice(None)] * order, ranges)
+
+
+def _asker(n: int, ranges: int):
+    """Asks for a block's n-grams of ``n`` words whose parts are found in other documents."""
+    def ask(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        grams = _Grams(rows.column("text"), n)
+        return _asks(grams, rows.column("block")[0].as_py(), [n], _others(grams, answers, n)[0], ranges)
+    return ask
+
+
 def _sum(rows: pa.Table) -> pa.Table:
     """One range of the count table, answered to the blocks that asked."""
     grams = [np.cumsum(_values(x.as_py(), np.uint64), dtype=np.uint64) for x in rows.column("grams")]
@@ -123,15 +171,7 @@ def _score(rows: pa.Table, answers: pa.Table, order: int, total: int, backoff: f
     """Scores of a block's documents from the counts of all."""
     grams = _Grams(rows.column("text"), order)
     size = len(grams.doc)
-    found: dict[int, list] = {}
-    for n, r, wide, counts in zip(*(answers.column(k).to_pylist() for k in ("n", "range", "wide", "counts"))):
-        found.setdefault(n, []).append((r, _values(counts, np.uint64 if wide else np.uint32)))
-    others = []
-    for n in range(1, order + 1):
-        counts = np.concatenate([c for _, c in sorted(found[n], key=lambda x: x[0])]).astype(np.int64) if n in found else np.zeros(0, np.int64)
-        at = grams.index[n - 1]
-        seen = np.where(at >= 0, counts[at] if len(counts) else 0, 0)
-        others.append(seen - grams.own(n))
+    _, others = _others(grams, answers, order)
     rest = np.repeat(total - grams.lengths, grams.lengths)
     # From the lowest order up: a seen longer n-gram replaces the backed-off score.
     score = np.where(others[0] > 0, np.log(np.maximum(others[0], 1)) - np.log(np.maximum(rest, 1)), np.log(backoff) - np.log(rest + 1.0))
@@ -171,8 +211,16 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     total = int(size["words"] or 0)
     ranges = total * order // RANGE_GRAMS + 1
     dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    answers = (dealt.groupBy("block").applyInArrow(lambda t: _ask(t, order, ranges), "block long, n int, range long, grams binary, times binary")
-               .groupBy("n", "range").applyInArrow(_sum, "block long, n int, range long, wide boolean, counts binary"))
+    asks_kind, answers_kind = "block long, n int, range long, grams binary, times binary", "block long, n int, range long, wide boolean, counts binary"
+
+    def answered(asks: DataFrame) -> DataFrame:
+        return asks.groupBy("n", "range").applyInArrow(_sum, answers_kind)
+
+    first = min(order, FIRST_ASKED)
+    answers = answered(dealt.groupBy("block").applyInArrow(lambda t: _ask_first(t, first, ranges), asks_kind))
+    for n in range(first + 1, order + 1):
+        longer = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_asker(n, ranges), asks_kind)
+        answers = answers.unionByName(answered(longer))
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         lambda left, right: _score(left, right, order, total, backoff),
         "doc_id long, n_words long, log_score double, mean_log_score double, n_longest long")

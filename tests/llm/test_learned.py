@@ -75,7 +75,7 @@ def plain_scores(docs, order, backoff=0.4):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_scores_equal_plain_version(spark, docs_of, order):
     rng = random.Random(order)
     docs = [(i, " ".join(rng.choice(["a", "b", "C", "dd", "é", "f"]) for _ in range(rng.randint(0, 40)))) for i in range(60)]

@@ -35,7 +35,7 @@ BACKOFF = 0.4
 #: N-grams of up to so many words are all asked for at once.
 FIRST_ASKED = 2
 #: Bytes of text in a block; n-grams of a range.
-BLOCK_BYTES, RANGE_GRAMS = 6 << 20, 1 << 20
+BLOCK_BYTES, RANGE_GRAMS = 8 << 20, 1 << 20
 
 
 class _Grams:

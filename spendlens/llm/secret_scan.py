@@ -37,17 +37,41 @@ REACH = 200
 BASE = ("assign", "access", "hex")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _spans(matches: Column, pieces: Column) -> Column:
     """Starts and ends of the matches, from the pieces of text between them.
-    One pass: the running position is the fold's state."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
-    both = F.arrays_zip(pieces.alias("p"), matches.alias("m"))
-    step = F.aggregate(both, zero, lambda acc, x: F.struct(
-        (acc["at"] + F.char_length(x["p"]) + F.coalesce(F.char_length(x["m"]), F.lit(0))).alias("at"),
-        F.when(x["m"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(F.struct(
-            (acc["at"] + F.char_length(x["p"])).alias("s"),
-            (acc["at"] + F.char_length(x["p"]) + F.char_length(x["m"])).alias("e"))))).alias("spans")))
-    return step["spans"]
+
+    A fold that appends copies its list at every step.  So the lengths are cut
+    into runs of about the root of their number: one fold places the runs, one
+    for each run its matches, and no list is longer than such a run."""
+    lengths = F.transform(F.arrays_zip(pieces.alias("p"), matches.alias("m")), lambda x: F.struct(
+        F.char_length(x["p"]).alias("p"), F.char_length(x["m"]).alias("m")))
+
+    def after(at: Column, x: Column) -> Column:
+        return at + x["p"] + F.coalesce(x["m"], F.lit(0))
+
+    def runs(items: Column) -> Column:
+        return _let(F.ceil(F.sqrt(F.size(items))).cast("int"), lambda width: F.transform(
+            F.sequence(F.lit(1), F.size(items), width), lambda i: F.slice(items, i, width)))
+
+    def within(run: Column, start: Column) -> Column:
+        nothing = F.struct(start.alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
+        return F.aggregate(run, nothing, lambda acc, x: F.struct(
+            after(acc["at"], x).alias("at"),
+            F.when(x["m"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(F.struct(
+                (acc["at"] + x["p"]).alias("s"), after(acc["at"], x).alias("e"))))).alias("spans")))["spans"]
+
+    def placed(cut: Column) -> Column:
+        nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(cut, nothing, lambda acc, run: F.struct(
+            F.aggregate(run, acc["at"], after).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))["starts"]
+        return F.flatten(F.zip_with(cut, starts, within))
+
+    return _let(lengths, lambda items: _let(runs(items), placed))
 
 
 def _find(df: DataFrame, kind: str, pattern: str, may: Column | None = None) -> DataFrame:

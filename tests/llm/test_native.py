@@ -239,6 +239,14 @@ def test_secrets_patterns_and_links(docs_of):
     assert secret_scan.find_secrets(docs_of([])).count() == 0
 
 
+def test_secrets_of_texts_with_many_matches(docs_of):
+    hexes = [f"{k:016x}" + "a" * (k % 5) for k in range(5000)]
+    texts = ["é ".join(hexes[:n]) for n in (1, 2, 3, 4, 5, 9, 10, 99, 100, 101, 5000)]
+    for r in rows(secret_scan.find_secrets(docs_of(list(enumerate(texts))))):
+        base, digest = B.secrets(texts[r["doc_id"]])
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == (0, 0, len(base)) and r["base_sha256"] == digest
+
+
 def test_secret_links_at_all_offsets_and_gaps(docs_of):
     """Every pair within reach meets, wherever the bins' borders lie."""
     reach, key = 20, "ABCDEFGH12345678"

@@ -9,9 +9,9 @@ from ..config import data_version, session_table, shared_path
 from ..functions import labels as L
 from ..operators import clean as C
 from ..operators import requests_log as R
-from ..operators.filters import extent
+from ..operators.filters import ChartFilter, extent
 from ..sources.extracts import ingest
-from ..sources.sinks import append_new_rows, read_fact
+from ..sources.sinks import append_new_rows, cluster_fact, read_fact, write_fact
 from ..sources.tables import fact_table, read_table
 from . import charts, etl
 from .catalog import F_9699, bar_like_sql, register
@@ -161,3 +161,15 @@ def q_etl_append_then_chart(spark, sf_dir):
         append_new_rows(spark, fact.where(months), path)
         chart = charts.bar_points(read_fact(spark, path), "industry", "trans_total", F_9699)
     return chart
+
+
+BUILDING_MONTHS = ChartFilter(industry="BUILDING")
+
+
+@register("agg_bar_ym_clustered", bar_like_sql("ym", "trans_count", BUILDING_MONTHS, 1e3, False, None))
+def q_bar_ym_clustered(spark, sf_dir):
+    """one industry by month over a fact in files clustered by industry and age band."""
+    path = shared_path(spark, "fact-plain")
+    write_fact(fact_table(spark, sf_dir), path)
+    clustered = cluster_fact(spark, path, shared_path(spark, "fact-clustered"))
+    return charts.bar_points(read_fact(spark, clustered), "ym", "trans_count", BUILDING_MONTHS, divisor=1e3)

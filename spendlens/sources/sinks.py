@@ -10,6 +10,9 @@ from ..schema import FACT_COLUMNS, FACT_SCHEMA
 
 #: Text of a month that is none; such rows share the folder of rows without a month.
 MONTH_TEXT = "ym_text"
+#: Columns that files are clustered by inside a month, and the size such a file is meant to have.
+CLUSTERED_BY = ("industry", "age_level")
+CLUSTERED_FILE_BYTES = 128 << 20
 _NO_MONTH = "__HIVE_DEFAULT_PARTITION__"  # the folder's name is fixed by Spark
 
 
@@ -23,12 +26,45 @@ def write_fact(df: DataFrame, path: str, mode: str = "append",
     is not ``YYYYMM`` makes no folder of its own: its text is kept beside the row.
     """
     if partition_by == "ym":
-        valid = F.col("ym").rlike("^[0-9]{6}$")
-        df = df.withColumn(MONTH_TEXT, F.when(~valid, F.col("ym"))).withColumn("ym", F.when(valid, F.col("ym")))
+        df = _with_folder(df)
     (df.hint("rebalance", partition_by)
        .write.mode(mode).partitionBy(partition_by).parquet(path))
 
 
+def _with_folder(df: DataFrame) -> DataFrame:
+    """The month as its folder has it, and the text of a month that is none."""
+    valid = F.col("ym").rlike("^[0-9]{6}$")
+    return df.withColumn(MONTH_TEXT, F.when(~valid, F.col("ym"))).withColumn("ym", F.when(valid, F.col("ym")))
+
+
+def write_clustered_fact(df: DataFrame, path: str, files: int, mode: str = "overwrite") -> None:
+    """write a fact so that a file holds few industries and age bands of a month.
+
+    Rows are range-partitioned into about ``files`` runs of the order (month,
+    industry, age band) and sorted in it, so the statistics of files and row
+    groups are narrow and a filter on either column skips the others; the Bloom
+    filters serve values that lie between a group's least and greatest.  A
+    (month, industry, age band) with more rows than a run is cut by a hash of its
+    row; only copies of one row, which appends collapse, stay together.
+    """
+    rows = _with_folder(df)
+    order = [F.col("ym"), F.col("industry"), F.col("age_level")]
+    runs = rows.repartitionByRange(max(1, files), *order, F.xxhash64(*rows.columns)).sortWithinPartitions(*order)
+    w = runs.write.mode(mode).partitionBy("ym")
+    for c in CLUSTERED_BY:
+        w = w.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", "1000")
+    w.parquet(path)
+
+
+def cluster_fact(spark: SparkSession, path: str, out: str, file_bytes: int = CLUSTERED_FILE_BYTES) -> str:
+    """Rewrite the fact at ``path``, as appends have left it, in clustered files
+    of about ``file_bytes`` at ``out``.  Their number comes from the size of the
+    listed files; no row is read for it."""
+    size = int(str(spark.read.schema(FACT_SCHEMA).parquet(path)._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    write_clustered_fact(read_fact(spark, path), out, -(-size // file_bytes))
+    return out
+
+
 def has_other_months(spark: SparkSession, path: str) -> bool:
     """Whether a fact holds rows without a valid month."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"ym={_NO_MONTH}")

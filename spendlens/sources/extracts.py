@@ -4,6 +4,7 @@ Every value is read as text; typing happens in ``operators.clean``.
 """
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -44,20 +45,43 @@ def read_csv_extract(spark: SparkSession, path: str, na_tokens=NA_TOKENS,
     return _null_na_tokens(df, na_tokens)
 
 
+#: Above any file's size: no file is cut, and no two share a task.
+_WHOLE_FILE = str(1 << 50)
+
+
+def _first_lines(spark: SparkSession, path, encoding: str, n: int, line) -> list[tuple[str, list]]:
+    """The first ``n`` lines of each file for which the expression ``line`` is not
+    null, as it has them.  A task is one file and stops reading once it has its
+    lines.  Files without such a line are left out."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", _WHOLE_FILE)
+    session.conf.set("spark.sql.files.openCostInBytes", _WHOLE_FILE)
+    lines = session.read.option("encoding", encoding).text(path).select(F.col("_metadata.file_path").alias("file"), line.alias("line"))
+
+    def head(rows):
+        file, found = None, []
+        for row in rows:
+            if row["line"] is not None:
+                file = row["file"]
+                found.append(row["line"])
+                if len(found) == n:
+                    break
+        if found:
+            yield file, found
+
+    return sorted(lines.rdd.mapPartitions(head).collect())
+
+
 def _files_by_header(spark: SparkSession, path, encoding: str) -> list[list[str]]:
     """The files of a CSV source grouped by header line, the first that is not
     blank: columns are matched by name, so files with another column order are
-    read apart.  Files with blank lines only have no rows.  Only the file names
-    and headers reach the driver."""
-    lines = spark.read.option("encoding", encoding).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
-        F.monotonically_increasing_id().alias("i"), F.regexp_replace("value", "^﻿", "").alias("value"))
+    read apart.  Files with blank lines only have no rows.  Only the beginning of
+    a file is read, and only the file names and headers reach the driver."""
+    value = F.regexp_replace("value", "^\ufeff", "")
     # Blank as Spark's header inference has it: nothing but spaces.
-    heads = (lines.where(F.trim("value") != "").groupBy("file")
-             .agg(F.min_by("value", F.struct("at", "i")).alias("header")).collect())
     groups: dict[str, list[str]] = {}
-    for row in sorted(heads, key=lambda r: r["file"]):
-        groups.setdefault(row["header"].rstrip("\r"), []).append(row["file"])
+    for file, (header,) in _first_lines(spark, path, encoding, 1, F.when(F.trim(value) != "", value)):
+        groups.setdefault(header.rstrip("\r"), []).append(file)
     return [files for _, files in sorted(groups.items())]
 
 
@@ -96,25 +120,22 @@ def _pick_records_key(schema: T.StructType, records_key: str | None) -> str | No
 
 
 def detect_json_layouts(spark: SparkSession, path) -> dict[str, list[str]]:
-    """The files of a JSON source by layout, each judged by its whole content.
+    """The files of a JSON source by layout, judged by their first two lines
+    that are not blank.
 
-    A file that begins with ``[`` is an array; one with several lines that are
-    each a complete object is JSON Lines; any other is one object: ``wrapped``
-    if one of its values is a list, ``keyed`` if all are objects, else a single
-    ``record``.  Only file names and layouts reach the driver.
+    A file that begins with ``[`` is an array; one whose first line begins with
+    ``{`` and ends with ``}`` and whose second begins with ``{`` is JSON Lines, as
+    no single document looks like that; any other is one object, read whole:
+    ``wrapped`` if one of its values is a list, ``keyed`` if all are objects, else a
+    single ``record``.  Only file names and layouts reach the driver.
     """
     as_map = T.MapType(T.StringType(), T.StringType())
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
-        F.monotonically_increasing_id().alias("i"), F.regexp_replace("value", "^[\\s\ufeff]+", "").alias("v")).where("v <> ''")
-    whole = F.col("v").startswith("{") & F.from_json("v", as_map).isNotNull()
-    files = lines.groupBy("file").agg(
-        F.count("*").alias("n"), F.count_if(whole).alias("whole"),
-        F.min_by(F.substring("v", 1, 1), F.struct("at", "i")).alias("first")).collect()
+    value = F.regexp_replace("value", "^[\\s\ufeff]+|\\s+$", "")
+    ends = F.when(value != "", F.concat(F.substring(value, 1, 1), F.substring(value, -1, 1)))
     out: dict[str, list[str]] = {}
-    for r in sorted(files, key=lambda r: r["file"]):
-        kind = "array" if r["first"] == "[" else "lines" if r["n"] > 1 and r["whole"] == r["n"] else "object"
-        out.setdefault(kind, []).append(r["file"])
+    for file, found in _first_lines(spark, path, "UTF-8", 2, ends):
+        kind = "array" if found[0][0] == "[" else "lines" if len(found) == 2 and found[0] == "{}" and found[1][0] == "{" else "object"
+        out.setdefault(kind, []).append(file)
     objects = out.pop("object", [])
     if objects:
         values = F.map_values(F.from_json(F.regexp_replace("value", "^\ufeff", ""), as_map))
@@ -135,8 +156,86 @@ def detect_json_layout(spark: SparkSession, path) -> str:
     return kinds.pop() if kinds else "lines"
 
 
+#: Documents of more bytes are cut into records before they are parsed.
+SPLIT_OVER = 128 << 20
+#: A JSON string, and what stands for it where only a document's structure is looked at.
+_STRING, _S = r'"(?:[^"\\]++|\\.)*+"', "\x01"
+#: A flat record as it stands before its closing brace, without its strings.
+_FLAT = r"\{[^{}\[\]\"]*$"
+_SCALARS = rf"(?:\s*{_S}\s*:[^{{}}\[\]\",]*,)*+\s*"
+#: What comes before the first record, before any other, and after the last, by layout.
+_AROUND = {
+    "array": (r"^\s*\[\s*", r"^\s*,\s*", r"^\s*\]\s*$"),
+    "wrapped": (rf"^\s*\{{{_SCALARS}{_S}\s*:\s*\[\s*", r"^\s*,\s*", rf"^\s*\](?:\s*,\s*{_S}\s*:[^{{}}\[\]\",]*)*+$"),
+    "keyed": (rf"^\s*\{{\s*{_S}\s*:\s*", rf"^\s*,\s*{_S}\s*:\s*", r"^\s*$"),
+}
+
+
+def _large_files(spark: SparkSession, path, over: int) -> tuple[list[str], object]:
+    """The files of more than ``over`` bytes, and the others; ``path`` as it is if none is.
+    Names and sizes come from the listing; no content is read."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    large = sorted(r["path"] for r in files.where(F.col("length") > over).collect())
+    return large, sorted(r["path"] for r in files.where(F.col("length") <= over).collect()) if large else path
+
+
+def _split_documents(spark: SparkSession, files: list[str], layout: str, records_key: str | None) -> tuple[DataFrame | None, list[str]]:
+    """Records of large documents, each parsed by many tasks, and the files that
+    cannot be.
+
+    The text is cut behind every ``}``, which Spark's line reader does inside
+    splits, so a document of flat records falls into one piece per record.  That
+    it does is checked on all pieces of a file: each must be a flat record
+    after a separator, but for one beginning and one end in their places.  A file with
+    nested values, braces inside strings or several lists is not cut.
+    """
+    first, between, last = _AROUND[layout]
+    bare = F.regexp_replace("piece", _STRING, _S)
+    pieces = (spark.read.option("lineSep", "}").text(files)
+              .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
+                      F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+                      F.octet_length("value").alias("bytes"), F.regexp_replace("value", "^\ufeff", "").alias("piece")))
+    kind = (F.when(bare.rlike(first + _FLAT), "first").when(bare.rlike(between + _FLAT), "record")
+            .when(bare.rlike(last), "last").when(bare.rlike(r"^\s*$"), "blank").otherwise("other"))
+    told = pieces.withColumn("kind", kind)
+    # What precedes a record's own brace: separators and names, after the document's brace in the first piece of an object.
+    lead = rf'(?:[^{{"]++|{_STRING})*+'
+    lead = F.when((F.col("kind") == "first") & F.lit(layout != "array"), F.regexp_extract("piece", rf"^(\s*\{{{lead})", 1)).otherwise(
+        F.regexp_extract("piece", f"^({lead})", 1))
+    record = F.concat(F.substr("piece", F.length(lead) + 1), F.lit("}"))
+    over = F.col("kind").isin("last", "blank")
+    facts = told.groupBy("file").agg(
+        F.first("size").alias("size"), (F.sum("bytes") + F.count("*")).alias("read"),
+        F.min_by("kind", "at").alias("begins"), F.max_by("kind", "at").alias("ends"),
+        (F.min(F.when(over, F.col("at"))) > F.max(F.when(~over, F.col("at")))).alias("ordered"),
+        *[F.count_if(F.col("kind") == k).alias(k) for k in ("first", "last", "blank", "other")],
+        F.max(F.when(F.col("kind") == "first", F.regexp_extract(lead, rf"({_STRING})\s*:\s*\[\s*$", 1))).alias("key")).collect()
+    good = []
+    for r in facts:
+        # Whether text follows the last brace; a mark of 3 bytes at the beginning is not read.
+        more = r["read"] in (r["size"] + 1, r["size"] - 2)
+        whole = r["begins"] == "first" and r["first"] == 1 and not r["other"] and r["ordered"]
+        if layout == "array":
+            whole = whole and more and r["last"] == 1 and not r["blank"]
+        elif layout == "keyed":  # the document's own brace closes a blank piece
+            whole = whole and r["last"] == 1 + more
+        else:
+            whole = whole and r["last"] == 1 and r["blank"] == more and r["ends"] == ("blank" if more else "last")
+            whole = whole and (records_key is None or json.loads(r["key"]) == records_key)
+        if whole:
+            good.append(r["file"])
+    rest = sorted({r["file"] for r in facts} - set(good))
+    if not good:
+        return None, rest
+    rows = told.where(F.col("file").isin(good) & F.col("kind").isin("first", "record")).select(record.alias("record"))
+    names = sorted(r[0] for r in rows.select(F.explode(F.map_keys(F.from_json("record", T.MapType(T.StringType(), T.StringType()), {"mode": "FAILFAST"}))))
+                   .distinct().collect())
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return rows.select(F.from_json("record", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*"), rest
+
+
 def read_json_extract(spark: SparkSession, path: str, layout: str = "auto",
-                      records_key: str | None = None) -> DataFrame:
+                      records_key: str | None = None, split_over: int = SPLIT_OVER) -> DataFrame:
     """JSON extract in one of four layouts, every value as text.
 
     * ``array``   top-level array of records.
@@ -146,16 +245,30 @@ def read_json_extract(spark: SparkSession, path: str, layout: str = "auto",
     * ``lines``   one record per line.
     * ``record``  one object that is one record.
     * ``auto``    decide for every file (``detect_json_layouts``).
-    Document layouts are parsed one file per task; JSON Lines are split.
+    JSON Lines are split.  Documents of up to ``split_over`` bytes are parsed one
+    file per task; larger ones of flat records by many tasks each (``_split_documents``).
     """
     if layout == "auto":
-        parts = [read_json_extract(spark, files, kind, records_key)
+        parts = [read_json_extract(spark, files, kind, records_key, split_over)
                  for kind, files in sorted(detect_json_layouts(spark, path).items())]
         if not parts:
             return _json_rows(spark, path, False)
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if layout == "lines":
         return _json_rows(spark, path, False)
+    if layout in _AROUND:
+        large, path = _large_files(spark, path, split_over)
+        if large:
+            rows, rest = _split_documents(spark, large, layout, records_key)
+            parts = [rows] if rows is not None else []
+            if path + rest:
+                parts.append(_read_documents(spark, path + rest, layout, records_key))
+            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return _read_documents(spark, path, layout, records_key)
+
+
+def _read_documents(spark: SparkSession, path, layout: str, records_key: str | None) -> DataFrame:
+    """Records of JSON documents, a file per task."""
     if layout in ("array", "record"):
         return _json_rows(spark, path, True)
     if layout == "wrapped":

@@ -87,3 +87,69 @@ def test_detect_layout_single_line_document(spark, tmpdir_fresh):
     assert detect_json_layout(spark, p) == "object"
     p = _write(tmpdir_fresh, "bom.json", "﻿" + json.dumps(RECS))
     assert detect_json_layout(spark, p) == "array"
+
+
+def _documents():
+    """Large documents by layout, with what must not cut them: quotes, braces and separators in strings."""
+    recs = [{"a": str(k), "b": 'q"\\' if k % 3 else "x, [y]", "c": None if k % 5 else "é"} for k in range(200)]
+    flat = [{**r, "n": str(k)} if k % 7 == 0 else r for k, r in enumerate(recs)]
+    braces = [{**r, "b": "}{"} if k == 50 else r for k, r in enumerate(recs)]
+    dump = lambda x, **kw: json.dumps(x, ensure_ascii=False, **kw)
+    keyed = {f'k{{"{k}': r for k, r in enumerate(flat)}
+    return {
+        "array": [(dump(flat), flat), (dump(flat, indent=2) + "\n", flat), ("﻿" + dump(flat), flat), (dump(braces), braces)],
+        "wrapped": [(dump({"note": "a [b] {", "n": 1, "rows": flat, "z": 2}), flat), (dump({"rows": flat}, indent=1) + "\n", flat), (dump({"rows": braces}), braces)],
+        "keyed": [(dump(keyed), flat), (dump(keyed, indent=1) + "\n\n", flat), (dump({"k": braces[50], "l": braces[0]}), [braces[50], braces[0]])],
+    }
+
+
+@pytest.mark.parametrize("layout", ["array", "wrapped", "keyed"])
+def test_large_documents_are_cut_into_records(spark, tmp_path, layout):
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    session.conf.set("spark.sql.files.openCostInBytes", "1")
+    for k, (text, records) in enumerate(_documents()[layout]):
+        p = tmp_path / f"{layout}{k}.json"
+        p.write_text(text, encoding="utf-8")
+        for kind in (layout, "auto"):
+            df = read_json_extract(session, str(p), layout=kind, split_over=1000)
+            names = sorted({n for r in records for n in r})
+            assert sorted(df.columns) == names
+            got = [tuple(r[n] for n in names) for r in df.collect()]
+            order = lambda t: tuple(x or "" for x in t)
+            assert sorted(got, key=order) == sorted((tuple(r.get(n) for n in names) for r in records), key=order)
+        if "}{" not in text:  # such a document is parsed whole
+            assert df.rdd.getNumPartitions() > 3
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}, {"a": 2}', '[{"a": 1} {"a": 2}]', '{"k": {"a": 1}\n', '{"k": {"a": 1}}, "l": {"a": 2}}'])
+def test_broken_large_documents_fail_like_small_ones(spark, tmp_path, text):
+    p = tmp_path / "x.json"
+    p.write_text(text)
+    layout = "array" if text[0] == "[" else "keyed"
+    outcomes = []
+    for over in (1 << 30, 0):
+        try:
+            outcomes.append(sorted(map(tuple, read_json_extract(spark, str(p), layout=layout, split_over=over).collect())))
+        except Exception:  # noqa: BLE001
+            outcomes.append("error")
+    assert outcomes[0] == outcomes[1]
+
+
+def test_split_and_small_documents_of_one_folder(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"a": str(k)} for k in range(100)]))
+    (tmp_path / "b.json").write_text(json.dumps([{"a": "x", "b": "y"}]))
+    df = read_json_extract(spark, str(tmp_path), layout="array", split_over=200)
+    assert df.count() == 101 and df.where("b = 'y'").count() == 1
+
+
+def test_files_of_one_header(spark, tmp_path):
+    """The header is the first line that is not blank; a file without one has no rows."""
+    from spendlens.sources import extracts
+
+    body = "".join(f"{k},{k}\n" for k in range(400_000))
+    (tmp_path / "a.csv").write_text("x,y\n" + body)
+    (tmp_path / "b.csv").write_text("\n  \ny,x\n" + body)
+    (tmp_path / "c.csv").write_text("\n\n")
+    groups = extracts._files_by_header(spark, str(tmp_path), "UTF-8")
+    assert [[f.rsplit("/", 1)[1] for f in g] for g in groups] == [["a.csv"], ["b.csv"]]

@@ -35,6 +35,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+#: Features of a word.
+PER_WORD = 11
 TAGS = ("O",) + tuple(f"{p}-{k}" for k in KINDS for p in "BI")
 FEATURES, CONTEXT = 1 << 13, 3
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -52,7 +54,52 @@ her address is {email kim.lee [at] example.net} now
 send it to {email bob at mail dot example dot com} please
 reach {email info(at)example.org} or ask
 {email max.muster [at] firma [dot] example} antwortet
+mail {email kim at example.net} now
+or write {email petra.klein at mail.example.org} for help
+reach {email o_brien at shop.example.com} at work
+contact {email jo at firma.example} today
+mail an {email lena at kontakt.example.de} heute
+email {email support at example.co.uk} please
+write to {email anna[at]mail[dot]com} for more
+{email kim.lee[at]example[dot]net} is hers
+mail {email sales(at)shop(dot)example(dot)org} about it
+reach {email tom_s(at)mail(dot)example.com} now
+her address is {email info[at]mail.example[dot]com} today
+mail {email bo at web.example.com} for more
+mail {email rita at post dot example dot net} or wait
+contact {email eva at firma dot example} now
+email {email ulf9 at web dot example dot org} for details
+her address is {email iris at web.example.net} or so
+address {email h.p (at) web.example.com} for prices
+her address is {email rosa (at) firma.example} for now
+ask {email nina[at]uni-example[dot]org} now
+ask {email t-mo(at)x-example.net} for it
+orders go to {email ida at shop.example.net} today
+it goes to {email mara at web dot example dot com} for now
+you can reach {email sam at team.example.org} or me
+write to {email a_b-c at my-example.net} for help
+reach {email li at my-example dot com} today
+write to {email ed (at) web (dot) example} today
+contact {email mo (at) firma (dot) example (dot) org} please
+mail {email fay (at) web (dot) net} now
+his address is {email kurt at web.example} today
+her address is {email nora.b at firma.example} now
+the address is {email ole at post dot example} for now
+ask {email vera at mail.example.org} for more
+ask {email vic at web dot example} today
+ask {email pia at firma.example.com} now
+ask {email uwe at web.example} now
+sold at example.this was new
+found at my-example.com for less
+made at home.it was
+we looked at example.net for news
+they stay at www.example.org all day
+he works at firma.example since 2010
+prices at shop.example.com are up
+read more at news.example.com today
 we met at noon and he put a dot on it
+he sat at home. then he left
+she was good at maths.they said
 look at the dot in example 4
 they stayed at home for 12 days
 he was at work by 9 and left at 17
@@ -95,14 +142,17 @@ see section 4.2.1.7.3 of part 10
 rev 1.2.3 and build 10.4 passed
 token = "94f0c2aa71" was made
 user@ home 22 and 44@ work
+the list[at] and map[dot] of x[dot]y
+f(at) of f(dot)g in 3
 the 3rd of 4 and the 21st
 """.strip().split("\n"))
 
 
 def _shape(word: str) -> str:
-    """Characters by class with the lengths of runs up to 4 (digits) or 1 (letters); long words are cut."""
+    """Characters by class with the lengths of runs up to 4 (digits) or 1 (letters), spelled
+    separators as what they stand for; long words are cut."""
     out, i = [], 0
-    word = word[:40]
+    word = SPELLED.sub(lambda m: "@" if m[1].lower() == "at" else ".", word[:80])[:40]
     while i < len(word):
         c = word[i]
         j = i
@@ -121,9 +171,24 @@ def _shape(word: str) -> str:
     return "".join(out)
 
 
+#: A separator spelled out in brackets inside a word.
+SPELLED = re.compile(r"(?<=[^\x20\x09-\x0D])[\[(](at|dot)[\])](?=[^\x20\x09-\x0D])", re.I)
+_ADDRESS, _DOMAIN = re.compile(r"[\w.+-]+@[\w-]+(\.[\w-]+)+"), re.compile(r"(?=[\w.-]*[^\W\d_])[\w-]+(\.[\w-]+)+")
+
+
+def _form(word: str) -> str:
+    """What a word looks like as a whole: an address or a domain, plain or spelled, else its kind of characters."""
+    plain = SPELLED.sub(lambda m: "@" if m[1].lower() == "at" else ".", word[:80]).strip(",;:!?\"'.")
+    if "@" in plain:
+        return "spelled" if "@" not in word and _ADDRESS.fullmatch(plain) else "address" if _ADDRESS.fullmatch(plain) else "sign"
+    if _DOMAIN.fullmatch(plain):
+        return "domain"
+    return "word" if plain.isalpha() else "digits" if any(c.isdigit() for c in plain) else "other"
+
+
 #: Words whose identity is a feature.
 CUES = frozenset("at dot [at] [dot] (at) (dot) call phone tel tel. telefon dial fax number card visa amex charge mail email address contact "
-                 "write send reach host server addr blocked ip from to page chapter line version table".split())
+                 "write send reach ask an host server addr blocked ip from to page chapter line version table".split())
 
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -132,15 +197,17 @@ def _name(feature: str) -> int:
 
 
 def _features(words: list[str]) -> list[list[int]]:
-    """Eight feature numbers per word."""
+    """``PER_WORD`` feature numbers per word."""
     shapes = [_shape(w.strip(",;:!?\"'")) for w in words]
     cue = [w.lower().strip(",;:!?\"'") for w in words]
     cue = [c if c in CUES else "-" for c in cue]
+    form = [_form(w) for w in words]
     digits = [min(sum(ch.isdigit() for ch in w[:64]), 20) for w in words]
     at = lambda a, i: a[i] if 0 <= i < len(a) else "^"
     return [[_name(f"s0={shapes[i]}"), _name(f"s-1={at(shapes, i - 1)}"), _name(f"s+1={at(shapes, i + 1)}"),
              _name(f"c0={cue[i]}"), _name(f"c-1={at(cue, i - 1)}|{at(cue, i - 2)}"), _name(f"c+1={at(cue, i + 1)}"),
-             _name(f"n0={digits[i]}"), _name(f"s0s+1={shapes[i]}|{at(shapes, i + 1)}")] for i in range(len(words))]
+             _name(f"n0={digits[i]}"), _name(f"s0s+1={shapes[i]}|{at(shapes, i + 1)}"), _name(f"f0={form[i]}"),
+             _name(f"f0c+1f+2={form[i]}|{at(cue, i + 1)}|{at(form, i + 2)}"), _name(f"c-1f0c+1={at(cue, i - 1)}|{form[i]}|{at(cue, i + 1)}")] for i in range(len(words))]
 
 
 def _parse(row: str) -> tuple[list[str], list[int]]:
@@ -161,7 +228,7 @@ def _parse(row: str) -> tuple[list[str], list[int]]:
 
 def _padded(sequences: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(s) for s in sequences])
-    out = np.zeros((len(sequences), int(lengths.max()), 8), np.int64)
+    out = np.zeros((len(sequences), int(lengths.max()), PER_WORD), np.int64)
     for k, s in enumerate(sequences):
         out[k, :len(s)] = s
     return out, lengths
@@ -322,8 +389,9 @@ def _trimmed(text: str, s: int, e: int) -> tuple[int, int]:
 def _plausible(kind: str, text: str) -> bool:
     n = len(_digits(text))
     if kind == "email":
-        return "@" in text or re.search(r"\bat\b", text.lower()) is not None and ("." in text or re.search(r"\bdot\b", text.lower()) is not None)
-    return {"ip": 4 <= n <= 12 and text.count(".") >= 3, "card": 13 <= n <= 19, "phone": 7 <= n <= 15}[kind]
+        return "@" in text or re.search(r"[^\W_].*?\bat\b.*?(?:[^\W_]\.[^\W_]|\bdot\b)", text.lower(), re.S) is not None
+    # A card without separators is the pattern's, which knows its check digit.
+    return {"ip": 4 <= n <= 12 and text.count(".") >= 3, "card": 13 <= n <= 19 and not text.isdigit(), "phone": 7 <= n <= 15}[kind]
 
 
 def _added(texts: list[str], base: list[list[tuple[str, int, int]]], model) -> list[list[tuple[str, int, int]]]:

@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
 1. A lexicon of words and word beginnings is mined from a bounded sample of labelled rows
-   (``SAMPLE_ROWS``, outside the held-out fold).
+   (``SAMPLE_ROWS``, outside the held-out fold).  It has every entry that marks the class; those
+   behind the first ``BITS`` share their bits.
 2. Many voters -- shares of the lexicon, and patterns such as shouting -- vote on
    every document of the corpus.
 3. A generative label model estimates from the votes alone how often each
@@ -13,10 +14,10 @@
 
 Labels, language, source and id are never inputs of a score.
 
-Scale: the texts are read once; a document becomes a bit per lexicon entry and a
+Scale: the texts are read once; a document becomes ``BITS`` bits and a
 few numbers (about 60 bytes), stored.  Vote moments are sums of small matrices, one
 per batch.  The driver holds the sample's features (``SAMPLE_ROWS`` rows), the
-lexicon and the moments, all of fixed size.
+lexicon (8 bytes per entry, of the sample's words only) and the moments.
 """
 from __future__ import annotations
 
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import stored, table, text_or_empty
 from .tokens import find_words, hash_prefixes, slices, text_buffer
 
-#: Labelled rows used at most, entries of the lexicon, and folds of which the first is held out.
-SAMPLE_ROWS, LEXICON, FOLDS = 20_000, 256, 5
+#: Labelled rows used at most, bits that a document's lexicon entries are told by, and folds of which the first is held out.
+SAMPLE_ROWS, BITS, FOLDS = 20_000, 256, 5
 #: Beginnings of words that are lexicon candidates, in bytes.
 CUTS = (4, 5, 6, 7)
 LEXICON_VOTERS = 12
@@ -70,7 +71,7 @@ def _mine(batches):
 
 
 def _describe(batches, lexicon):
-    """A document's lexicon bits, hits, words and pattern numbers."""
+    """A document's lexicon bits (entry ``k`` sets bit ``k mod BITS``), hits, words and pattern numbers."""
     lexicon_sorted = np.sort(lexicon)
     rank = np.argsort(lexicon, kind="stable")
     maybe = np.zeros(1 << 16, bool)
@@ -80,17 +81,17 @@ def _describe(batches, lexicon):
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))
         n = len(batch)
-        bits, hits, words, shout, marks = np.zeros((n, LEXICON // 8), np.uint8), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        bits, hits, words, shout, marks = np.zeros((n, BITS // 8), np.uint8), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
         for i, j, piece, own, doc, hashes, count in _entries(data, offsets):
             words[i:j] = count
             hit_words = np.zeros(len(doc), bool)
-            present = np.zeros((j - i, LEXICON), bool)
+            present = np.zeros((j - i, BITS), bool)
             for h in hashes:
                 k = np.flatnonzero(maybe[(h & np.uint64(0xFFFF)).astype(np.int64)])
                 if len(k) and len(lexicon):
                     at = np.searchsorted(lexicon_sorted, h[k]).clip(0, len(lexicon) - 1)
                     ok = lexicon_sorted[at] == h[k]
-                    present[doc[k[ok]], rank[at[ok]]] = True
+                    present[doc[k[ok]], rank[at[ok]] % BITS] = True
                     hit_words[k[ok]] = True
             hits[i:j] = np.bincount(doc[hit_words], minlength=j - i)
             bits[i:j] = np.packbits(present, axis=1)
@@ -106,12 +107,12 @@ def _describe(batches, lexicon):
 def _columns(batch):
     """Lexicon bits and (hits, words, shout, marks) of described documents."""
     raw = b"".join(batch.column("bits").to_pylist())
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(batch), LEXICON // 8), axis=1) if len(batch) else np.zeros((0, LEXICON), np.uint8)
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(batch), BITS // 8), axis=1) if len(batch) else np.zeros((0, BITS), np.uint8)
     return bits, *(batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in ("hits", "words", "shout", "marks"))
 
 
 def votes(bits, hits, words, shout, marks) -> np.ndarray:
-    """Which voters fire: shares of the lexicon (entry ``k`` belongs to share
+    """Which voters fire: shares of the lexicon (bit ``k`` belongs to share
     ``k mod LEXICON_VOTERS``), several hits, dense hits, shouting, exclamation, long text."""
     shares = [bits[:, k::LEXICON_VOTERS].any(axis=1) for k in range(LEXICON_VOTERS)]
     patterns = [hits >= 2, hits >= 4, hits > 0.01 * words, shout > 0.3, marks > 0.01]
@@ -207,13 +208,14 @@ def _row_key():
 
 
 def _lexicon(sample: DataFrame, n_pos: int, n_neg: int) -> np.ndarray:
-    """Entries that mark the toxic class, those in most toxic documents first."""
+    """All entries that mark the toxic class, those in most toxic documents first.
+    They occur in a bounded sample, each in several of its documents."""
     if not n_pos or not n_neg:
         return np.zeros(0, np.uint64)
     counted = sample.mapInArrow(_mine, "entry long, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
     rows = (counted.where((F.col("pos") >= max(3, n_pos // 200)) & (odds > 3.0)).orderBy(F.desc("pos"), "neg", "entry")
-            .limit(LEXICON).select("entry").collect())
+            .select("entry").collect())
     return np.array([r["entry"] for r in rows], np.int64).view(np.uint64)
 
 

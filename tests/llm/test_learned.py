@@ -227,7 +227,33 @@ def test_gates_agree(docs_of):
     plain = {1: f"write to {here} today", 2: f"mail {far} now"}
     out = {r["doc_id"]: r["spans"] for r in rows(pii_crf.find_personal(docs_of(
         [*plain.items(), *((k + 10, t + " and so on and on and on and on until 5") for k, t in plain.items())])))}
-    assert out[1] == out[11] == "email:9:34" and out[2] == out[12]
+    assert out[1] == out[11] == "email:9:34" and out[2] == out[12] == "email:5:23"
+
+
+SPELLINGS = {
+    "{n} at {d}": (" at ", "."), "{n} at {d} dot": (" at ", " dot "), "[at][dot]": ("[at]", "[dot]"), "(at)(dot)": ("(at)", "(dot)"),
+    "[at] [dot]": (" [at] ", " [dot] "), "(at)": ("(at)", "."), " (at) ": (" (at) ", "."), "[AT]": ("[AT]", ".")}
+
+
+@pytest.mark.parametrize("spelling", SPELLINGS)
+def test_recall_on_planted_addresses(spelling):
+    """Names, domains and some contexts that the labelled table does not hold."""
+    import itertools
+    at, dot = SPELLINGS[spelling]
+    names, domains = ("lisa", "max.roth", "j_doe", "wu", "ana-b", "peter77"), ("gmx.de", "mail.example.net", "corp.io", "uni-x.edu", "host.co.jp")
+    before = ("mail", "contact", "please write to", "you can reach", "her address is", "ask", "questions go to")
+    after = ("now", "for details", "today", "or call", "or not")
+    cases = [(f"{a} {n}{at}{d.replace('.', dot)} {z}", len(a) + 1, -len(z) - 1) for n, d, a, z in itertools.product(names, domains, before, after)]
+    texts = [t for t, _, _ in cases]
+    found = pii_crf._added(texts, [pii_crf.base_spans(t) for t in texts], pii_crf.train())
+    hits = sum(("email", s, len(t) + e) in f for (t, s, e), f in zip(cases, found))
+    assert hits >= 0.9 * len(cases), hits / len(cases)
+
+
+def test_places_are_not_addresses():
+    texts = ["we looked at bbc.com for it", "they arrived at noon.he left", "see it at archive.org today", "he was at home. the end", "stay at x.org and read",
+             "he works at google.com now", "she is at work.then she left", "put a dot at the end", "At At At At ating. At At"]
+    assert not any(pii_crf._added(texts, [pii_crf.base_spans(t) for t in texts], pii_crf.train()))
 
 
 def test_viterbi_equals_all_sequences():

@@ -1,5 +1,6 @@
 """Line quality, mixing, Hilbert shards, containment search, secrets, URLs."""
 import collections
+import random
 
 import pyarrow.parquet as pq
 
@@ -356,3 +357,25 @@ def test_every_beginning_of_the_mix_holds_the_shares(docs_of):
         # Blocks hold one or two documents; a golden-ratio schedule is off by a few blocks anywhere.
         if k < len(order) - 60:
             assert all(abs(held[s] - k * t / whole) < 30 for s, t in target.items()), (k, held)
+
+
+def test_size_partitions_ask_for_more_common_values(spark, docs_of, monkeypatch):
+    """Documents that share a sentence with a long item are no candidates of its partition, and none that contains an item is lost."""
+    rng = random.Random(11)
+    item = [f"w{k}" for k in range(80)]
+    short = [f"s{k}" for k in range(6)]
+    table = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short)), (3, "lone word")], "item_id long, text string")
+    near = [(k, " ".join(f"x{rng.random()}" for _ in range(60)) + " " + " ".join(item[j:j + 9]) + " end " + " ".join(f"y{rng.random()}" for _ in range(20)))
+            for k, j in enumerate(rng.choices(range(70), k=60))]
+    whole = [(100 + k, " ".join([*item[:k], *(["gap"] if k % 2 else []), *item[k:]])) for k in range(0, 80, 7)]
+    docs = near + whole + [(300, "a " + " ".join(short) + " z"), (301, "the lone word here"), (302, " ".join(short[:4]))]
+    kept = []
+    stored = decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df, name: kept.append((name, stored(df, name))) or kept[-1][1])
+    out = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(docs_of(docs), table).collect()}
+    assert out == {(d, i) for d, i, *_ in B.contained(docs, [(1, " ".join(item)), (2, " ".join(short)), (3, "lone word")])}
+    assert {(100 + k, 1) for k in range(0, 80, 7)} | {(300, 2), (301, 3)} == out
+    tables = dict(kept)
+    assert {r["item_id"]: r["votes"] for r in tables["bench-sketch"].collect()} == {1: 4, 2: 1, 3: 1}
+    touched = sum(bool(set(zip(*[t.split()[i:] for i in range(5)])) & set(zip(*[item[i:] for i in range(5)]))) for _, t in near)
+    assert touched == len(near) and tables["bench-candidates"].count() < len(out) + len(near) // 4

@@ -9,8 +9,8 @@ the MinHash values of one permutation.  A document that contains a share ``t`` o
 the item misses ``n - ceil(t * n)`` shingles at most, so it holds ``v`` sketch
 values: the search finds every such document, and one that shares a single
 sentence with a long item is no candidate.  A document looks up only hashes below
-the largest sketch value of the size partitions it is long enough for.  Every
-candidate pair is then verified by exact shingle containment.
+the largest sketch value of all size partitions.  Every candidate pair is then
+verified by exact shingle containment.
 
 Scale: documents are scanned, exploded and looked up without a shuffle while
 the sketch's stored files are under the broadcast threshold, and shuffled by
@@ -74,17 +74,16 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     needed = F.ceil(F.col("n_item") * F.lit(threshold) - F.lit(1e-9)).cast("int")
     sketch = stored(bench.withColumn("size_class", F.floor(F.log2("n_item")).cast("int")).withColumn("needed", needed)
                     .withColumn("votes", _votes(F.col("size_class"), F.col("needed")))
-                    .select("item_id", "size_class", "needed", "votes", F.explode(F.slice("g", 1, F.col("n_item") - F.col("needed") + F.col("votes"))).alias("h")),
+                    .select("item_id", "size_class", "votes", F.explode(F.slice("g", 1, F.col("n_item") - F.col("needed") + F.col("votes"))).alias("h")),
                     "bench-sketch")
-    # How far a size partition looks into the hash order, and how many shingles a document needs for it; at most 31 partitions.
-    parts = sketch.groupBy("size_class").agg(F.max("h").alias("reach"), F.min("needed").alias("needed")).orderBy("size_class").collect()
+    # How far any size partition looks into the hash order: a longer partition's sketch ends earlier in it.
+    reach = sketch.groupBy("size_class").agg(F.max("h").alias("reach")).agg(F.max("reach")).first()[0]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")) \
         .withColumn("key", F.xxhash64("doc_id", "text"))
     looked = _lookup(texts.withColumn("w", words(ascii_lower(F.col("text")))), width, short).select("doc_id", "key", "g")
-    least = F.lit(-(1 << 63))
-    reach = F.greatest(least, least, *[F.when(F.size("g") >= p["needed"], F.lit(p["reach"])) for p in parts])
-    hits = (looked.select("key", F.size("g").alias("n_doc"), reach.alias("reach"), F.explode("g").alias("h")).where("h <= reach")
-            .join(sketch.select("h", "item_id", "needed", "votes"), "h").where("n_doc >= needed"))
+    reach = -(1 << 63) if reach is None else reach
+    hits = (looked.select("key", F.explode(F.filter("g", lambda x: x <= F.lit(reach))).alias("h"))
+            .join(sketch.select("h", "item_id", "votes"), "h"))
     # Repeated rows vote again: more candidates, which the verification sorts out.
     candidates = stored(hits.groupBy("key", "item_id").agg(F.count("*").alias("shared"), F.first("votes").alias("votes"))
                         .where("shared >= votes").select("key", "item_id"), "bench-candidates")

@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
+from ..config import shared_path, write_table
 from ..schema import FACT_COLUMNS, FACT_SCHEMA
 
 #: Text of a month that is none; such rows share the folder of rows without a month.
@@ -13,6 +14,10 @@ MONTH_TEXT = "ym_text"
 #: Columns that files are clustered by inside a month, and the size such a file is meant to have.
 CLUSTERED_BY = ("industry", "age_level")
 CLUSTERED_FILE_BYTES = 128 << 20
+#: Bytes of rows, as they are in memory, that one task sorts for such a file, and of one row:
+#: 16 per column and 24 per text, besides 32 for its place in the sort.
+SORTED_RUN_BYTES = 256 << 20
+_ROW_BYTES = 32 + 16 * (len(FACT_COLUMNS) + 1) + 24 * 4
 _NO_MONTH = "__HIVE_DEFAULT_PARTITION__"  # the folder's name is fixed by Spark
 
 
@@ -58,10 +63,14 @@ def write_clustered_fact(df: DataFrame, path: str, files: int, mode: str = "over
 
 def cluster_fact(spark: SparkSession, path: str, out: str, file_bytes: int = CLUSTERED_FILE_BYTES) -> str:
     """Rewrite the fact at ``path``, as appends have left it, in clustered files
-    of about ``file_bytes`` at ``out``.  Their number comes from the size of the
-    listed files; no row is read for it."""
-    size = int(str(spark.read.schema(FACT_SCHEMA).parquet(path)._jdf.queryExecution().analyzed().stats().sizeInBytes()))
-    write_clustered_fact(read_fact(spark, path), out, -(-size // file_bytes))
+    of about ``file_bytes`` at ``out``, or of the rows that a task sorts within
+    ``SORTED_RUN_BYTES`` where that is less: stored rows are many times smaller than
+    sorted ones, so files of one size hold more rows the more these repeat.  Their
+    number comes from the size of the listed files and from footers; no row is read for it."""
+    stored = spark.read.schema(FACT_SCHEMA).parquet(path)
+    size = int(str(stored._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    in_memory = stored.count() * _ROW_BYTES
+    write_clustered_fact(read_fact(spark, path), out, max(-(-size // file_bytes), -(-in_memory // SORTED_RUN_BYTES)))
     return out
 
 
@@ -99,10 +108,10 @@ def append_new_rows(spark: SparkSession, df: DataFrame, path: str,
     ``keys`` (default: all fact columns) with NULL-safe equality.
 
     The anti join against the stored table is a shuffle join at scale.  The
-    stored table is read only for the range of months in ``df``: one row with the
-    least and greatest is fetched first and becomes a partition filter, because
-    Spark's dynamic pruning does not apply to the build side of an anti
-    join.
+    stored table is read only for the range of months in ``df``: the least and
+    greatest are observed while the incoming rows are stored, once, in the shared
+    folder, and become a partition filter, because Spark's dynamic pruning does
+    not apply to the build side of an anti join.
     Returns the number of appended rows (measured during the write through
     an ``Observation``, no extra pass).  Empty input is a no-op.
     """
@@ -110,8 +119,16 @@ def append_new_rows(spark: SparkSession, df: DataFrame, path: str,
     incoming = df.dropDuplicates()
     existing = _read_existing(spark, path)
     if existing is not None and partition_by in keys:
-        least, most, missing = incoming.agg(F.min(partition_by), F.max(partition_by),
-                                            F.bool_or(F.col(partition_by).isNull())).first()
+        # The incoming rows are worked out once: stored, with their range observed on the way.
+        months = [F.min(partition_by).alias("least"), F.max(partition_by).alias("most"),
+                  F.bool_or(F.col(partition_by).isNull()).alias("missing")]
+        seen = Observation("incoming_months")
+        incoming = write_table(incoming.observe(seen, *months), shared_path(spark, "incoming-rows"))
+        try:
+            found = seen.get
+        except Exception:  # noqa: BLE001 -- metrics pruned with an empty plan
+            found = {}
+        least, most, missing = (found[c] for c in ("least", "most", "missing")) if "least" in found else incoming.agg(*months).first()
         keep = F.col(partition_by).between(least, most) if least is not None else F.lit(False)
         if missing:
             keep = keep | F.col(partition_by).isNull()

@@ -76,3 +76,13 @@ def test_empty_fact(spark, make_fact):
     path = shared_path(spark, "t-empty")
     sinks.write_clustered_fact(make_fact([]), path, 3)
     assert sinks.read_fact(spark, path).count() == 0
+
+
+def test_runs_are_bounded_by_rows_in_memory(spark, fact, monkeypatch):
+    """Rows that repeat take few bytes stored and many in a sort: the latter bound a task's rows."""
+    path, out = shared_path(spark, "t-repeats"), shared_path(spark, "t-bounded")
+    sinks.write_fact(fact, path)
+    monkeypatch.setattr(sinks, "SORTED_RUN_BYTES", 24_000 * sinks._ROW_BYTES // 8)
+    sinks.cluster_fact(spark, path, out)
+    sizes = [r["count"] for r in spark.read.parquet(out).groupBy(F.spark_partition_id(), "_metadata.file_path").count().collect()]
+    assert len(sizes) >= 8 and rows_of(sinks.read_fact(spark, out)) == rows_of(sinks.read_fact(spark, path))

@@ -48,3 +48,21 @@ def test_run_etl_json_twice(spark, tmpdir_fresh):
     got = sorted(tuple(r) for r in read_fact(spark, table).collect())
     assert got == [("202401", "TW", "food", "未滿20歲", 1000, 5), ("202401", "TW", "food", "未滿20歲", 3000, 6),
                    ("202402", "TW", "food", "未滿20歲", 2000, 7)]
+
+
+def test_catching_up_reads_the_table_as_often_as_it_doubles(spark, tmpdir_fresh, monkeypatch):
+    from spendlens.streaming import ingest
+    src, table, ckpt = (os.path.join(tmpdir_fresh, k) for k in ("src", "t", "ck"))
+    os.makedirs(src)
+    for k in range(8):
+        _csv(os.path.join(src, f"{k}.csv"), [("202401", "TW", "food", "a", str(k), "5"), ("202401", "TW", "food", "a", "77", "5")])
+    appends = []
+    monkeypatch.setattr(ingest, "append_new_rows", lambda s, df, path, f=ingest.append_new_rows: appends.append(f(s, df, path)))
+    ingest_stream(spark, src, table, ckpt, max_files_per_trigger=1).awaitTermination()
+    assert len(appends) <= 5 and sum(appends) == 9
+    assert sorted(r["trans_count"] for r in read_fact(spark, table).collect()) == [*range(8), 77]
+    assert not os.path.exists(f"{ckpt}-staged")
+    # Rows left staged by a run that nobody waited for are appended by the next.
+    spark.createDataFrame([("202402", "TW", "toys", "a", 1, 2)], read_fact(spark, table).schema).write.parquet(f"{ckpt}-staged/batch=99")
+    ingest_stream(spark, src, table, ckpt).awaitTermination()
+    assert read_fact(spark, table).count() == 10

@@ -8,21 +8,15 @@ from ..schema import UNITS
 # A plain decimal literal: optional sign, digits with an optional fraction (or
 # a bare fraction), optional exponent.  Anything else (hex, 'nan', 'inf',
 # Java suffixes such as '1d') is unparsable, as for a coercing text parser.
-_DECIMAL_LITERAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+# Whitespace of any kind (not only spaces) may stand around it.
+_DECIMAL_LITERAL = r"(?U)^\s*+([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?)\s*+$"
 
 
-def _strip(c: Column) -> Column:
-    """Strip leading/trailing whitespace of any kind (not only spaces)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+def literal_value(c: Column | str, thousands: str = "strip") -> Column:
+    """``parse_number`` but for overflowing literals, which are infinite here.
 
-
-def parse_number(c: Column | str, thousands: str = "strip") -> Column:
-    """Text -> double; unparsable, non-finite or missing -> NULL.
-
-    ``thousands='strip'`` removes ``,`` separators (``"1,234"`` -> 1234.0).
-    ``thousands='space'`` replaces them by a space first, the literal
-    behaviour of the original loader, which makes such values unparsable.
-    """
+    The text is searched once and stands once in the expression: Spark
+    evaluates what stands in a condition and in its branch again for each."""
     c = F.col(c) if isinstance(c, str) else c
     txt = c.cast("string")
     if thousands == "strip":
@@ -31,9 +25,19 @@ def parse_number(c: Column | str, thousands: str = "strip") -> Column:
         txt = F.replace(txt, F.lit(","), F.lit(" "))
     else:
         raise ValueError(f"thousands must be 'strip' or 'space', got {thousands!r}")
-    txt = _strip(txt)
+    # Without a match the extract is empty text, which is no number.
+    return F.regexp_extract(txt, _DECIMAL_LITERAL, 1).try_cast("double")
+
+
+def parse_number(c: Column | str, thousands: str = "strip") -> Column:
+    """Text -> double; unparsable, non-finite or missing -> NULL.
+
+    ``thousands='strip'`` removes ``,`` separators (``"1,234"`` -> 1234.0).
+    ``thousands='space'`` replaces them by a space first, the literal
+    behaviour of the original loader, which makes such values unparsable.
+    """
     # An overflowing literal ('1e999') parses to infinity: missing as well.
-    return finite_or_null(F.when(txt.rlike(_DECIMAL_LITERAL), txt.try_cast("double")))
+    return finite_or_null(literal_value(c, thousands))
 
 
 def finite_or_null(c: Column) -> Column:

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from ..functions.numbers import parse_number
+from ..functions.numbers import literal_value
 from ..schema import FACT_COLUMNS, HEADER_MAP, METRIC_COLUMNS, TEXT_COLUMNS
 from .quantiles import approx_medians, bracket_exprs, exact_medians, middle_values
 
@@ -43,9 +43,11 @@ def project(df: DataFrame, expected=FACT_COLUMNS) -> DataFrame:
 
 def parse_metrics(df: DataFrame, cols=METRIC_COLUMNS, thousands: str = "strip") -> DataFrame:
     """C4: metric text -> double (unparsable -> NULL).  A number that no
-    ``bigint`` can hold counts as missing, like one that cannot be parsed."""
-    number = {c: parse_number(F.col(c), thousands) for c in cols}
-    return df.withColumns({c: F.when(F.abs(v) < F.lit(BIGINT_BOUND), v) for c, v in number.items()})
+    ``bigint`` can hold counts as missing, like one that cannot be parsed.
+    Numbers are a projection of their own, so a text is parsed once for its
+    bound and its value."""
+    numbers = df.withColumns({c: literal_value(F.col(c), thousands) for c in cols})
+    return numbers.withColumns({c: F.when(F.abs(F.col(c)) < F.lit(BIGINT_BOUND), F.col(c)) for c in cols})
 
 
 def missing_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -154,3 +154,11 @@ def test_missing_profile(spark):
     df = spark.createDataFrame([(1, None), (None, None)], "a int, b string")
     got = {r.column: r.missing_ratio for r in C.missing_profile(df).collect()}
     assert got == {"a": 0.5, "b": 1.0}
+
+
+def test_a_metric_is_parsed_once(spark):
+    """A text is searched once for its bound and its value, not in every branch that names it."""
+    from spendlens.operators.clean import parse_metrics
+    df = parse_metrics(spark.range(1).selectExpr("cast(id as string) trans_count", "'1e999' trans_total"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp") <= 2 and [tuple(r) for r in df.collect()] == [(0.0, None)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import shared_path
+from ..config import shared_path, write_table
 from ..operators import clean as C
 from ..operators.monthly import fill_values_by_month
 from ..schema import METRIC_COLUMNS, TEXT_COLUMNS
@@ -23,7 +23,8 @@ def _deliver(rows, path: str) -> None:
     late = F.pmod(F.xxhash64("id"), F.lit(7))
     rows.where(late < 3).repartition(3, "id").write.mode("append").parquet(path)
     rows.where(late >= 3).repartition(3, "id").write.mode("append").parquet(path)
-    rows.where(late == 0).coalesce(1).write.mode("append").parquet(path)
+    # The one file is written by a task of its own; what comes before stays parallel.
+    rows.where(late == 0).repartition(1).write.mode("append").parquet(path)
 
 
 @register("stream_req_hits", REQ_SQL + """
@@ -33,7 +34,7 @@ def q_stream_req_hits(spark, sf_dir):
     """R1, R2 on a stream: requests come in micro-batches, out of order and some
     of them twice; hits and results equal those of the whole log."""
     src, log, firsts = (shared_path(spark, f"stream-{k}") for k in ("requests", "log", "firsts"))
-    requests = _req(spark, sf_dir)
+    requests = write_table(_req(spark, sf_dir), shared_path(spark, "sent-requests"))
     _deliver(requests, src)
     stream = S.accepted_requests(S.request_files(spark, src, requests.schema, files_per_batch=2))
     for query in (S.track_firsts(stream, firsts, shared_path(spark, "stream-ckpt")), S.append_log(stream, log, shared_path(spark, "stream-ckpt"))):
@@ -44,7 +45,8 @@ def q_stream_req_hits(spark, sf_dir):
 def _status_events(spark, sf_dir):
     """What a chart service reports about its results: a result is pending from its
     request on; it is ready two minutes later, or has failed, or is never answered."""
-    accepted = S.accepted_requests(_req(spark, sf_dir)).select("id", "cache_key", "create_at")
+    # Stored: both kinds of events come from it, and every delivery reads them.
+    accepted = write_table(S.accepted_requests(_req(spark, sf_dir)).select("id", "cache_key", "create_at"), shared_path(spark, "accepted-requests"))
     end = F.when(F.col("id") % 5 == 0, "FAILED").when(F.col("id") % 5 <= 3, "READY")
     ended = accepted.where(end.isNotNull()).select("id", "cache_key", end.alias("status"), (F.col("create_at") + F.expr("INTERVAL 2 MINUTES")).alias("at"))
     return accepted.select("id", "cache_key", F.lit("PENDING").alias("status"), F.col("create_at").alias("at")).unionByName(ended)

@@ -210,3 +210,10 @@ def test_numbers_beyond_bigint_are_missing(spark):
 def test_month_condition(spark, months, want):
     df = spark.createDataFrame([("202401",), (None,), ("202402",)], "ym string")
     assert df.where(monthly.in_months(months)).count() == want
+
+
+def test_status_events_read_the_requests_once(spark):
+    """The accepted requests are stored: no delivery derives them from the events again."""
+    from spendlens.plans import catalog_stream
+    events = catalog_stream._status_events(spark, "/root/testdata/sf0.001")
+    assert "events.parquet" not in " ".join(events.inputFiles()) and "accepted-requests" in " ".join(events.inputFiles())

@@ -22,9 +22,11 @@ def write_extract(df: DataFrame, layout: str, path: str, headers: list[str]) ->
 
     ``csv`` / ``lines`` are written split across tasks.  The document layouts
     (``array``, ``wrapped``, ``keyed``) become one JSON document per block,
-    each in its own file.  Blocks are a hash of the unique line key over
-    ``ceil(rows / ROWS_PER_DOC)`` buckets, so every document holds about
-    ``ROWS_PER_DOC`` records however skewed the order keys are.
+    each in its own compressed file of one folder, which is listed at once.  Blocks
+    are a hash of the unique line key over ``ceil(rows / ROWS_PER_DOC)`` buckets, so
+    every document holds about ``ROWS_PER_DOC`` records however skewed the order keys are.
+    Rows are dealt by block before they are gathered: gathering on both sides of
+    the shuffle would sort every task's rows by block first.
     """
     rec = F.struct(*[F.col(f"`{h}`") for h in headers])
     if layout == "csv":
@@ -35,7 +37,7 @@ def write_extract(df: DataFrame, layout: str, path: str, headers: list[str]) ->
         return path
     n_blocks = max(1, -(-df.count() // ROWS_PER_DOC))
     block = F.pmod(F.xxhash64(*[F.col(c) for c in LINE_KEY]), F.lit(n_blocks)).alias("block")
-    grouped = df.groupBy(block)
+    grouped = df.select(block, *headers).repartition("block").groupBy("block")
     if layout == "array":
         docs = grouped.agg(F.to_json(F.collect_list(rec)).alias("value"))
     elif layout == "wrapped":
@@ -50,7 +52,7 @@ def write_extract(df: DataFrame, layout: str, path: str, headers: list[str]) ->
         docs = recs.select("block", F.to_json(F.map_from_arrays(ids, F.col("r"))).alias("value"))
     else:
         raise ValueError(f"unknown layout {layout!r}")
-    docs.write.partitionBy("block").text(path)
+    docs.select("value").write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
     return path
 
 

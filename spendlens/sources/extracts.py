@@ -85,11 +85,22 @@ def _files_by_header(spark: SparkSession, path, encoding: str) -> list[list[str]
     return [files for _, files in sorted(groups.items())]
 
 
+#: Stored bytes of documents whose fields one task looks up.
+_INFERRED_BYTES = str(8 << 20)
+
+
 def _json_rows(spark: SparkSession, path: str, multi_line: bool, mode: str = "FAILFAST") -> DataFrame:
     """Malformed JSON fails the read (``FAILFAST``) instead of turning into
     all-NULL rows that imputation would then fill."""
-    return (spark.read.option("multiLine", multi_line).option("mode", mode)
-            .option("primitivesAsString", True).json(path))
+    def reader(session):
+        return session.read.option("multiLine", multi_line).option("mode", mode).option("primitivesAsString", True)
+
+    if not multi_line:
+        return reader(spark).json(path)
+    # Small documents are packed into tasks by their stored size: less of it a task, as they may be compressed.
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", _INFERRED_BYTES)
+    return reader(spark).schema(reader(session).json(path).schema).json(path)
 
 
 def _records_from_keyed(spark: SparkSession, path: str) -> DataFrame:
@@ -141,12 +152,20 @@ def detect_json_layouts(spark: SparkSession, path) -> dict[str, list[str]]:
         values = F.map_values(F.from_json(F.regexp_replace("value", "^\ufeff", ""), as_map))
         kind = (F.when(F.exists(values, lambda v: v.startswith("[")), "wrapped")
                 .when((F.size(values) > 0) & F.forall(values, lambda v: F.coalesce(v.startswith("{"), F.lit(False))), "keyed").otherwise("record"))
-        docs = spark.read.text(objects, wholetext=True).select(F.col("_metadata.file_path").alias("file"), kind.alias("kind"))
-        for r in sorted(docs.collect(), key=lambda r: r["file"]):
+        docs = spark.read.text(objects if out else _as_given(path, objects), wholetext=True).select(F.col("_metadata.file_path").alias("file"), kind.alias("kind"))
+        known = set(objects)
+        for r in sorted((r for r in docs.collect() if r["file"] in known), key=lambda r: r["file"]):
             out.setdefault(r["kind"], []).append(r["file"])
     return out
 
 
+def _as_given(path, files: list[str]):
+    """A source's path in place of all its files, which is listed at once and not
+    file by file.  Files in folders named like a column's value are given one by one,
+    as that column is no part of their records."""
+    return files if any("=" in f.rpartition("/")[0] for f in files) else path
+
+
 def detect_json_layout(spark: SparkSession, path) -> str:
     """The one layout of a source's files: ``array``, ``lines`` or ``object``
     (also for no files: ``lines``).  Files of several layouts are an error here."""
@@ -249,8 +268,10 @@ def read_json_extract(spark: SparkSession, path: str, layout: str = "auto",
     file per task; larger ones of flat records by many tasks each (``_split_documents``).
     """
     if layout == "auto":
-        parts = [read_json_extract(spark, files, kind, records_key, split_over)
-                 for kind, files in sorted(detect_json_layouts(spark, path).items())]
+        kinds = detect_json_layouts(spark, path)
+        if len(kinds) == 1:
+            kinds = {k: _as_given(path, files) for k, files in kinds.items()}
+        parts = [read_json_extract(spark, files, kind, records_key, split_over) for kind, files in sorted(kinds.items())]
         if not parts:
             return _json_rows(spark, path, False)
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -153,3 +153,19 @@ def test_files_of_one_header(spark, tmp_path):
     (tmp_path / "c.csv").write_text("\n\n")
     groups = extracts._files_by_header(spark, str(tmp_path), "UTF-8")
     assert [[f.rsplit("/", 1)[1] for f in g] for g in groups] == [["a.csv"], ["b.csv"]]
+
+
+def test_documents_are_compressed_files_of_one_folder(spark, tmpdir_fresh, monkeypatch):
+    import os
+
+    from pyspark.sql import functions as F
+    from spendlens.plans import etl
+    from spendlens.sources.extracts import ingest
+    monkeypatch.setattr(etl, "ROWS_PER_DOC", 100)
+    rows = spark.range(1000).select(*[F.col("id").alias(c) for c in etl.LINE_KEY], F.col("id").cast("string").alias("h"))
+    for layout in ("array", "wrapped", "keyed"):
+        path = etl.write_extract(rows, layout, os.path.join(tmpdir_fresh, layout), ["h"])
+        files = [f for f in os.listdir(path) if not f.startswith((".", "_"))]
+        assert len(files) == 10 and all(f.endswith(".gz") for f in files)
+        for df in (etl.read_extract(spark, layout, path), ingest(spark, "json", path)):
+            assert df.columns == ["h"] and sorted(int(r.h) for r in df.collect()) == [*range(1000)]

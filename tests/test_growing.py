@@ -214,6 +214,8 @@ def test_month_condition(spark, months, want):
 
 def test_status_events_read_the_requests_once(spark):
     """The accepted requests are stored: no delivery derives them from the events again."""
+    from spendlens.plans import catalog
+    catalog.queries()  # registers in the order the modules need
     from spendlens.plans import catalog_stream
     events = catalog_stream._status_events(spark, "/root/testdata/sf0.001")
     assert "events.parquet" not in " ".join(events.inputFiles()) and "accepted-requests" in " ".join(events.inputFiles())

@@ -169,3 +169,71 @@ def test_documents_are_compressed_files_of_one_folder(spark, tmpdir_fresh, monke
         assert len(files) == 10 and all(f.endswith(".gz") for f in files)
         for df in (etl.read_extract(spark, layout, path), ingest(spark, "json", path)):
             assert df.columns == ["h"] and sorted(int(r.h) for r in df.collect()) == [*range(1000)]
+
+
+def _keyed_folder(tmp_path):
+    docs = [{"r1": {"a": 1, "b": None}, "r2": {"b": "x", "z": [1, {"q": 2}]}}, {"r1": {"a": "}{", "c": True}}, {"s": {}}, {"t": {"späte": 1.5, "z": None}}]
+    for k, doc in enumerate(docs):
+        (tmp_path / f"{k}.json").write_text(json.dumps(doc, ensure_ascii=False, indent=k % 2 or None), encoding="utf-8")
+    (tmp_path / "4.json").write_text('{"u": {"a": 1, "a": 2, "n": 3, "n": 4}}\n')
+    (tmp_path / "5.json").write_text(" \n\n")
+    return str(tmp_path)
+
+
+def test_keyed_documents_are_parsed_once_to_tell_and_read_them(spark, tmp_path, monkeypatch):
+    from spendlens.sources import extracts
+
+    path = _keyed_folder(tmp_path)
+    whole = read_json_extract(spark, path, layout="keyed")
+    monkeypatch.setattr(extracts, "_records_from_keyed", lambda *a: pytest.fail("documents are parsed again"))
+    for opened_whole in (extracts.WHOLE_UP_TO, 0):
+        monkeypatch.setattr(extracts, "WHOLE_UP_TO", opened_whole)
+        told = read_json_extract(spark, path)
+        assert told.columns == whole.columns == ["a", "b", "c", "n", "späte", "z"]
+        assert sorted(map(repr, told.collect())) == sorted(map(repr, whole.collect()))
+
+
+def test_keyed_documents_of_no_fields(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"r": {}, "s": {}}')
+    assert read_json_extract(spark, str(tmp_path)).columns == []
+
+
+def test_objects_that_only_begin_like_records_fail(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"r": {"a": 1}, "s": "{text"}')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_json_extract(spark, str(tmp_path)).collect()
+
+
+ODD_FILES = {
+    "array": ["[]", "\ufeff [1]", "\n \t\r\n[\n{}]"],
+    "lines": ['{"a": 1}\n{"a": 2}', '{"a": 1} ' + " " * 100 + '\r\n \r\n\ufeff {"a": 2}', '\ufeff{"a": 1}\r{"a": 2}\r'],
+    "record": ['{"a": 1}', '{"a": 1}\n\n', '{\n"a": 1\n}', '{"a": 1}\n[]', '{"r": {"a": 1}, "s": null}', "{}", "x"],
+    "wrapped": ['{"n": 1, "r": [{"a": 1}]}', '\ufeff{"r": []}\n'],
+    "keyed": ['{"r": {"a": 1}}', '\n{"r": {\n"a": 1}}  \n', '\ufeff{"r": {}}'],
+    None: ["", " \n\t\r\n", "\ufeff\n"],
+}
+
+
+def test_layouts_of_small_and_large_files(spark, tmp_path, monkeypatch):
+    """Small files are told apart many in a task, whatever their number; large ones by
+    their first lines, with the same outcome."""
+    from spendlens.sources import extracts
+
+    expected = {}
+    for kind, texts in ODD_FILES.items():
+        for k, text in enumerate(texts * 4):
+            (tmp_path / f"{kind}{k:02d}.json").write_bytes(text.encode())
+            if kind:
+                expected.setdefault(kind, []).append(f"{kind}{k:02d}.json")
+    def layouts():
+        return {k: [os.path.basename(f) for f in v] for k, v in extracts.detect_json_layouts(spark, str(tmp_path)).items()}
+    group, tracker = "layouts-of-small-files", spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        assert layouts() == expected
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) < sum(map(len, expected.values())) / 2
+    monkeypatch.setattr(extracts, "WHOLE_UP_TO", 0)
+    assert layouts() == expected

@@ -26,9 +26,9 @@ def write_extract(df: DataFrame, layout: str, path: str, headers: list[str]) ->
     are a hash of the unique line key over ``ceil(rows / ROWS_PER_DOC)`` buckets, so
     every document holds about ``ROWS_PER_DOC`` records however skewed the order keys are.
     Rows are dealt by block before they are gathered: gathering on both sides of
-    the shuffle would sort every task's rows by block first.
+    the shuffle would sort every task's rows by block first.  What is gathered is a
+    record's text, one value, not its fields.
     """
-    rec = F.struct(*[F.col(f"`{h}`") for h in headers])
     if layout == "csv":
         df.select(*headers).write.option("header", True).csv(path)
         return path
@@ -37,22 +37,22 @@ def write_extract(df: DataFrame, layout: str, path: str, headers: list[str]) ->
         return path
     n_blocks = max(1, -(-df.count() // ROWS_PER_DOC))
     block = F.pmod(F.xxhash64(*[F.col(c) for c in LINE_KEY]), F.lit(n_blocks)).alias("block")
-    grouped = df.select(block, *headers).repartition("block").groupBy("block")
+    record = F.to_json(F.struct(*[F.col(f"`{h}`") for h in headers])).alias("record")
+    grouped = df.select(block, *headers).repartition("block").select("block", record).groupBy("block")
+    docs = grouped.agg(F.collect_list("record").alias("records"))
+    records = F.array_join("records", ",")
     if layout == "array":
-        docs = grouped.agg(F.to_json(F.collect_list(rec)).alias("value"))
+        value = F.concat(F.lit("["), records, F.lit("]"))
     elif layout == "wrapped":
-        docs = grouped.agg(F.to_json(F.struct(
-            F.struct(F.count(F.lit(1)).alias("rows")).alias("meta"),
-            F.collect_list(rec).alias("records"))).alias("value"))
+        value = F.concat(F.lit('{"meta":{"rows":'), F.size("records").cast("string"), F.lit('},"records":['), records, F.lit("]}"))
     elif layout == "keyed":
         # ids "<block>-<position>": unique within a document whatever the data
-        recs = grouped.agg(F.collect_list(rec).alias("r"))
-        ids = F.transform(F.sequence(F.lit(1), F.size("r")),
-                          lambda i: F.concat_ws("-", F.col("block").cast("string"), i.cast("string")))
-        docs = recs.select("block", F.to_json(F.map_from_arrays(ids, F.col("r"))).alias("value"))
+        keyed = F.transform("records", lambda r, i: F.concat(F.lit('"'), F.col("block").cast("string"), F.lit("-"), (i + 1).cast("string"), F.lit('":'), r))
+        value = F.concat(F.lit("{"), F.array_join(keyed, ","), F.lit("}"))
     else:
         raise ValueError(f"unknown layout {layout!r}")
-    docs.select("value").write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    (docs.select(value.alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "gzip")
+         .option("zlib.compress.level", "BEST_SPEED").text(path))
     return path
 
 

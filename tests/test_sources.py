@@ -237,3 +237,29 @@ def test_layouts_of_small_and_large_files(spark, tmp_path, monkeypatch):
     assert max(s.numTasks for s in stages if s) < sum(map(len, expected.values())) / 2
     monkeypatch.setattr(extracts, "WHOLE_UP_TO", 0)
     assert layouts() == expected
+
+
+def test_documents_hold_the_records_texts(spark, tmpdir_fresh, monkeypatch):
+    """Documents put together from records' texts: fields without a value left out, ids
+    and the number of records as they are, every value escaped."""
+    import gzip
+
+    from pyspark.sql import functions as F
+    from spendlens.plans import etl
+    monkeypatch.setattr(etl, "ROWS_PER_DOC", 4)
+    value = F.when(F.col("id") % 3 == 0, F.lit('q"\\,}],{"é\n')).when(F.col("id") % 3 == 1, F.lit(""))
+    rows = spark.range(12).select(*[F.col("id").alias(c) for c in etl.LINE_KEY], F.col("id").cast("string").alias("h"), value.alias("a b"))
+    expected = [{"h": str(k)} if k % 3 == 2 else {"h": str(k), "a b": "" if k % 3 else 'q"\\,}],{"é\n'} for k in range(12)]
+    for layout in ("array", "wrapped", "keyed"):
+        path, found = etl.write_extract(rows, layout, os.path.join(tmpdir_fresh, layout), ["h", "a b"]), []
+        for name in sorted(f for f in os.listdir(path) if not f.startswith((".", "_"))):
+            doc = json.loads(gzip.open(os.path.join(path, name)).read())
+            if layout == "wrapped":
+                assert list(doc) == ["meta", "records"] and doc["meta"] == {"rows": len(doc["records"])}
+                doc = doc["records"]
+            elif layout == "keyed":
+                block = next(iter(doc)).partition("-")[0]
+                assert list(doc) == [f"{block}-{k + 1}" for k in range(len(doc))]
+                doc = list(doc.values())
+            found += doc
+        assert sorted(found, key=lambda r: int(r["h"])) == expected
